@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, quality, simhash, toxicity
+from . import decontaminate, language, licenses, neighbours, quality, sentencepiece_sampling, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,15 @@ def _fold(n: int, r: int):
     return held, lambda key: ~held(key)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every text; ``exact`` tells that the ids decode to the text."""
+    return sentencepiece_sampling.sample_segmentations(table(spark, sf_dir, "documents"))
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, learn = _fold(3, 1)
     docs = table(spark, sf_dir, "documents")
@@ -50,13 +59,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held(F.col("doc_id").cast("string")).alias("held_out"), "score", "predicted")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op4_neighbours": op4_neighbours,
         "op5_language_id": op5_language_id,
         "op6_quality": op6_quality,
         "op7_decontamination": op7_decontamination,
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
+        "op10_licenses": op10_licenses,
     }
 
 
