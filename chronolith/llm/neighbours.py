@@ -107,8 +107,8 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
     distinct = salted.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
     blocks = max(1, -(-(sizes[0]["count"] if sizes else 0) // block_rows))
     chunks = max(1, -(-queries.count() // chunk_rows))
-    left = distinct.select(F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "ids", "v")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id", "v")
+    left = distinct.select(F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(blocks).cast("long")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), "ids", "v")
+    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(chunks).cast("long")).alias("chunk"), "id", "v")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, neighbours, quality, sentencepiece_sampling, simhash, toxicity
+from . import decontaminate, language, licenses, neighbours, quality, sentencepiece_sampling, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_sampling.sample_segmentations(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -66,6 +74,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_suffix_array": op2_suffix_array,
+        "op3_recompression": op3_recompression,
         "op4_neighbours": op4_neighbours,
         "op5_language_id": op5_language_id,
         "op6_quality": op6_quality,
@@ -77,4 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontaminate.ORACLE_SQL}
+    return {
+        "op2_suffix_array": suffix_dedup.ORACLE_SQL,
+        "op3_recompression": substring_dedup.ORACLE_SQL,
+        "op7_decontamination": decontaminate.ORACLE_SQL,
+    }

@@ -39,7 +39,7 @@ from .text_arrays import U64, chunks, mix64, owner, range_hash
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED = 2, 1
 BLANK = 0x2581
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SCHEMA = "sample int, ids array<int>, log_prob double, inclusion double, exact boolean"
 
 
@@ -64,7 +64,7 @@ class Vocabulary:
         bpe = (scores == np.round(scores)).all() and scores.min() < -1000  # log probabilities are neither
         self.weights = -np.log(2 + np.abs(scores)) if bpe else scores
         self.byte_weight = float(self.weights.min()) - 1.0
-        self.ids, self.longest = np.array(usable), max(len(pieces[i]) for i in usable)
+        self.ids, self.longest = np.array(usable), -(-max(len(pieces[i]) for i in usable) // 8) * 8
         texts = [pieces[i] for i in usable]
         h = self._hash(texts)
         assert len(np.unique(h)) == len(h)
@@ -124,7 +124,7 @@ class Lattice:
     ways from there to the unit's end.
     """
 
-    def __init__(self, voc: Vocabulary, most: int = 500_000):
+    def __init__(self, voc: Vocabulary, most: int = 1_000_000):
         self.voc, self.most, self.used = voc, most, 0
         self._room(most)
         self._forget()
@@ -139,7 +139,20 @@ class Lattice:
         self.hashes, self.starts = np.zeros(0, U64), np.zeros(0, np.int64)
 
     def place(self, h: np.ndarray, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """For distinct units (ascending hashes, ranges of ``cp``) the positions at which they start."""
+        """The positions at which units (hashes, ranges of ``cp``) start."""
+        known = self._known(h)
+        lost = np.flatnonzero(known < 0)
+        if not len(lost):
+            return known
+        if self.used + int((end - begin)[lost].sum()) > len(self.cp):  # perhaps no room: then all are entered anew
+            some, first, which = np.unique(h, return_index=True, return_inverse=True)
+            return self._enter(some, cp, begin[first], end[first])[which]
+        some, first, which = np.unique(h[lost], return_index=True, return_inverse=True)
+        known[lost] = self._enter(some, cp, begin[lost[first]], end[lost[first]])[which]
+        return known
+
+    def _enter(self, h: np.ndarray, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same for distinct units with ascending hashes."""
         known = self._known(h)
         new = np.flatnonzero(known < 0)
         need = int((end - begin)[new].sum())
@@ -250,7 +263,8 @@ def _walk(lat: Lattice, pos: np.ndarray, end: np.ndarray, key: np.ndarray, tag:
     step = 0
     while len(live):
         u = _uniform(key, step, live * 0)
-        pick = (lat.cum[now] <= u.astype(np.float32)[:, None]).sum(1) + 1
+        below = lat.cum[now] <= u.astype(np.float32)[:, None]
+        pick = np.bitwise_count(below.view(U64)).sum(1, dtype=np.int64) + 1
         pick = np.minimum(pick, end[live] - now)
         got.append((live, now, pick))
         now = now + pick
@@ -292,11 +306,10 @@ def sample_chunk(lat: Lattice, raw: np.ndarray, off: np.ndarray, keys: np.ndarra
     begin = np.flatnonzero(first)
     end = np.append(begin[1:], n)[: len(begin)]
     doc_of = owner(head)[begin] if n else np.zeros(0, np.int64)
-    # Distinct units, by two hashes.
+    # Units are told apart by two hashes.
     values = cp.astype(U64) + U64(1)
     h = range_hash(values)(begin, end) ^ mix64(range_hash(values, 1)(begin, end))
-    h, where, which = np.unique(h, return_index=True, return_inverse=True)
-    start_of = lat.place(h, cp, begin[where], end[where])[which]
+    start_of = lat.place(h, cp, begin, end)
     end_of = start_of + end - begin
     key = mix64(keys.astype(np.int64).view(U64) + U64(seed))
     number = np.arange(len(begin)) - np.searchsorted(doc_of, np.arange(n_docs))[doc_of] if n else begin

@@ -120,6 +120,20 @@ def score_toxicity(documents: DataFrame, model: dict, *, id_col: str = "doc_id",
     )
 
 
+def drop_toxic(documents: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below ``threshold``, with all their columns."""
+
+    def run(batches):
+        for b in batches:
+            text = b.select([text_col])
+            pair = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), text.column(0)], ["id", "text"])
+            score = next(score_all(iter([pair]))).column(1).to_numpy()
+            yield b.filter(pa.array(score < threshold))
+
+    score_all = scorer(model)
+    return documents.mapInArrow(run, documents.schema)
+
+
 def bucket(key: Column, n: int) -> Column:
     """The fold of an id: the CRC-32 of its text form, modulo ``n``."""
     return F.crc32(key.cast("binary")) % n
