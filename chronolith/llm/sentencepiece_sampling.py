@@ -40,6 +40,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED = 2, 1
 BLANK = 0x2581
 CHUNK = 1 << 19
+#: The log factor for each code point, and the length from which sums are kept as logs.
+TILT, LONG = 2.5, 150
 SCHEMA = "sample int, ids array<int>, log_prob double, inclusion double, exact boolean"
 
 
@@ -63,6 +65,7 @@ class Vocabulary:
         scores = np.array([sp.get_score(i) for i in usable])
         bpe = (scores == np.round(scores)).all() and scores.min() < -1000  # log probabilities are neither
         self.weights = -np.log(2 + np.abs(scores)) if bpe else scores
+        self.tilted = np.exp(self.weights + TILT * np.array([len(pieces[i]) for i in usable]))
         self.byte_weight = float(self.weights.min()) - 1.0
         self.ids, self.longest = np.array(usable), -(-max(len(pieces[i]) for i in usable) // 8) * 8
         texts = [pieces[i] for i in usable]
@@ -117,73 +120,58 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Lattice:
-    """Edges and backward sums of units by position, kept from chunk to chunk while they are few.
+    """Edges and backward sums of units by position.
 
-    ``piece`` holds the piece of each length from a position on (-1: none, or bytes for one
-    character), ``cum`` the running shares of the edges, and ``total`` the log of the sum over all
-    ways from there to the unit's end.
+    Units stay from chunk to chunk while there is room (frequent ones come early); those beyond it are
+    worked out anew for each chunk, in a part that each chunk overwrites.  ``piece`` holds the
+    piece of each length from a position on (-1: none, or bytes for one character), ``cum`` the running
+    shares of the edges, and ``total`` the log of the sum over all ways from there to the unit's end.
     """
 
-    def __init__(self, voc: Vocabulary, most: int = 1_000_000):
-        self.voc, self.most, self.used = voc, most, 0
-        self._room(most)
-        self._forget()
+    def __init__(self, voc: Vocabulary, most: int = 600_000):
+        m = voc.longest
+        self.voc, self.most, self.used, self.top = voc, most, 0, 0
+        self.piece, self.cum = np.full((0, m), -1, np.int32), np.ones((0, m), np.float32)
+        self.total, self.cp = np.zeros(m + 1), np.zeros(0, np.uint32)
+        self.hashes, self.starts = np.zeros(0, U64), np.zeros(0, np.int64)
+        self._room(most + most // 2)
 
     def _room(self, n: int):
-        m = self.voc.longest
-        self.piece, self.cum = np.full((n, m), -1, np.int32), np.ones((n, m), np.float32)
-        self.total, self.cp = np.empty(n + m + 1), np.empty(n, np.uint32)
-
-    def _forget(self):
-        self.piece[: self.used], self.cum[: self.used], self.used = -1, 1, 0
-        self.hashes, self.starts = np.zeros(0, U64), np.zeros(0, np.int64)
+        more = n - len(self.cp)
+        self.piece = np.concatenate((self.piece, np.full((more, self.voc.longest), -1, np.int32)))
+        self.cum = np.concatenate((self.cum, np.ones((more, self.voc.longest), np.float32)))
+        self.total, self.cp = np.concatenate((self.total, np.zeros(more))), np.concatenate((self.cp, np.zeros(more, np.uint32)))
 
     def place(self, h: np.ndarray, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The positions at which units (hashes, ranges of ``cp``) start."""
-        known = self._known(h)
+        """The positions at which units (hashes, ranges of ``cp``) start; good until the next call."""
+        self.piece[self.used : self.top], self.cum[self.used : self.top] = -1, 1
+        self.top = self.used
+        at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+        known = np.where(self.hashes[at] == h, self.starts[at], -1) if len(self.hashes) else np.full(len(h), -1, np.int64)
         lost = np.flatnonzero(known < 0)
         if not len(lost):
             return known
-        if self.used + int((end - begin)[lost].sum()) > len(self.cp):  # perhaps no room: then all are entered anew
-            some, first, which = np.unique(h, return_index=True, return_inverse=True)
-            return self._enter(some, cp, begin[first], end[first])[which]
         some, first, which = np.unique(h[lost], return_index=True, return_inverse=True)
-        known[lost] = self._enter(some, cp, begin[lost[first]], end[lost[first]])[which]
-        return known
-
-    def _enter(self, h: np.ndarray, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The same for distinct units with ascending hashes."""
-        known = self._known(h)
-        new = np.flatnonzero(known < 0)
-        need = int((end - begin)[new].sum())
-        if self.used + need > len(self.total) - self.voc.longest - 1:
-            self._forget()
-            known[:] = -1
-            new, need = np.arange(len(h)), int((end - begin).sum())
-            if need > len(self.cp) or len(self.cp) > self.most >= need:
-                self._room(max(need, self.most))
-        if len(new):
-            size = (end - begin)[new]
-            new = new[np.argsort(-size, kind="stable")]
-            size = (end - begin)[new]
-            off = np.concatenate(([0], np.cumsum(size)))
-            self._fill(cp[np.repeat(begin[new] - off[:-1], size) + np.arange(off[-1])], off)
-            known[new] = off[:-1] + self.used
-            self.used += need
-            new = np.sort(new)
-            at = np.searchsorted(self.hashes, h[new])
-            self.hashes, self.starts = np.insert(self.hashes, at, h[new]), np.insert(self.starts, at, known[new])
+        begin, size = begin[lost[first]], (end - begin)[lost[first]]
+        order = np.argsort(-size, kind="stable")
+        off = np.concatenate(([0], np.cumsum(size[order])))
+        base, need = self.used, int(off[-1])
+        if base + need > len(self.cp):
+            self._room(base + need)
+        self._fill(base, cp[np.repeat(begin[order] - off[:-1], size[order]) + np.arange(need)], off)
+        starts = np.empty(len(some), np.int64)
+        starts[order] = off[:-1] + base
+        self.top = base + need
+        if self.top <= self.most:
+            self.used = self.top
+            at = np.searchsorted(self.hashes, some)
+            self.hashes, self.starts = np.insert(self.hashes, at, some), np.insert(self.starts, at, starts)
+        known[lost] = starts[which]
         return known
 
-    def _known(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.starts[at], -1)
-
-    def _fill(self, cp: np.ndarray, off: np.ndarray):
-        """Enters units, the longest first."""
-        voc, n, base = self.voc, len(cp), self.used
+    def _fill(self, base: int, cp: np.ndarray, off: np.ndarray):
+        """Enters units, the longest first, from position ``base`` on."""
+        voc, n = self.voc, len(cp)
         size = np.diff(off)
         end = np.repeat(off[1:], size)
         of = range_hash(cp.astype(U64) + U64(1))
@@ -197,26 +185,61 @@ class Lattice:
             if not len(at):
                 break
         m = max(i for i, (x, _) in enumerate(hits, 1) if len(x) or i == 1)
-        w = np.full((n, m), -np.inf)
+        # Weights times TILT to the power of the length: all ways through a unit are as long, so that shares stay
+        # as they are, and sums over units of common length stay within a float's range.
+        w = np.zeros((n, m))
         for i, (x, found) in enumerate(hits[:m]):
             self.piece[base + x, i] = found
-            w[x, i] = voc.weights[found]
+            w[x, i] = voc.tilted[found]
         lone = np.flatnonzero(self.piece[base : base + n, 0] < 0)
-        w[lone, 0] = voc.byte_weight * byte_count(cp[lone])
-        total = np.full(n + m + 1, -np.inf)
+        w[lone, 0] = np.exp(voc.byte_weight * byte_count(cp[lone]) + TILT)
+        long_ = int(np.searchsorted(-size, -LONG))  # units of LONG code points or more come first
+        total = np.empty(n)
+        for units, run in ((off[: long_ + 1], self._log_sums), (off[long_:], self._sums)):
+            if len(units) > 1:
+                a, z = units[0], units[-1]
+                total[a:z] = run(base + a, w[a:z], units - a)
+        self.total[base : base + n], self.cp[base : base + n] = total - TILT * (end - np.arange(n)), cp
+
+    def _sums(self, base: int, w: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Logs of the backward sums of units, the longest first; fills ``cum``."""
+        n, m = w.shape
+        size = np.diff(off)
+        sums = np.zeros(n + m + 1)
+        ahead = np.lib.stride_tricks.sliding_window_view(sums, m)
         for step in range(1, int(size[0]) + 1):
             p = off[1 : 1 + np.searchsorted(-size, -step, side="right")] - step
             reach = min(step, m)
             x = w[p, :reach]
-            ahead = reach - (step <= m)  # the edge to the unit's end has nothing behind it
-            if ahead:
-                x[:, :ahead] += total[p[:, None] + np.arange(1, ahead + 1)]
+            if step > 1:
+                behind = ahead[p + 1, :reach]
+                if step <= m:
+                    behind[:, -1] = 1  # the unit's end
+                x *= behind
+            np.cumsum(x, 1, out=x)
+            sums[p] = x[:, -1]
+            self.cum[base + p, :reach] = x / x[:, -1:]
+        return np.log(sums[:n])
+
+    def _log_sums(self, base: int, w: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The same for long units, whose sums could leave a float's range."""
+        n, m = w.shape
+        size = np.diff(off)
+        total = np.zeros(n + m + 1)
+        for step in range(1, int(size[0]) + 1):
+            p = off[1 : 1 + np.searchsorted(-size, -step, side="right")] - step
+            reach = min(step, m)
+            behind = total[p[:, None] + np.arange(1, reach + 1)]
+            if step <= m:
+                behind[:, -1] = 0
+            with np.errstate(divide="ignore"):
+                x = np.log(w[p, :reach]) + behind
             top = x.max(1)
             x = np.exp(x - top[:, None])
             np.cumsum(x, 1, out=x)
             total[p] = top + np.log(x[:, -1])
             self.cum[base + p, :reach] = x / x[:, -1:]
-        self.total[base : base + n], self.cp[base : base + n] = total[:n], cp
+        return total[:n]
 
     def weight(self, pos: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Log weights of edges."""
@@ -240,14 +263,23 @@ class Lattice:
         return np.where(fits, np.exp(np.where(fits, w, -np.inf) + np.where(fits, after, 0) - self.total[pos]), 0)
 
 
+@lru_cache(maxsize=1)
+def lattice(path: str) -> Lattice:
+    """One for each Python worker, which keeps it from task to task."""
+    return Lattice(vocabulary(path))
+
+
 def byte_count(cp: np.ndarray) -> np.ndarray:
     """The bytes of code points in UTF-8."""
     return 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)
 
 
-def _uniform(key: np.ndarray, salt: int, index: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) that depend on the arguments alone."""
-    h = mix64(key + U64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) + index.astype(U64) * U64(0xD6E8FEB86659FD93)
+def _salted(key: np.ndarray, salt: int) -> np.ndarray:
+    return mix64(key + U64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
+def _uniform(h: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) that depend on ``h`` alone."""
     return ((mix64(h) >> U64(11)).astype(float) + 0.5) / (1 << 53)
 
 
@@ -259,17 +291,18 @@ def _cut_off(log_mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarr
 
 def _walk(lat: Lattice, pos: np.ndarray, end: np.ndarray, key: np.ndarray, tag: np.ndarray, salt: int):
     """Draws edges from ``pos`` to ``end`` for each instance: (instance, position, length) in order."""
-    got, live, now, key = [], np.arange(len(pos)), pos, mix64(key + mix64(tag.astype(U64) + U64(salt << 32)))
-    step = 0
+    live = np.argsort(pos)  # equal units stand together, so that what is read of them is near
+    key = _salted(key, salt) + tag.astype(U64) * U64(0xD6E8FEB86659FD93)
+    got, now, to, key, step = [], pos[live], end[live], key[live], 0
     while len(live):
-        u = _uniform(key, step, live * 0)
-        below = lat.cum[now] <= u.astype(np.float32)[:, None]
-        pick = np.bitwise_count(below.view(U64)).sum(1, dtype=np.int64) + 1
-        pick = np.minimum(pick, end[live] - now)
+        u = _uniform(key + U64(step)).astype(np.float32)
+        below = (lat.cum[now] <= u[:, None]).view(U64)
+        pick = np.bitwise_count(below[:, 0]) + np.bitwise_count(below[:, 1]) if below.shape[1] == 2 else np.bitwise_count(below).sum(1)
+        pick = np.minimum(pick.astype(np.int64) + 1, to - now)
         got.append((live, now, pick))
         now = now + pick
-        on = now < end[live]
-        live, now, key, step = live[on], now[on], key[on], step + 1
+        on = now < to
+        live, now, to, key, step = live[on], now[on], to[on], key[on], step + 1
     if not got:
         z = np.zeros(0, np.int64)
         return z, z, z
@@ -315,7 +348,7 @@ def sample_chunk(lat: Lattice, raw: np.ndarray, off: np.ndarray, keys: np.ndarra
     number = np.arange(len(begin)) - np.searchsorted(doc_of, np.arange(n_docs))[doc_of] if n else begin
 
     docs = np.arange(n_docs)
-    root = -np.log(-np.log(_uniform(key, 1, docs * 0)))
+    root = -np.log(-np.log(_uniform(_salted(key, 1))))
     inst, pos, length = _walk(lat, start_of, end_of, key[doc_of], number, 2)
     found = []  # (documents, offsets, edges) of each rank
     paths = []
@@ -338,7 +371,7 @@ def sample_chunk(lat: Lattice, raw: np.ndarray, off: np.ndarray, keys: np.ndarra
             live &= place >= born[doc]
         with np.errstate(divide="ignore"):
             mass = np.where(live, before + np.log(left), -np.inf)
-        bound = _cut_off(mass, g[doc], _uniform(key[doc], 100 + len(paths), place))
+        bound = _cut_off(mass, g[doc], _uniform(_salted(key, 100 + len(paths))[doc] + place.astype(U64)))
         return {"doc": doc, "unit": unit, "pos": pos, "length": length, "at": at, "bound": bound, "barred": barred, "log_prob": run[at[1:]] - run[at[:-1]]}
 
     paths.append(state(docs, doc_of[inst] if n else inst, inst, pos, length, root, None, {}))
@@ -375,7 +408,7 @@ def sample_chunk(lat: Lattice, raw: np.ndarray, off: np.ndarray, keys: np.ndarra
             unit = p["unit"][e]
             share = np.where(bits[:, None] >> np.arange(voc.longest) & 1, 0, lat.shares(p["pos"][e], end_of[unit]))
             run = np.cumsum(share, 1)
-            pick = (run <= (_uniform(key[d], 1000 + rank, d * 0) * run[:, -1])[:, None]).sum(1)
+            pick = (run <= (_uniform(_salted(key, 1000 + rank)[d]) * run[:, -1])[:, None]).sum(1)
             pick = np.minimum(pick, voc.longest - 1)
             zero = share[np.arange(len(d)), pick] <= 0  # rounding at the upper end
             pick[zero] = share[zero].argmax(1)
@@ -442,6 +475,11 @@ def decode_ids(voc: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> tuple[np
 def decoded_equal(voc, ids, bounds, raw, off) -> np.ndarray:
     """For each document, whether its ids decode to its bytes."""
     got, goff = decode_ids(voc, ids, bounds)
+    if len(got) == len(raw) and (goff == off).all():
+        wrong = np.flatnonzero(got != raw)
+        same = np.ones(len(off) - 1, bool)
+        same[np.searchsorted(off, wrong, side="right") - 1] = False
+        return same
     same = np.diff(goff) == np.diff(off)
     size = np.where(same, np.diff(off), 0)
     at = np.concatenate(([0], np.cumsum(size)))
@@ -460,7 +498,7 @@ def sample_segmentations(documents: DataFrame, *, id_col: str = "doc_id", text_c
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        lat = Lattice(vocabulary(model))
+        lat = lattice(model)
         for b in batches:
             keys = b.column(2).to_numpy(zero_copy_only=False)
             for row, end, raw, off in chunks(b.column(1), CHUNK):
