@@ -98,16 +98,16 @@ def remove_contaminated(documents: DataFrame, items: DataFrame, *, id_col: str =
     """The rows of ``documents`` that aren't contaminated, with all their columns; rows without an id stay."""
     found = contamination(documents, items, id_col=id_col, text_col=text_col, **options)
     bad = found.where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return documents.join(bad, documents[id_col] == F.col("_bad"), "left_anti")
+    return documents.join(bad, documents[id_col] == bad["_bad"], "left_anti")
 
 
 def remove_spans(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All rows; texts with hits are the normalised words outside of them, joined by blanks."""
     found = hits(documents, items, id_col=id_col, text_col=text_col, **options)
     per = found.groupBy(F.col("id").alias("_id")).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("length") - 1)))).alias("_hit"))
-    kept = F.filter(F.transform(word_list(F.col(text_col)), lambda x, i: F.when(~F.array_contains("_hit", i), x)), lambda x: x.isNotNull())
-    rows = documents.join(per, documents[id_col] == F.col("_id"), "left")
-    text = F.when(F.col("_hit").isNull(), F.col(text_col)).otherwise(F.array_join(kept, " "))
+    kept = F.filter(F.transform(word_list(documents[text_col]), lambda x, i: F.when(~F.array_contains(per["_hit"], i), x)), lambda x: x.isNotNull())
+    rows = documents.join(per, documents[id_col] == per["_id"], "left")
+    text = F.when(per["_hit"].isNull(), documents[text_col]).otherwise(F.array_join(kept, " "))
     return rows.select(*[text.alias(c) if c == text_col else documents[c] for c in documents.columns])
 
 

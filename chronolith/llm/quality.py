@@ -64,8 +64,9 @@ def passages(raw, off) -> tuple[np.ndarray, np.ndarray]:
             inner = of[:-3] == of[3:]
             held[((of[:-3] << 11) | four)[inner]] = True
             extra[:, 9] = held.reshape(n, -1).sum(1) / per
-        words = np.concatenate((space[1:] & ~space[:-1], [True]))
-        extra[:, 10] = np.bincount(of[words], minlength=n) / per * 5
+        stops = np.append(space[1:], True)  # behind a place comes a blank or the document's end
+        stops[coff[1:][size > 0] - 1] = True
+        extra[:, 10] = np.bincount(of[stops & ~space], minlength=n) / per * 5
     extra[:, 11] = length / PASSAGE
     extra[:, 12] = np.log1p(size[doc_of]) / 10
     extra[:, 13] = 1

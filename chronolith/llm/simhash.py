@@ -117,4 +117,4 @@ def deduplicate(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """The rows with the least id of each group, with all their columns (all rows that repeat that id); rows without an id stay."""
     groups = fingerprint_groups(documents, id_col=id_col, text_col=text_col, shingle=shingle)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return documents.join(gone, documents[id_col] == F.col("_gone"), "left_anti")
+    return documents.join(gone, documents[id_col] == gone["_gone"], "left_anti")
