@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +69,8 @@ def retention(days: Column, strength: Column) -> Column:
 
 
 def relative_window(phrase: str, as_of: str) -> tuple[str, str]:
-    """(start, end) of yesterday, today, last week, last month, N days, weeks or months ago; else the last 30 days."""
-    import datetime as dt
-    import re
-
+    """(start, end) days of a phrase seen from ``as_of``: yesterday, today, last week or month (up to the day before),
+    N units ago (a unit to either side); else the last 30 days."""
     day = dt.date.fromisoformat(as_of)
     back = lambda n, m=0: ((day - dt.timedelta(n)).isoformat(), (day - dt.timedelta(m)).isoformat())
     p = phrase.lower().strip()
@@ -77,10 +78,10 @@ def relative_window(phrase: str, as_of: str) -> tuple[str, str]:
         n = int(p == "yesterday")
         return back(n, n)
     if p in ("last week", "last month"):
-        return back(7 if "week" in p else 30)
-    if m := re.fullmatch(r"(\d+)\s+(day|week|month)s?\s+ago", p):
-        n = int(m[1]) * {"day": 1, "week": 7, "month": 30}[m[2]]
-        return back(n, n)
+        return back(7 if "week" in p else 30, 1)
+    if m := re.fullmatch(r"(\d+)\s+(day|week|month|year)s?\s+ago", p):
+        n, unit = int(m[1]), {"day": 1, "week": 7, "month": 30, "year": 365}[m[2]]
+        return back((n + 1) * unit, (n - 1) * unit)
     return back(30)
 
 

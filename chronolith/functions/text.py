@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Common English words that tokenising leaves out, by default.
 STOPWORDS = ("the", "and", "for", "are", "was", "with", "that", "this", "from", "have", "has", "had", "not", "but", "you", "all", "can", "her", "his", "they", "what", "when", "where", "who", "why", "how")
@@ -151,13 +153,13 @@ def cjk_estimate(c: Column) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9]+|[一-鿿]"), F.lit(0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity of lower-cased texts; 0 if either is null."""
     return pd.Series([0.0 if x is None or y is None else difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfd(a: pd.Series) -> pd.Series:
     return a.map(lambda x: None if x is None else unicodedata.normalize("NFD", x))
 
@@ -168,7 +170,7 @@ def _stem(w: str) -> str:
         return w
     is_c = lambda s, i: s[i] not in "aeiou" and not (s[i] == "y" and i > 0 and is_c(s, i - 1) is True)
     form = lambda s: "".join("c" if is_c(s, i) else "v" for i in range(len(s)))
-    m = lambda s: len(__import__("re").findall("v+c+", form(s)))
+    m = lambda s: len(re.findall("v+c+", form(s)))
     double = lambda s: len(s) > 1 and s[-1] == s[-2] and is_c(s, len(s) - 1)
     cvc = lambda s: form(s).endswith("cvc") and s[-1] not in "wxy"
     for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
@@ -213,13 +215,13 @@ def _stem(w: str) -> str:
     return w[:-1] if m(w) > 1 and double(w) and w.endswith("l") else w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(a: pd.Series) -> pd.Series:
     """Porter stems of a token list."""
     return a.map(lambda xs: None if xs is None else [_stem(x) for x in xs])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     """F of the longest common subsequence of two token lists."""
 
@@ -240,7 +242,7 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
 def window_split(size: int = 1000, overlap: int = 100):
     """A function of texts that cuts them at sentence ends into overlapping windows."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(a: pd.Series) -> pd.Series:
         def parts(text):
             out, start = [], 0
