@@ -1,6 +1,6 @@
 """All queries on the reference model, by name."""
 
-from . import hierarchies, selections, texts, timelines  # noqa: F401  they register their queries
+from . import evaluations, hierarchies, selections, texts, timelines  # noqa: F401  they register their queries
 from .registry import QUERIES
 
 __all__ = ["QUERIES"]
