@@ -36,7 +36,7 @@ WHOLE, INNER = 1, 2
 #: A run of windows with one anchor is cut after so many.
 LONGEST_RUN = 512
 #: Contents of so many bytes, and of whole anchors, are verified together.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)

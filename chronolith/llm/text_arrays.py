@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -129,17 +129,19 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    out[0] = 1
-    return np.cumprod(out, dtype=U64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    size = 1 << max(16, int(n - 1).bit_length())
-    return _powers(base, size)[:n]
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; those for usual chunks are kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, U64)
+        known[0] = 1
+        known = np.cumprod(known, dtype=U64)
+        if n <= 2 * CHUNK_BYTES:
+            _POWERS[base] = known
+    return known[:n]
 
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
