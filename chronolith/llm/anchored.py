@@ -14,7 +14,11 @@ content, so that equal windows have equal anchors; a *segment* is a run of windo
 5. ``cover``: documents joined with all that repeats in them are handed to the operator's last step.
 
 A group of copies costs a row for each task and segment, not pairs, and candidates are
-different contents only.  Step 4 holds one anchor's different contents at a time.
+different contents only.  Step 4 holds one anchor's different contents at a time, and they are bounded: an
+anchor with more than ``HOT_ROWS`` candidates (a passage that very many documents share, in surroundings that
+differ) is *hot*.  Its candidates go on as single windows, each under a hash of its whole content.  Equal ones are merged
+in each chunk before the shuffle, and in step 4 they stream past the earliest of them, compared with it
+byte by byte, so that neither a hot anchor nor a hot window is ever gathered.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import cut
-from .text_arrays import U64, chunks
+from .text_arrays import U64, byte_values, byte_view, chunks, range_hash
 
 #: Kinds of segments: known to repeat whole; with equal windows inside.
 WHOLE, INNER = 1, 2
@@ -37,6 +41,8 @@ WHOLE, INNER = 1, 2
 LONGEST_RUN = 512
 #: Contents of so many bytes, and of whole anchors, are verified together.
 BATCH_BYTES = 1 << 19
+#: An anchor with more candidates is split by its windows; so many windows are written out at a time.
+HOT_ROWS, WINDOWS_AT_ONCE = 1 << 13, 1 << 13
 
 
 @dataclass(frozen=True)
@@ -113,10 +119,42 @@ def _segments(method: Method):
     return run
 
 
+class _Counted:
+    """Candidates in the order of their anchors, each with the flag whether its anchor has more than ``most`` of them."""
+
+    def __init__(self, most: int):
+        self.most, self.waiting, self.hot = most, [], None  # the last anchor's rows, until they end or are too many; the last hot anchor
+
+    def push(self, rows: list[tuple], end: bool = False) -> tuple:
+        """Columns (key, start, n, anchor, hot) that are decided by now."""
+        columns = [np.concatenate(x) for x in zip(*self.waiting, *rows)] or [np.zeros(0, np.int64)] * 4
+        anchor = columns[3]
+        first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))) if len(anchor) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(anchor)))
+        hot = size > self.most
+        if len(first) and anchor[0] == self.hot:
+            hot[0] = True
+        done = len(anchor)
+        if len(first) and hot[-1]:
+            self.hot = anchor[-1]
+        elif len(first) and not end:
+            done = first[-1]
+        self.waiting = [tuple(c[done:] for c in columns)] if done < len(anchor) else []
+        return *(c[:done] for c in columns), np.repeat(hot, size)[:done]
+
+
+def _marks(key, start, n, anchor, hot=None) -> pa.RecordBatch:
+    """Rows known to repeat whole, or candidates if ``hot`` is given."""
+    whole = np.full(len(key), hot is None)
+    hot = np.zeros(len(key), bool) if hot is None else hot
+    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(whole), pa.array(anchor.astype(np.int64)), pa.array(hot)], ["key", "start", "n", "whole", "anchor", "hot"])
+
+
 def _meet(method: Method):
     """Marks rows sorted by anchor, content, key and start: those that repeat whole, and candidates."""
 
     def run(batches):
+        counted = _Counted(HOT_ROWS)
         held = None  # the first row of the last anchor, while all of that anchor's rows were equal to it
         last = None  # (anchor, content, key) that the last content began with
         for b in batches:
@@ -124,7 +162,7 @@ def _meet(method: Method):
                 continue
             a, h, key, start, n, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             whole = kind == WHOLE
-            out = [(key[whole], start[whole], n[whole], np.ones(whole.sum(), bool), a[whole])]
+            yield _marks(key[whole], start[whole], n[whole], a[whole])
             a, h, key, start, n, inner = (x[~whole] for x in (a, h, key, start, n, kind == INNER))
             if len(a):
                 before_a, before_h = np.concatenate(([last[0] if last else ~a[0]], a[:-1])), np.concatenate(([last[1] if last else ~h[0]], h[:-1]))
@@ -139,18 +177,18 @@ def _meet(method: Method):
                 following = np.flatnonzero(fresh)
                 nxt = following[np.searchsorted(following, opener, side="right") % max(1, len(following))]
                 cand[opener] = (nxt > opener) & (a[nxt] == a[opener]) | inner[opener]
-                out.append((key[full], start[full], n[full], np.ones(full.sum(), bool), a[full]))
-                out.append((key[cand], start[cand], n[cand], np.zeros(cand.sum(), bool), a[cand]))
+                yield _marks(key[full], start[full], n[full], a[full])
+                rows = [(key[cand], start[cand], n[cand], a[cand])]
                 if held is not None and len(following) and following[0] < len(a) and a[following[0]] == held[0]:
-                    out.append(tuple(np.array([x]) for x in (held[1], held[2], held[3], False, held[0])))
+                    rows.insert(0, tuple(np.array([x]) for x in (held[1], held[2], held[3], held[0])))
+                yield _marks(*counted.push(rows))
                 if len(following):
                     held = None
                     if len(opener) and opener[-1] == following[-1] and not inner[opener[-1]]:
                         i = opener[-1]
                         held = (a[i], key[i], start[i], n[i])
                 last = (a[-1], h[-1], head_key[-1])
-            key, start, n, full, anchor = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(full.astype(bool)), pa.array(anchor.astype(np.int64))], ["key", "start", "n", "whole", "anchor"])
+        yield _marks(*counted.push([], end=True))
 
     return run
 
@@ -164,28 +202,67 @@ def _sizes(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
 
 
+def _contents(anchor, key, start, n, content=None) -> pa.RecordBatch:
+    """Rows of the table of contents; without ``content`` they are known to repeat whole."""
+    content = pa.nulls(len(key), pa.binary()) if content is None else content
+    return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array(start), pa.array(n.astype(np.int32)), content], ["anchor", "key", "start", "n", "content"])
+
+
+def _runs_of(row, start, n) -> tuple[np.ndarray, np.ndarray]:
+    """(first, total of windows) of neighbouring segments in order of row and start."""
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + n[:-1])))
+    head = np.flatnonzero(new)
+    return head, np.add.reduceat(n.astype(np.int64), head)
+
+
+def _windows(method: Method, raw, off, row, keys, start, n, at_once) -> Iterator[pa.RecordBatch]:
+    """Contents of each single window of hot segments, under its hash; equal ones but the earliest repeat whole."""
+    begin = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+    for a in range(0, int(begin[-1]), at_once):
+        at = np.arange(a, min(a + at_once, int(begin[-1])))
+        of = np.searchsorted(begin, at, side="right") - 1
+        place, doc, one = start[of] + at - begin[of], row[of], np.ones(len(at), np.int32)
+        content = method.payload(raw, off, doc, place, one)
+        data, ends = byte_view(content)
+        first, second = (range_hash(byte_values()[data], which)(ends[:-1], ends[1:]) for which in (0, 1))
+        key = keys[doc]
+        order = np.lexsort((place, key, second, first))
+        x, y, k = first[order], second[order], key[order]
+        same = np.concatenate(([False], (x[1:] == x[:-1]) & (y[1:] == y[:-1])))
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))
+        whole = same if method.within else same & (k > k[head])
+        some = order[~whole]
+        yield _contents(first[some].view(np.int64), key[some], place[some], one[some], content.take(pa.array(some)))
+        some = np.sort(order[whole])  # in order of row and start
+        if len(some):
+            head, total = _runs_of(doc[some], place[some], one[some])
+            some = some[head]
+            yield _contents(key[some], key[some], place[some], total)
+
+
 def _payloads(method: Method):
     def run(batches):
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
             at, marks = _lists(b.column(2))
-            start, n, whole, anchor = (marks.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            start, n, whole, anchor, hot = (marks.field(i).to_numpy(zero_copy_only=False) for i in range(5))
             row = np.repeat(np.arange(len(keys)), np.diff(at))
             order = np.lexsort((start, row))
-            start, n, whole, anchor, row = start[order], n[order], whole[order].astype(bool), anchor[order], row[order]
+            start, n, whole, anchor, hot, row = start[order], n[order], whole[order].astype(bool), anchor[order], hot[order].astype(bool), row[order]
             w = np.flatnonzero(whole)
             if len(w):  # neighbouring segments that repeat whole are one
-                new = np.concatenate(([True], (row[w][1:] != row[w][:-1]) | (start[w][1:] != start[w][:-1] + n[w][:-1])))
-                head = np.flatnonzero(new)
-                total = np.add.reduceat(n[w].astype(np.int64), head)
+                head, total = _runs_of(row[w], start[w], n[w])
                 key = keys[row[w][head]]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(key), pa.array(start[w][head]), pa.array(total.astype(np.int32)), pa.nulls(len(head), pa.binary())], ["anchor", "key", "start", "n", "content"])
+                yield _contents(key, key, start[w][head], total)
             c = np.flatnonzero(~whole)
             for first, end, raw, off in chunks(b.column(1)):
                 some = c[np.searchsorted(row[c], first) : np.searchsorted(row[c], end)]
+                split, some = some[hot[some]], some[~hot[some]]
                 if len(some):
                     content = method.payload(raw, off, row[some] - first, start[some], n[some])
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[some]), pa.array(keys[row[some]]), pa.array(start[some]), pa.array(n[some]), content], ["anchor", "key", "start", "n", "content"])
+                    yield _contents(anchor[some], keys[row[some]], start[some], n[some], content)
+                if len(split):
+                    yield from _windows(method, raw, off, row[split] - first, keys[first:end], start[split], n[split], WINDOWS_AT_ONCE)
 
     return run
 
@@ -203,8 +280,25 @@ def _verify(method: Method):
         bits = [np.packbits(flags[at[i] : at[i + 1]]).tobytes() for i in some]
         return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(start[some]), pa.array(n[some].astype(np.int32)), pa.array(bits, pa.binary())], names)
 
+    def past_first(b: pa.RecordBatch, held: pa.RecordBatch | None) -> tuple[np.ndarray, pa.RecordBatch]:
+        """Which single windows repeat the first row of their anchor, and the last anchor's first row; ``held`` is the one before."""
+        anchor, key, n = (b.column(i).to_numpy() for i in (0, 1, 3))
+        goes_on = held is not None and held.column(0)[0].as_py() == anchor[0]
+        new = np.concatenate(([not goes_on], anchor[1:] != anchor[:-1]))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(anchor)), -1))  # -1: the row held
+        one = n == 1
+        held_one, held_key = (held.column(3)[0].as_py() == 1, held.column(1)[0].as_py()) if goes_on else (False, 0)
+        later = method.within | (key > np.where(head < 0, held_key, key[head]))
+        some = np.flatnonzero(~new & one & np.where(head < 0, held_one, one[head]) & later)
+        gone = np.zeros(len(anchor), bool)
+        if len(some):
+            pool = pa.concat_arrays([(held if goes_on else b.slice(0, 1)).column(4), b.column(4)])
+            equal = pc.equal(b.column(4).take(pa.array(some)), pool.take(pa.array(head[some] + 1)))
+            gone[some[equal.to_numpy(zero_copy_only=False)]] = True
+        return gone, held if head[-1] < 0 else b.take(pa.array(head[-1:]))
+
     def run(batches):
-        parts, size = [], 0
+        parts, size, held = [], 0, None
         for b in batches:
             through = b.column(4).is_null()
             whole = b.filter(through)
@@ -213,6 +307,13 @@ def _verify(method: Method):
             b = b.filter(through.to_numpy(zero_copy_only=False) == 0) if whole.num_rows else b
             if not b.num_rows:
                 continue
+            gone, held = past_first(b, held)
+            if gone.any():
+                rest = b.filter(pa.array(gone))
+                yield pa.RecordBatch.from_arrays([rest.column(1), rest.column(2), rest.column(3), pa.nulls(rest.num_rows, pa.binary())], names)
+                b = b.filter(pa.array(~gone))
+                if not b.num_rows:
+                    continue
             anchor = b.column(0).to_numpy()
             # Cut where an anchor ends and enough is gathered.
             edges = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
@@ -260,13 +361,13 @@ def spans(marks_at: np.ndarray, marks: pa.StructArray, rows: range) -> Iterator[
 def repeated(rows: DataFrame, method: Method, finish, schema: str) -> DataFrame:
     """``finish`` applied to (id, text, marks, others) of each row of ``rows`` (key, id, text, others); see the module's text for the steps."""
     seg = rows.where(F.col("text").isNotNull()).select("key", "text").mapInArrow(_segments(method), "anchor long, content long, key long, start long, n int, kind byte")
-    met = seg.repartition("anchor").sortWithinPartitions("anchor", "content", "key", "start").mapInArrow(_meet(method), "key long, start long, n int, whole boolean, anchor long")
-    marked = met.groupBy("key").agg(F.collect_list(F.struct("start", "n", "whole", "anchor")).alias("marks"))
+    met = seg.repartition("anchor").sortWithinPartitions("anchor", "content", "key", "start").mapInArrow(_meet(method), "key long, start long, n int, whole boolean, anchor long, hot boolean")
+    marked = met.groupBy("key").agg(F.collect_list(F.struct("start", "n", "whole", "anchor", "hot")).alias("marks"))
     # Both joins read the same columns, so that the texts are shuffled once and the exchange is used again.
     others = [c for c in rows.columns if c not in ("key", "text")]
     wanted = rows.join(marked.hint("shuffle_hash"), "key").select("key", "text", "marks", *others)
     contents = wanted.mapInArrow(_payloads(method), "anchor long, key long, start long, n int, content binary")
-    found = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_verify(method), "key long, start long, n int, bits binary")
+    found = contents.repartition("anchor").sortWithinPartitions("anchor", "key", "start").mapInArrow(_verify(method), "key long, start long, n int, bits binary")
     per = found.groupBy("key").agg(F.collect_list(F.struct("start", "n", "bits")).alias("marks"))
     out = rows.join(per.hint("shuffle_hash"), "key", "left").select("id", "text", "marks", *[c for c in others if c != "id"])
     return out.mapInArrow(finish, schema)

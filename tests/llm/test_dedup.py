@@ -30,6 +30,38 @@ def test_substring_dedup_is_brute_force(spark, seed):
     assert [tuple(r) for r in got] == removed_words(sorted(zip(ids, texts)))
 
 
+@pytest.mark.parametrize("rows, batch", [(0, 1 << 19), (0, 300), (3, 4000)])
+def test_hot_anchors_are_brute_force(spark, rows, batch, monkeypatch):
+    """Anchors with more than so many candidates are split by windows; Arrow batches of few rows cut the groups."""
+    monkeypatch.setattr(anchored, "HOT_ROWS", rows)
+    monkeypatch.setattr(anchored, "WINDOWS_AT_ONCE", 97)
+    monkeypatch.setattr(anchored, "BATCH_BYTES", batch)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        texts = corpus(n=40, seed=8, long=600)
+        ids = list(range(len(texts)))
+        random.Random(8).shuffle(ids)
+        docs = documents(spark, texts, ids)
+        got = suffix_dedup.repeated_bytes(docs).orderBy("doc_id").collect()
+        assert [tuple(r) for r in got] == removed_bytes(sorted(zip(ids, texts)))
+        got = substring_dedup.repeated_words(docs).orderBy("doc_id").collect()
+        assert [tuple(r) for r in got] == removed_words(sorted(zip(ids, texts)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_anchors_are_counted_over_batches():
+    anchors = [1, 1, 2, 2, 2, 2, 2, 3, 4, 4, 4, 5, 5, 5, 5]
+    for width in (1, 2, 4, 20):
+        counted, got = anchored._Counted(3), []
+        for i in range(0, len(anchors), width):
+            a = np.array(anchors[i : i + width])
+            got.append(counted.push([(a, a, a, a)]))
+        got.append(counted.push([], end=True))
+        assert [int(x) for g in got for x in g[3]] == anchors
+        assert [bool(x) for g in got for x in g[4]] == [x in (2, 5) for x in anchors]
+
+
 def test_common_prefix_classes_are_the_prefixes():
     r = np.random.default_rng(0)
     text = r.integers(97, 99, 600).astype(np.uint8)
