@@ -42,7 +42,7 @@ LONGEST_RUN = 512
 #: Contents of so many bytes, and of whole anchors, are verified together.
 BATCH_BYTES = 1 << 19
 #: An anchor with more candidates is split by its windows; so many windows are written out at a time.
-HOT_ROWS, WINDOWS_AT_ONCE = 1 << 13, 1 << 13
+HOT_ROWS, WINDOWS_AT_ONCE = 1 << 11, 1 << 13
 
 
 @dataclass(frozen=True)
