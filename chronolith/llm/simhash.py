@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, cut
-from .text_arrays import chunks, words
+from .text_arrays import SPACE, chunks, words
 
 SEED = 42
 SHINGLE = 3
@@ -39,31 +39,41 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 
 
-def shingle_hashes(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[list[int], np.ndarray]:
+#: Shingles that are handled together, so that a very long text needs little more than its bytes and hashes.
+STEP = 1 << 15
+
+
+def shingle_hashes(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of every shingle of the chunk's documents, and the offsets of the documents in them."""
     starts, ends, first = words(raw, off)
-    low, n = _LOW[raw], len(starts)
-    # Words joined by single blanks: each byte of a word moves to its place, the rest are blanks.
-    length = ends - starts
-    to = np.concatenate(([0], np.cumsum(length + 1)))
+    n = len(starts)
+    # Words joined by single blanks: the words' bytes in turn fill all places but those behind the words.
+    to = np.concatenate(([0], np.cumsum(ends - starts + 1)))
+    inside = np.ones(to[-1], bool)
+    inside[to[1:] - 1] = False
     joined = np.full(to[-1], 32, np.uint8)
-    joined[np.repeat(to[:-1] - np.concatenate(([0], np.cumsum(length)))[:-1], length) + np.arange(length.sum())] = low[np.repeat(starts - np.concatenate(([0], np.cumsum(length)))[:-1], length) + np.arange(length.sum())]
+    joined[inside] = _LOW[raw[~SPACE[raw]]]
     text, count = joined.tobytes(), np.diff(first)
     shingles = np.where(count >= size, count - size + 1, np.minimum(count, 1))
     out = np.concatenate(([0], np.cumsum(shingles)))
     begin = np.repeat(first[:-1] - out[:-1], shingles) + np.arange(out[-1])
     last = np.minimum(begin + size, np.repeat(first[1:], shingles)) if n else begin
     digest = xxhash.xxh64_intdigest
-    return [digest(text[a:b], SEED) for a, b in zip(to[begin].tolist(), (to[last] - 1).tolist())], out
+    hashes = np.empty(len(begin), ">u8")
+    for i in range(0, len(begin), STEP):
+        ends = (to[last[i : i + STEP]] - 1).tolist()
+        hashes[i : i + STEP] = [digest(text[a:b], SEED) for a, b in zip(to[begin[i : i + STEP]].tolist(), ends)]
+    return hashes, out
 
 
 def fingerprints(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """The fingerprint of each document of a chunk."""
     hashes, out = shingle_hashes(raw, off, size)
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    packed = hashes.view(np.uint8).reshape(-1, 8)
     got = np.zeros((len(off) - 1, 64), np.uint8)
     for i, (a, b) in enumerate(zip(out[:-1].tolist(), out[1:].tolist())):
-        got[i] = 2 * bits[a:b].sum(0, dtype=np.int64) > b - a
+        ones = sum((np.unpackbits(packed[j : min(j + STEP, b)], axis=1).sum(0, dtype=np.int64) for j in range(a, b, STEP)), np.zeros(64, np.int64))
+        got[i] = 2 * ones > b - a
     return np.packbits(got, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
