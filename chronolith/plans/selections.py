@@ -9,7 +9,7 @@ from ..operators import hierarchy, retrieval, selection, timeline
 from ..sources import loaders
 from ..sources.tables import levels, memories, sql, table, turns
 from .registry import query
-from .texts import E, _english, _pairs
+from .texts import E, _english, _pairs, _whole_pairs
 from .timelines import KEYS
 
 
@@ -167,13 +167,13 @@ def session_last_turn(s, d):
 @query()
 def sequence_similarity(s, d):
     """Ratcliff/Obershelp similarity of neighbouring turns; Python's definition, so no SQL."""
-    return _pairs(s, d).select("id", F.round(text.sequence_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    return _whole_pairs(s, d).select("id", F.round(text.sequence_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
 @query()
 def stemmed_f1(s, d):
     """Token F1 on Porter stems."""
-    p = _pairs(s, d).select("id", *[text.stems(F.filter(F.split(text.normalize_answer(F.col(c)), " "), lambda t: t != "")).alias(c) for c in "ab"])
+    p = _whole_pairs(s, d).select("id", *[text.stems(F.filter(F.split(text.normalize_answer(F.col(c)), " "), lambda t: t != "")).alias(c) for c in "ab"])
     common = text.multiset_common(F.col("a"), F.col("b"))
     return p.select("id", F.when(common == 0, 0.0).otherwise(2 * common / (F.size("a") + F.size("b"))).alias("f1"))
 

@@ -99,7 +99,16 @@ PAIRS = ", p AS (SELECT id, substr(text, 1, 60) AS a, lead(substr(text, 1, 60))
 
 def _pairs(s, d):
     """Each turn's start with the next session's at the same turn."""
-    e = _english(s, d).select("id", F.substring("text", 1, 60).alias("a"))
+    return _neighbours(_english(s, d).withColumn("text", F.substring("text", 1, 60)))
+
+
+def _whole_pairs(s, d):
+    """Each whole turn with the next session's at the same turn."""
+    return _neighbours(_english(s, d))
+
+
+def _neighbours(e):
+    e = e.select("id", F.col("text").alias("a"))
     return e.join(e.select((F.col("id") - 100).alias("id"), F.col("a").alias("b")), "id")
 
 
