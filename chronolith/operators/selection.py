@@ -71,19 +71,19 @@ def first_per_type(rows: DataFrame, excluded: DataFrame, key: str, kind: str, n:
 def greedy_sample(items: DataFrame, group: str, n: int, decay: float = 0.5, cap: float = 0.4) -> DataFrame:
     """Weighted greedy picks in each group: a pick's stratum loses weight, an answer may fill ``cap`` of the picks.
 
+    Where only capped answers are left, all that remain are open again.
     Sequential by nature, so each group (stated small: one user's candidates) goes to one Python call.
     """
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id").reset_index(drop=True)
-        weight, chosen, answers = g["weight"].to_numpy(float).copy(), [], {}
+        answer, weight, chosen, answers = g["answer"].to_numpy(), g["weight"].to_numpy(float).copy(), [], {}
         while len(chosen) < min(n, len(g)):
-            open_ = [i for i in range(len(g)) if i not in chosen and answers.get(g["answer"][i], 0) < max(1, int(cap * n))]
-            if not open_:
-                break
+            rest = [i for i in range(len(g)) if i not in chosen]
+            open_ = [i for i in rest if answers.get(answer[i], 0) < max(1, int(cap * n))] or rest
             best = max(open_, key=lambda i: (weight[i], -i))
             chosen.append(best)
-            answers[g["answer"][best]] = answers.get(g["answer"][best], 0) + 1
+            answers[answer[best]] = answers.get(answer[best], 0) + 1
             weight[(g["stratum"] == g["stratum"][best]).to_numpy()] *= decay
         return g.loc[chosen].assign(pick=range(1, len(chosen) + 1))
 

@@ -1,9 +1,11 @@
 """Queries without SQL on small tables, against brute force over all of their rows and texts."""
 
+import datetime as dt
 import difflib
 from collections import Counter
 
 from chronolith.functions import text
+from chronolith.operators import selection
 from chronolith.plans import QUERIES
 
 OPENING = "one opening that is the same for all of the turns, sixty-odd long; "
@@ -31,3 +33,17 @@ def test_stemmed_f1_reads_whole_turns(spark, tmp_path):
     want = {i * 100: 2 * (bags[i] & bags[i + 1]).total() / (bags[i].total() + bags[i + 1].total()) for i in range(2)}
     got = {r.id: r.f1 for r in QUERIES["stemmed_f1"].run(spark, d).collect()}
     assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_greedy_sample_draws_from_all_days(spark, tmp_path):
+    rows = [(i, "click", f"p{i % 3}", 1, dt.datetime(2024, 1, day)) for i, day in enumerate([2, 5, 12, 20, 30])]
+    spark.createDataFrame(rows, "event_id long, event_type string, props string, user_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["greedy_sample"].run(spark, str(tmp_path)).orderBy("pick").collect()
+    assert sorted(r.id for r in got) == [0, 1, 2, 3, 4]
+
+
+def test_greedy_sample_falls_back_to_capped_answers(spark):
+    rows = [("ann", i, "same" if i < 4 else "other", "s", float(9 - i)) for i in range(5)]
+    items = spark.createDataFrame(rows, "speaker string, id long, answer string, stratum string, weight double")
+    got = selection.greedy_sample(items, "speaker", 5).orderBy("pick").collect()
+    assert [r.id for r in got] == [0, 1, 4, 2, 3]
