@@ -123,8 +123,19 @@ def fingerprint_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col
     return rows.join(root.join(ids, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def deduplicate(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows with the least id of each group, with all their columns (all rows that repeat that id); rows without an id stay."""
-    groups = fingerprint_groups(documents, id_col=id_col, text_col=text_col, shingle=shingle)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return documents.join(gone, documents[id_col] == gone["_gone"], "left_anti")
+def deduplicate(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, one_row: bool = False) -> DataFrame:
+    """The rows with the least id of each group, with all their columns.
+
+    Rows of a group that repeat its least id stay, and so do rows without an id.  With ``one_row`` each group
+    keeps one row: of the least id (none: the last), then of the least text hash.
+    """
+    if not documents.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count():
+        groups = fingerprint_groups(documents, id_col=id_col, text_col=text_col, shingle=shingle)
+        gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
+        return documents.join(gone, documents[id_col] == gone["_gone"], "left_anti")
+    rows = cut(documents.withColumn("_row", F.monotonically_increasing_id()))
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"), F.col("_row").alias("row"))
+    groups = fingerprint_groups(rows.select(place.alias("_place"), F.col(text_col).alias("_text")), id_col="_place", text_col="_text", shingle=shingle)
+    later = F.col("_place") != F.col("component_id") if one_row else F.col("_place.id") != F.col("component_id.id")
+    gone = groups.where(later).select(F.col("_place.row").alias("_gone"))
+    return rows.join(gone, rows["_row"] == gone["_gone"], "left_anti").drop("_row")
