@@ -18,12 +18,12 @@ PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def normalize_answer(c: Column) -> Column:
     """Commas out, articles and "and" to blanks, punctuation out, lower case, single blanks."""
-    c = F.regexp_replace(F.regexp_replace(c, ",", ""), r"(?i)\b(a|an|the|and)\b", " ")
+    c = F.regexp_replace(F.regexp_replace(c, ",", ""), r"(?iU)\b(a|an|the|and)\b", " ")
     return squeeze(F.lower(F.regexp_replace(c, PUNCTUATION, "")))
 
 
@@ -38,7 +38,7 @@ def normalize_answer_spaced(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"\b\w+\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w+\b"), F.lit(0))
 
 
 def tokens(c: Column, stopwords=STOPWORDS) -> Column:

@@ -9,7 +9,7 @@ from ..operators import hierarchy, retrieval, selection, timeline
 from ..sources import loaders
 from ..sources.tables import levels, memories, sql, table, turns
 from .registry import query
-from .texts import E, _english, _pairs, _whole_pairs
+from .texts import E, _english, _pairs, _texts, _whole_pairs
 from .timelines import KEYS
 
 
@@ -186,7 +186,7 @@ def greedy_sample(s, d):
 
 @query()
 def diverse_rerank(s, d):
-    e = _english(s, d).select((F.col("id") / 100).cast("long").alias("query"), "id", (F.length("text") % 50 / 50).alias("score"), text.tokens(F.col("text")).alias("tokens"))
+    e = _texts(s, d).select((F.col("id") / 100).cast("long").alias("query"), "id", (F.length("text") % 50 / 50).alias("score"), text.tokens(F.col("text")).alias("tokens"))
     return selection.diversified(e, "query", 3)
 
 

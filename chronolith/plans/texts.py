@@ -19,6 +19,11 @@ def _docs(s, d):
     return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text", "lang")
 
 
+def _texts(s, d):
+    """Turns with their texts as they are."""
+    return turns(s, d).select((F.col("session") * 100 + F.col("turn")).alias("id"), "text")
+
+
 def _english(s, d):
     """Turns, whose texts are plain ASCII words to every engine's regular expressions."""
     return turns(s, d).select((F.col("session") * 100 + F.col("turn")).alias("id"), F.regexp_replace("text", "[^\\x00-\\x7F]", "").alias("text"))
@@ -104,7 +109,7 @@ def _pairs(s, d):
 
 def _whole_pairs(s, d):
     """Each whole turn with the next session's at the same turn."""
-    return _neighbours(_english(s, d))
+    return _neighbours(_texts(s, d))
 
 
 def _neighbours(e):

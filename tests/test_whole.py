@@ -4,6 +4,8 @@ import datetime as dt
 import difflib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from chronolith.functions import text
 from chronolith.operators import selection
 from chronolith.plans import QUERIES
@@ -47,3 +49,22 @@ def test_greedy_sample_falls_back_to_capped_answers(spark):
     items = spark.createDataFrame(rows, "speaker string, id long, answer string, stratum string, weight double")
     got = selection.greedy_sample(items, "speaker", 5).orderBy("pick").collect()
     assert [r.id for r in got] == [0, 1, 4, 2, 3]
+
+
+def test_texts_keep_their_letters(spark, tmp_path):
+    d = conversations(spark, tmp_path, ["die Straße é the über façade", "eine Straße über Flüsse façades", "Straße"])
+    got = {r.id: r.f1 for r in QUERIES["stemmed_f1"].run(spark, d).collect()}
+    assert {k: round(v, 6) for k, v in got.items()} == {0: 0.6, 100: round(2 / 6, 6)}
+    got = {r.id: r.ratio for r in QUERIES["sequence_similarity"].run(spark, d).collect()}
+    assert got[100] == round(difflib.SequenceMatcher(None, "eine straße über flüsse façades", "straße").ratio(), 6)
+
+
+def test_words_are_those_of_unicode(spark, tmp_path):
+    one = spark.range(1).select(text.words(F.lit("Straße, ÜBER naïve_2")).alias("w"), text.normalize_answer(F.lit("éa\u00a0the Öl")).alias("n")).first()
+    assert one.w == ["straße", "über", "naïve_2"] and one.n == "éa öl"
+
+
+def test_diverse_rerank_reads_unchanged_texts(spark, tmp_path):
+    d = conversations(spark, tmp_path, ["ü" * 30 + "ab"])
+    (got,) = QUERIES["diverse_rerank"].run(spark, d).collect()
+    assert got.score == 32 / 50
