@@ -8,7 +8,8 @@ anchor, to which only the words around each anchor go.  Scanning a document's wo
 set finds the places at which a window could stand, and comparing the words verifies each hit.
 
 Defined results: null texts have no words; items with no words match nothing; an item repeated
-under one id counts once; documents that repeat an id are one document to the hits (those of any
+under one id counts once, and all items without an id are one item; documents without an id are
+told apart by their texts; documents that repeat an id are one document to the hits (those of any
 of its rows mark the same word numbers) and one row each in the result.  Other columns of the
 inputs are ignored by the report and kept by the filters.
 """
@@ -38,7 +39,7 @@ def windows(items: DataFrame, item_col: str, text_col: str, size: int) -> DataFr
     """(item, window, length, anchor, at) of every distinct window; ``at`` is the anchor's place from 0."""
     w = (
         items.select(F.col(item_col).cast("string").alias("item"), word_list(F.col(text_col)).alias("w"))
-        .where((F.size("w") > 0) & F.col("item").isNotNull())
+        .where(F.size("w") > 0)
         .withColumn("s", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (size - 1)))))
         .select("item", F.slice("w", F.col("s"), size).alias("window"))
         .distinct()
@@ -47,66 +48,79 @@ def windows(items: DataFrame, item_col: str, text_col: str, size: int) -> DataFr
     return w.withColumn("a", best).select("item", "window", F.size("window").alias("length"), F.col("a.x").alias("anchor"), F.col("a.i").alias("at"))
 
 
+def _unnamed(documents: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells documents without an id apart: equal texts have equal hits."""
+    return F.when(documents[id_col].isNull(), F.sha2(F.coalesce(documents[text_col].cast("string"), F.lit("")), 256))
+
+
 def hits(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(id, item, start, length): each place, counted in words from 0, at which a window of an item stands."""
+    """(id, unnamed, item, start, length): each place, counted in words from 0, at which a window of an item stands."""
     known = windows(items, item_col, item_text_col, size)
     weight = known.agg(F.coalesce(F.sum(F.length(F.array_join("window", " ")) + 16 * F.col("length") + 64), F.lit(0))).first()[0]
-    words = documents.select(F.col(id_col).alias("id"), word_list(F.col(text_col)).alias("w"))
-    places = words.select("id", "w", F.posexplode("w").alias("pos", "word"))
+    words = documents.select(F.col(id_col).alias("id"), _unnamed(documents, id_col, text_col).alias("unnamed"), word_list(F.col(text_col)).alias("w"))
+    places = words.select("id", "unnamed", "w", F.posexplode("w").alias("pos", "word"))
     start = F.col("pos") - F.col("at")
     if weight <= broadcast_bytes:
         same = (F.col("word") == F.col("anchor")) & (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("length")) == F.col("window"))
         found = places.join(F.broadcast(known), same)
     else:
         from_ = F.greatest(F.col("pos") - (size - 1), F.lit(0))
-        near = places.select("id", "pos", "word", from_.alias("from"), F.slice("w", from_ + 1, 2 * size - 1).alias("near"))
+        near = places.select("id", "unnamed", "pos", "word", from_.alias("from"), F.slice("w", from_ + 1, 2 * size - 1).alias("near"))
         same = (F.col("word") == F.col("anchor")) & (start >= 0) & (F.slice("near", F.greatest(start - F.col("from"), F.lit(0)) + 1, F.col("length")) == F.col("window"))
         found = near.join(known.hint("shuffle_hash"), same)
-    return found.select("id", "item", start.alias("start"), "length")
+    return found.select("id", "unnamed", "item", start.alias("start"), "length")
 
 
-def contamination(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """A row for each document: n_words, n_hit, n_items, items_sha256, contaminated, and the hit ``spans`` as [start, end) in words.
-
-    A document is contaminated if a twentieth of its words or more lie in windows of items.
-    """
+def _report(documents: DataFrame, items: DataFrame, *, id_col: str, text_col: str, **options) -> DataFrame:
+    """The rows of ``contamination``, with ``unnamed``."""
     found = hits(documents, items, id_col=id_col, text_col=text_col, **options)
     spans = F.sort_array(F.collect_set(F.struct(F.col("start").cast("long").alias("s"), (F.col("start") + F.col("length")).cast("long").alias("e"))))
-    per = found.groupBy("id").agg(spans.alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    per = found.groupBy("id", "unnamed").agg(spans.alias("spans"), F.sort_array(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull().cast("long")).alias("nameless"))
     nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
     covered = F.aggregate(
         "spans", nothing,
         lambda a, x: F.struct((a["n"] + F.greatest(x["e"] - F.greatest(x["s"], a["to"]), F.lit(0))).alias("n"), F.greatest(a["to"], x["e"]).alias("to")),
         lambda a: a["n"],
     )
-    per = per.select("id", covered.alias("n_hit"), "items", "spans")
-    counts = documents.select(F.col(id_col).alias("doc"), F.size(word_list(F.col(text_col))).cast("long").alias("n_words"))
-    rows = counts.join(per, F.col("doc") == F.col("id"), "left")
+    per = per.select("id", "unnamed", covered.alias("n_hit"), "items", "nameless", "spans")
+    counts = documents.select(F.col(id_col).alias("doc"), _unnamed(documents, id_col, text_col).alias("_unnamed"), F.size(word_list(F.col(text_col))).cast("long").alias("n_words"))
+    rows = counts.join(per, F.col("doc").eqNullSafe(F.col("id")) & F.col("_unnamed").eqNullSafe(F.col("unnamed")), "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.select(
         F.col("doc").alias(id_col),
         "n_words",
         hit.alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(F.size("items") + F.col("nameless"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
         F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("spans"),
+        F.col("_unnamed").alias("unnamed"),
     )
 
 
+def contamination(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """A row for each document: n_words, n_hit, n_items, items_sha256, contaminated, and the hit ``spans`` as [start, end) in words.
+
+    A document is contaminated if a twentieth of its words or more lie in windows of items.
+    """
+    return _report(documents, items, id_col=id_col, text_col=text_col, **options).drop("unnamed")
+
+
 def remove_contaminated(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``documents`` that aren't contaminated, with all their columns; rows without an id stay."""
-    found = contamination(documents, items, id_col=id_col, text_col=text_col, **options)
-    bad = found.where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return documents.join(bad, documents[id_col] == bad["_bad"], "left_anti")
+    """The rows of ``documents`` that aren't contaminated, with all their columns."""
+    found = _report(documents, items, id_col=id_col, text_col=text_col, **options)
+    bad = found.where("contaminated").select(F.col(id_col).alias("_bad"), F.col("unnamed").alias("_unnamed")).distinct()
+    same = documents[id_col].eqNullSafe(bad["_bad"]) & _unnamed(documents, id_col, text_col).eqNullSafe(bad["_unnamed"])
+    return documents.join(bad, same, "left_anti")
 
 
 def remove_spans(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All rows; texts with hits are the normalised words outside of them, joined by blanks."""
     found = hits(documents, items, id_col=id_col, text_col=text_col, **options)
-    per = found.groupBy(F.col("id").alias("_id")).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("length") - 1)))).alias("_hit"))
+    per = found.groupBy(F.col("id").alias("_id"), F.col("unnamed").alias("_unnamed")).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("length") - 1)))).alias("_hit"))
     kept = F.filter(F.transform(word_list(documents[text_col]), lambda x, i: F.when(~F.array_contains(per["_hit"], i), x)), lambda x: x.isNotNull())
-    rows = documents.join(per, documents[id_col] == per["_id"], "left")
+    same = documents[id_col].eqNullSafe(per["_id"]) & _unnamed(documents, id_col, text_col).eqNullSafe(per["_unnamed"])
+    rows = documents.join(per, same, "left")
     text = F.when(per["_hit"].isNull(), documents[text_col]).otherwise(F.array_join(kept, " "))
     return rows.select(*[text.alias(c) if c == text_col else documents[c] for c in documents.columns])
 

@@ -1,7 +1,9 @@
 """Rows that repeat an id or have none."""
 
+import pytest
+
 import corpus_pipeline
-from chronolith.llm import simhash
+from chronolith.llm import decontaminate, simhash
 
 from .helpers import documents
 
@@ -24,3 +26,13 @@ def test_simhash_decides_by_row(spark):
 def test_pipeline_keeps_one_row_of_each_group(spark):
     docs = documents(spark, [FIRST, FIRST, FIRST, SECOND, SECOND, None, ""], [None, 4, 4, None, None, None, 8])
     assert kept(corpus_pipeline.drop_near_duplicates(spark, docs, "")) == [(False, 4, FIRST), (False, 8, ""), (True, 0, SECOND)]
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_contamination_of_and_by_rows_without_an_id(spark, limit):
+    items = spark.createDataFrame([(None, FIRST), (7, SECOND)], "item_id long, text string")
+    docs = documents(spark, [FIRST, SECOND, "clean words", f"{FIRST} {SECOND}"], [1, None, None, None])
+    got = decontaminate.contamination(docs, items, broadcast_bytes=limit).collect()
+    assert sorted((r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == [(2, 0, 0, False), (12, 12, 1, True), (13, 13, 1, True), (25, 25, 2, True)]
+    assert [r.text for r in decontaminate.remove_contaminated(docs, items, broadcast_bytes=limit).collect()] == ["clean words"]
+    assert sorted(r.text for r in decontaminate.remove_spans(docs, items, broadcast_bytes=limit).collect()) == ["", "", "", "clean words"]
