@@ -4,8 +4,10 @@ The frame that the suffix-array and the recompression operators share.  A *windo
 (bytes, words) of one document.  Each window has an *anchor*, a name computed from the window's own
 content, so that equal windows have equal anchors; a *segment* is a run of windows with one anchor.
 
-1. ``segments``: documents give segments (anchor, hash of the content, place).  Equal segments of
-   one task are merged before the shuffle: all but the first are known to repeat.
+1. ``segments``: documents give segments (anchor, two hashes of the content, place).  Equal segments of
+   one task are merged before the shuffle: all but the first are known to repeat.  Those of a chunk are
+   merged all, those of the task as far as a table of ``SEEN`` contents remembers them, so that a content
+   that very many documents share costs about a row for each task.
 2. ``meet``: segments sorted by anchor and content stream through; later equal segments repeat whole, and
    a segment that shares its anchor with different ones is a candidate.  Nothing else goes on.
 3. ``payloads``: documents joined with their candidates emit these segments' contents.
@@ -13,6 +15,7 @@ content, so that equal windows have equal anchors; a *segment* is a run of windo
    window whether it repeats an earlier one.
 5. ``cover``: documents joined with all that repeats in them are handed to the operator's last step.
 
+Segments are equal if their anchors and both hashes are, 192 bits; windows are compared by bytes or words.
 A group of copies costs a row for each task and segment, not pairs, and candidates are
 different contents only.  Step 4 holds one anchor's different contents at a time, and they are bounded: an
 anchor with more than ``HOT_ROWS`` candidates (a passage that very many documents share, in surroundings that
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import cut
-from .text_arrays import U64, byte_values, byte_view, chunks, range_hash
+from .text_arrays import CHUNK_BYTES, U64, byte_values, byte_view, chunks, range_hash
 
 #: Kinds of segments: known to repeat whole; with equal windows inside.
 WHOLE, INNER = 1, 2
@@ -43,6 +46,8 @@ LONGEST_RUN = 512
 BATCH_BYTES = 1 << 19
 #: An anchor with more candidates is split by its windows; so many windows are written out at a time.
 HOT_ROWS, WINDOWS_AT_ONCE = 1 << 11, 1 << 13
+#: Contents that a task remembers; candidates whose contents are written out at a time.
+SEEN, CONTENTS_AT_ONCE = 1 << 16, 1 << 13
 
 
 @dataclass(frozen=True)
@@ -50,14 +55,17 @@ class Method:
     """What an operator adds.
 
     ``anchors(bytes, offsets)``: for each window of a chunk its anchor, its document and its start in units from the
-    document's start, and a function (first windows, last windows) that gives segments' hashes and whether a segment
-    may hold equal windows itself.
+    document's start, and a function (first windows, last windows) that gives two hashes of each segment and whether a
+    segment may hold equal windows itself.
+    ``slices(bytes)``: a very long document's parts (from, to, units before), such that each window lies whole in one
+    and no two parts hold the same window.
     ``payload(bytes, offsets, documents, starts, numbers of windows)``: segments' contents, as an Arrow binary array.
     ``verify(contents, numbers of windows, documents, starts)``: one flag for each window of each segment in turn.
     ``within``: whether windows of one document repeat each other, too.
     """
 
     anchors: Callable
+    slices: Callable
     payload: Callable
     verify: Callable
     within: bool
@@ -71,7 +79,7 @@ def keyed(documents: DataFrame, id_col: str, text_col: str, rest: bool = False)
     others = [F.struct(*[documents[c].alias(f"c{i}") for i, c in enumerate(documents.columns) if c != text_col]).alias("rest")] if rest else []
     rows = documents.select(documents[id_col].cast("long").alias("id"), documents[text_col].cast("string").alias("text"), *others)
     if rows.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).limit(1).count():
-        rows = cut(rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text"))
+        rows = cut(rows.repartitionByRange("id", "text").sortWithinPartitions("id", "text"))
         return cut(rows.select(F.monotonically_increasing_id().alias("key"), *rows.columns))
     return rows.select(F.col("id").alias("key"), *rows.columns).where(F.col("key").isNotNull())  # none is null here
 
@@ -95,25 +103,58 @@ def _runs(anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(anchor)) - 1
 
 
+class _Seen:
+    """The earliest place of contents that a task has met, by a table in which each newer content takes its slot."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.names, self.key, self.start = np.zeros((3, size), U64), np.zeros(size, np.int64), np.full(size, -1, np.int64)
+
+    def later(self, a, h, h2, key, start, within: bool) -> np.ndarray:
+        """Which rows repeat a content that was met before at an earlier place; the others are met now."""
+        slot = ((a ^ h) % U64(self.size)).astype(np.int64)
+        known = (self.start[slot] >= 0) & (self.names[0, slot] == a) & (self.names[1, slot] == h) & (self.names[2, slot] == h2)
+        again = known & (key > self.key[slot])
+        if within:
+            again |= known & (key == self.key[slot]) & (start > self.start[slot])
+        new = ~again
+        for column, values in zip((*self.names, self.key, self.start), (a, h, h2, key, start)):
+            column[slot[new]] = values[new]
+        return again
+
+
+def _parts(slices: Callable, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """Chunks (first row, end row, bytes, offsets, units before); a very long document comes in parts."""
+    for row, end, raw, off in chunks(column):
+        if len(raw) <= 2 * CHUNK_BYTES:
+            yield row, end, raw, off, 0
+        else:
+            for a, z, before in slices(raw):
+                yield row, end, raw[a:z], np.array([0, z - a]), before
+
+
 def _segments(method: Method):
     def run(batches):
+        seen = _Seen(SEEN)
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
-            for row, end, raw, off in chunks(b.column(1)):
+            for row, end, raw, off, before in _parts(method.slices, b.column(1)):
                 anchor, doc, start, hashed = method.anchors(raw, off)
                 if not len(anchor):
                     continue
                 first, last = _runs(anchor, doc)
-                a, (h, inner) = anchor[first], hashed(first, last)
-                key, start, n = keys[row:end][doc[first]], start[first], last - first + 1
+                a, (h, h2, inner) = anchor[first], hashed(first, last)
+                key, start, n = keys[row:end][doc[first]], start[first] + before, last - first + 1
                 order = np.lexsort((start, key, h, a))
-                a, h, key, start, n, inner = a[order], h[order], key[order], start[order], n[order], inner[order]
-                same = np.concatenate(([False], (a[1:] == a[:-1]) & (h[1:] == h[:-1])))
+                a, h, h2, key, start, n, inner = (x[order] for x in (a, h, h2, key, start, n, inner))
+                same = np.concatenate(([False], (a[1:] == a[:-1]) & (h[1:] == h[:-1]) & (h2[1:] == h2[:-1])))
                 head = np.maximum.accumulate(np.where(same, 0, np.arange(len(a))))
                 whole = same if method.within else same & (key > key[head])
+                some = np.flatnonzero(~whole)
+                whole[some] = seen.later(a[some], h[some], h2[some], key[some], start[some], method.within)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.where(whole, key.view(U64), a).view(np.int64)), pa.array(h.view(np.int64)), pa.array(key), pa.array(start), pa.array(n.astype(np.int32)), pa.array(np.where(whole, WHOLE, np.where(inner, INNER, 0)).astype(np.int8))],
-                    ["anchor", "content", "key", "start", "n", "kind"],
+                    [pa.array(np.where(whole, key.view(U64), a).view(np.int64)), pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(key), pa.array(start), pa.array(n.astype(np.int32)), pa.array(np.where(whole, WHOLE, np.where(inner, INNER, 0)).astype(np.int8))],
+                    ["anchor", "content", "content2", "key", "start", "n", "kind"],
                 )
 
     return run
@@ -156,20 +197,21 @@ def _meet(method: Method):
     def run(batches):
         counted = _Counted(HOT_ROWS)
         held = None  # the first row of the last anchor, while all of that anchor's rows were equal to it
-        last = None  # (anchor, content, key) that the last content began with
+        last = None  # (anchor, both hashes, key) that the last content began with
         for b in batches:
             if not b.num_rows:
                 continue
-            a, h, key, start, n, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            a, h, h2, key, start, n, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
             whole = kind == WHOLE
             yield _marks(key[whole], start[whole], n[whole], a[whole])
-            a, h, key, start, n, inner = (x[~whole] for x in (a, h, key, start, n, kind == INNER))
+            a, h, h2, key, start, n, inner = (x[~whole] for x in (a, h, h2, key, start, n, kind == INNER))
             if len(a):
                 before_a, before_h = np.concatenate(([last[0] if last else ~a[0]], a[:-1])), np.concatenate(([last[1] if last else ~h[0]], h[:-1]))
                 same_a = a == before_a
-                same = same_a & (h == before_h)
+                before_2 = np.concatenate(([last[2] if last else ~h2[0]], h2[:-1]))
+                same = same_a & (h == before_h) & (h2 == before_2)
                 head = np.maximum.accumulate(np.where(same, -1, np.arange(len(a))))
-                head_key = np.where(head >= 0, key[np.maximum(head, 0)], last[2] if last else 0)
+                head_key = np.where(head >= 0, key[np.maximum(head, 0)], last[3] if last else 0)
                 full = same & (method.within | (key > head_key))
                 fresh = ~same
                 cand = (fresh & same_a) | (same & ~full)
@@ -187,7 +229,7 @@ def _meet(method: Method):
                     if len(opener) and opener[-1] == following[-1] and not inner[opener[-1]]:
                         i = opener[-1]
                         held = (a[i], key[i], start[i], n[i])
-                last = (a[-1], h[-1], head_key[-1])
+                last = (a[-1], h[-1], h2[-1], head_key[-1])
         yield _marks(*counted.push([], end=True))
 
     return run
@@ -231,6 +273,10 @@ def _windows(method: Method, raw, off, row, keys, start, n, at_once) -> Iterator
         same = np.concatenate(([False], (x[1:] == x[:-1]) & (y[1:] == y[:-1])))
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))
         whole = same if method.within else same & (k > k[head])
+        w = np.flatnonzero(whole)
+        if len(w):
+            equal = pc.equal(content.take(pa.array(order[w])), content.take(pa.array(order[head[w]])))
+            whole[w] = equal.to_numpy(zero_copy_only=False)
         some = order[~whole]
         yield _contents(first[some].view(np.int64), key[some], place[some], one[some], content.take(pa.array(some)))
         some = np.sort(order[whole])  # in order of row and start
@@ -258,9 +304,10 @@ def _payloads(method: Method):
             for first, end, raw, off in chunks(b.column(1)):
                 some = c[np.searchsorted(row[c], first) : np.searchsorted(row[c], end)]
                 split, some = some[hot[some]], some[~hot[some]]
-                if len(some):
-                    content = method.payload(raw, off, row[some] - first, start[some], n[some])
-                    yield _contents(anchor[some], keys[row[some]], start[some], n[some], content)
+                for i in range(0, len(some), CONTENTS_AT_ONCE):
+                    part = some[i : i + CONTENTS_AT_ONCE]
+                    content = method.payload(raw, off, row[part] - first, start[part], n[part])
+                    yield _contents(anchor[part], keys[row[part]], start[part], n[part], content)
                 if len(split):
                     yield from _windows(method, raw, off, row[split] - first, keys[first:end], start[split], n[split], WINDOWS_AT_ONCE)
 
@@ -360,8 +407,8 @@ def spans(marks_at: np.ndarray, marks: pa.StructArray, rows: range) -> Iterator[
 
 def repeated(rows: DataFrame, method: Method, finish, schema: str) -> DataFrame:
     """``finish`` applied to (id, text, marks, others) of each row of ``rows`` (key, id, text, others); see the module's text for the steps."""
-    seg = rows.where(F.col("text").isNotNull()).select("key", "text").mapInArrow(_segments(method), "anchor long, content long, key long, start long, n int, kind byte")
-    met = seg.repartition("anchor").sortWithinPartitions("anchor", "content", "key", "start").mapInArrow(_meet(method), "key long, start long, n int, whole boolean, anchor long, hot boolean")
+    seg = rows.where(F.col("text").isNotNull()).select("key", "text").mapInArrow(_segments(method), "anchor long, content long, content2 long, key long, start long, n int, kind byte")
+    met = seg.repartition("anchor").sortWithinPartitions("anchor", "content", "content2", "key", "start").mapInArrow(_meet(method), "key long, start long, n int, whole boolean, anchor long, hot boolean")
     marked = met.groupBy("key").agg(F.collect_list(F.struct("start", "n", "whole", "anchor", "hot")).alias("marks"))
     # Both joins read the same columns, so that the texts are shuffled once and the exchange is used again.
     others = [c for c in rows.columns if c not in ("key", "text")]

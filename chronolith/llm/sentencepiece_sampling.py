@@ -34,7 +34,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_arrays import U64, chunks, mix64, owner, range_hash
+from .text_arrays import U64, chunks, mix64, owner, range_hash, same_ranges
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED = 2, 1
@@ -134,7 +134,7 @@ class Lattice:
         kind = np.int16 if len(voc.ids) < 1 << 15 else np.int32
         self.piece, self.cum = np.full((0, m), -1, kind), np.ones((0, m), np.float32)
         self.total, self.cp = np.zeros(m + 1), np.zeros(0, np.uint32)
-        self.hashes, self.starts = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.hashes, self.starts, self.sizes = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._room(most + most // 2)
 
     def _room(self, n: int):
@@ -148,12 +148,25 @@ class Lattice:
         self.piece[self.used : self.top], self.cum[self.used : self.top] = -1, 1
         self.top = self.used
         at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-        known = np.where(self.hashes[at] == h, self.starts[at], -1) if len(self.hashes) else np.full(len(h), -1, np.int64)
+        size = end - begin
+        known = np.full(len(h), -1, np.int64)
+        if len(self.hashes):
+            met = np.flatnonzero((self.hashes[at] == h) & (self.sizes[at] == size))
+            met = met[same_ranges(self.cp, self.starts[at[met]], cp, begin[met], size[met])]
+            known[met] = self.starts[at[met]]
         lost = np.flatnonzero(known < 0)
         if not len(lost):
             return known
         some, first, which = np.unique(h[lost], return_index=True, return_inverse=True)
-        begin, size = begin[lost[first]], (end - begin)[lost[first]]
+        head, plain = lost[first[which]], len(some)
+        same = size[lost] == size[head]
+        same[same] = same_ranges(cp, begin[lost[same]], cp, begin[head[same]], size[lost[same]])
+        if not same.all():  # units that share a hash and differ: each is a unit of its own
+            which = which.copy()
+            odd = np.flatnonzero(~same)
+            which[odd] = len(first) + np.arange(len(odd))
+            first, some = np.concatenate((first, odd)), np.concatenate((some, h[lost[odd]]))
+        begin, size = begin[lost[first]], size[lost[first]]
         order = np.argsort(-size, kind="stable")
         off = np.concatenate(([0], np.cumsum(size[order])))
         base, need = self.used, int(off[-1])
@@ -165,8 +178,10 @@ class Lattice:
         self.top = base + need
         if self.top <= self.most:
             self.used = self.top
-            at = np.searchsorted(self.hashes, some)
-            self.hashes, self.starts = np.insert(self.hashes, at, some), np.insert(self.starts, at, starts)
+            fresh = np.flatnonzero(~np.isin(some[:plain], self.hashes))  # a hash that is taken by another unit stays with it
+            at = np.searchsorted(self.hashes, some[fresh])
+            self.hashes = np.insert(self.hashes, at, some[fresh])
+            self.starts, self.sizes = np.insert(self.starts, at, starts[fresh]), np.insert(self.sizes, at, size[fresh])
         known[lost] = starts[which]
         return known
 
@@ -175,7 +190,7 @@ class Lattice:
         voc, n = self.voc, len(cp)
         size = np.diff(off)
         end = np.repeat(off[1:], size)
-        of = range_hash(cp.astype(U64) + U64(1))
+        of = range_hash(cp.astype(U64) + U64(1), keep=True)
         at, hits = np.arange(n), []
         for length in range(1, min(voc.longest, int(size[0])) + 1):
             h = of(at, at + length)
@@ -340,9 +355,9 @@ def sample_chunk(lat: Lattice, raw: np.ndarray, off: np.ndarray, keys: np.ndarra
     begin = np.flatnonzero(first)
     end = np.append(begin[1:], n)[: len(begin)]
     doc_of = owner(head)[begin] if n else np.zeros(0, np.int64)
-    # Units are told apart by two hashes.
+    # Units are looked up by a hash and then compared.
     values = cp.astype(U64) + U64(1)
-    h = range_hash(values)(begin, end) ^ mix64(range_hash(values, 1)(begin, end))
+    h = range_hash(values)(begin, end)
     start_of = lat.place(h, cp, begin, end)
     end_of = start_of + end - begin
     key = mix64(keys.astype(np.int64).view(U64) + U64(seed))

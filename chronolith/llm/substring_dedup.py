@@ -1,21 +1,27 @@
 """Substring dedup: repeated runs of 50 words by recompression.
 
-Words are named by hashes of their bytes, and rounds of recompression name what stands together: first runs
-of two equal words, then, twice, pairs whose left name is in one half of all names and whose right
-name is in the other (a bit of the name decides, anew in each round).  A new name is a hash of the
-round and the names that it joins, so that all tasks name alike without asking each other: the
-naming is global, and equal substrings have the same symbols but for a few at their edges.
+Round 0 names words, round 1 runs of equal words as (word, length), and rounds 2 and 3 pairs of neighbouring symbols
+whose left name is in one half of all names and whose right name is in the other (a bit of the name
+decides, anew in each round).  A name is a hash of the round and of what it joins, so that every task
+proposes the same name for the same thing; a Spark job then shuffles the distinct things of all rounds by their
+names and counts names that mean two things.  The first round with such a name is named anew, with
+the next salt and all rounds behind it, until each name means one thing in the whole corpus
+(``name_rounds``).  So naming is global, and equal substrings have the same symbols but for a few at
+their edges.
 
 A round's choice at a place looks at the neighbouring symbols alone, whose spans are bounded (2, 4
-and 8 words).  So in any two occurrences of a 50-word window the symbol boundaries between words
-8 and 42 agree, and with them three consecutive symbols that lie between: their joint name is a
-*high-level symbol*.  The least one of a window (five to eight words long, or any if there is none such)
-is its anchor, by which equal windows meet (see ``anchored``).  Windows that share one are verified by 128-bit hashes of
-their words, and those whose words also start in a document with a smaller id repeat.
+and 8 words).  A run of three words or more is one symbol that joins no pair and is named by its word: how long it is can't
+be seen from a window inside of it.  So in any two occurrences of a 50-word window the symbol boundaries between words
+8 and 42 agree, and with them the symbols between.  Three in a row (five to eight words long, or any if there are none
+such) are a *high-level symbol*; the least one of a window is its anchor, by which equal windows
+meet (see ``anchored``).  A window without any lies mostly in a long run, whose name is its anchor.  Windows
+that share an anchor are verified by their words: the words, then runs of 2, 4, .. 32 and 50 of them, get dense numbers
+that are equal for equal words only, and windows that also start in a document with a smaller id repeat.
 
 Defined results: a null text has no words; texts of fewer than 50 words stay whole; windows that repeat
 only within their document stay; rows without an id come first in order; rows that repeat an id
-are documents of their own, ordered by their texts; other columns are ignored.
+are documents of their own, ordered by their texts; other columns are ignored.  A text is held whole in memory, with
+about 30 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -27,96 +33,213 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchored import Method, _lists, keyed, repeated, restored, spans
+from .anchored import Method, _lists, _parts, keyed, repeated, restored, spans
 from .suffix_dedup import sliding_min
-from .text_arrays import U64, byte_view, chunks, mix64, owner, range_hash, word_hashes, words
+from .text_arrays import CHUNK_BYTES, U64, byte_view, chunks, join64, mix64, owner, range_hash, same_ranges, word_hashes, words
 
 WINDOW = 50
-#: Boundaries agree from this many words inside of a window; spans of a symbol and of three; spans that anchors prefer.
-MARGIN, SPAN, TRIPLE, PREFERRED = 8, 8, 24, (5, 8)
+#: Boundaries agree from this many words inside of a window; spans of three symbols; spans that anchors prefer.
+MARGIN, TRIPLE, PREFERRED = 8, 24, (5, 8)
+#: The rounds: words, runs, and pairs twice.
+ROUNDS = 4
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
+_SALT = 0x9E3779B97F4A7C15
+
+
+def _salt(round_: int, salts) -> U64:
+    return U64((1 + round_ + ROUNDS * salts[round_]) * _SALT & 0xFFFFFFFFFFFFFFFF)
 
 
 def recompress(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, first word of each) after the rounds; a symbol never reaches over two documents."""
-    begin = np.arange(len(names))
-    if len(names) > 1:
-        same = (names[1:] == names[:-1]) & (doc[1:] == doc[:-1])  # same[i]: words i and i + 1
-        alone = same & ~np.concatenate(([False], same[:-1])) & ~np.concatenate((same[1:], [False]))
-        names, begin = _join(names, begin, np.flatnonzero(alone), 0)
-    for round_ in (1, 2):
-        side = mix64(names ^ U64(round_ * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & U64(1) == 1
-        pair = ~side[:-1] & side[1:] & (doc[begin[:-1]] == doc[begin[1:]])
-        names, begin = _join(names, begin, np.flatnonzero(pair), round_)
-    return names, begin
-
-
-def _join(names, begin, left, round_):
-    """Names each pair (``left``, the next one) anew."""
-    names = names.copy()
-    names[left] = mix64(names[left] * U64(0xD6E8FEB86659FD93) + mix64(names[left + 1] + U64(round_ + 1)))
-    keep = np.ones(len(names), bool)
-    keep[left + 1] = False
-    return names[keep], begin[keep]
-
-
-def _anchors(raw, off):
-    starts, ends, first = words(raw, off)
-    count = np.diff(first)
-    fits = np.maximum(count - WINDOW + 1, 0)
-    total = int(fits.sum())
-    if not total:
-        z = np.zeros(0, np.int64)
-        return z.view(U64), z, z, None
+    return _rounds(names, doc)[:2]
+
+
+def _rounds(names: np.ndarray, doc: np.ndarray, salts=(0,) * ROUNDS, record=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, first word of each, whether it is a long run).
+
+    ``record(round, names, lefts, rights)`` is told of what each round names; the right of a run is its length (3: or more).
+    """
+    n = len(names)
+    new = np.ones(n, bool)
+    new[1:] = (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])
+    begin = np.flatnonzero(new)
+    length = np.minimum(np.diff(np.append(begin, n)), 3)
+    names, run = names[begin], np.flatnonzero(length > 1)
+    left, right = names[run], length[run].astype(U64)
+    names[run] = join64(left + _salt(1, salts), mix64(right))
+    if record:
+        record(1, names[run], left, right)
+    long_ = length > 2
+    for round_ in (2, 3):
+        side = mix64(names ^ _salt(round_, salts)) & U64(1) == 1
+        pair = np.flatnonzero(~side[:-1] & side[1:] & ~long_[:-1] & ~long_[1:] & (doc[begin[:-1]] == doc[begin[1:]]))
+        left, right = names[pair], names[pair + 1]
+        names = names.copy()
+        names[pair] = join64(left + _salt(round_, salts), right)
+        if record:
+            record(round_, names[pair], left, right)
+        keep = np.ones(len(names), bool)
+        keep[pair + 1] = False
+        names, begin, long_ = names[keep], begin[keep], long_[keep]
+    return names, begin, long_
+
+
+def _names(raw, starts, ends, salts) -> np.ndarray:
+    """Round 0."""
     h = word_hashes(raw, starts, ends)
-    of_word = owner(first)
-    symbol, begin = recompress(h, of_word)
-    end = np.append(begin[1:], len(h))
-    n = len(h)
-    preferred, any_ = np.full(n, _MAX), np.full(n, _MAX)
-    if len(symbol) > 2:
-        triple = mix64(symbol[:-2] * U64(3) + mix64(symbol[1:-1] * U64(5) + mix64(symbol[2:])))
-        span = end[2:] - begin[:-2]
-        inside = of_word[begin[:-2]] == of_word[end[2:] - 1]
-        good = inside & (span >= PREFERRED[0]) & (span <= PREFERRED[1])
-        preferred[begin[:-2][good]] = triple[good] >> U64(1)
-        any_[begin[:-2][inside]] = triple[inside] | U64(1 << 63)
-    doc = np.repeat(np.arange(len(count)), fits)
-    start = np.arange(total) - np.repeat(np.cumsum(fits) - fits, fits)
-    place = start + first[:-1][doc]
-    wide = sliding_min(preferred, WINDOW - 2 * MARGIN - PREFERRED[1] + 1)
-    narrow = sliding_min(any_, WINDOW - 2 * MARGIN - TRIPLE + 1)
-    best = wide[place + MARGIN]
-    best = np.where(best == _MAX, narrow[place + MARGIN], best)
-    of = range_hash(h, 1)
-    return best, doc, start, lambda a, b: (of(place[a], place[b] + WINDOW), np.zeros(len(a), bool))
+    return join64(h, _salt(0, salts)) if salts[0] else h
+
+
+def _proposals(salts):
+    """The distinct things that the rounds name in a chunk: (round, name, left, right, word)."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, raw, off, _ in _parts(slices, b.column(0)):
+                starts, ends, first = words(raw, off)
+                if not len(starts):
+                    continue
+                names = _names(raw, starts, ends, salts)
+                _, one = np.unique(names, return_index=True)
+                told = [(0, names[one], names[one], names[one])]
+                _rounds(names, owner(first), salts, lambda *x: told.append(x))
+                data = raw.tobytes()
+                for round_, name, left, right in told:
+                    if round_:
+                        order = np.lexsort((right, left, name))
+                        name, left, right = name[order], left[order], right[order]
+                        some = np.ones(len(name), bool)
+                        some[1:] = (name[1:] != name[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+                        name, left, right = name[some], left[some], right[some]
+                        word = pa.nulls(len(name), pa.binary())
+                    else:
+                        word = pa.array([data[i:j] for i, j in zip(starts[one].tolist(), ends[one].tolist())], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), round_, np.int8)), *(pa.array(x.view(np.int64)) for x in (name, left, right)), word], ["round", "name", "left", "right", "word"])
+
+    return run
+
+
+def name_rounds(texts: DataFrame, salts=(0,) * ROUNDS, propose=_proposals) -> tuple[int, ...]:
+    """The salts with which each name of each round means one thing in all of ``texts`` (one column); see the module's text."""
+    while True:
+        told = texts.mapInArrow(propose(salts), "round byte, name long, left long, right long, word binary")
+        things = ("round", "left", "right", "word")
+        per = told.groupBy("name").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in things])
+        twice = per.where(" OR ".join(f"min_{c} <> max_{c}" for c in things)).agg(F.min("max_round")).first()[0]
+        if twice is None:
+            return salts
+        salts = tuple(x + (i >= twice) for i, x in enumerate(salts))
+
+
+def _anchors(salts):
+    def anchors(raw, off):
+        starts, ends, first = words(raw, off)
+        count = np.diff(first)
+        fits = np.maximum(count - WINDOW + 1, 0)
+        total = int(fits.sum())
+        if not total:
+            z = np.zeros(0, np.int64)
+            return z.view(U64), z, z, None
+        h = _names(raw, starts, ends, salts)
+        of_word = owner(first)
+        symbol, begin, long_ = _rounds(h, of_word, salts)
+        n = len(h)
+        end = np.append(begin[1:], n)
+        # Ranked by kind, then by name: three symbols of a preferred span, three of any, the word of a long run.
+        preferred, any_ = np.full(n, _MAX), np.full(n, _MAX)
+        if len(symbol) > 2:
+            plain = ~long_
+            triple = join64(join64(symbol[:-2], symbol[1:-1]), symbol[2:])
+            span = end[2:] - begin[:-2]
+            inside = (of_word[begin[:-2]] == of_word[end[2:] - 1]) & plain[:-2] & plain[1:-1] & plain[2:]
+            good = inside & (span >= PREFERRED[0]) & (span <= PREFERRED[1])
+            preferred[begin[:-2][good]] = triple[good] >> U64(2)
+            any_[begin[:-2][inside]] = triple[inside] >> U64(2) | U64(1 << 62)
+        run = np.full(n, _MAX)
+        in_run = np.repeat(long_, end - begin)
+        run[in_run] = np.repeat(symbol, end - begin)[in_run] >> U64(2) | U64(2 << 62)
+        doc = np.repeat(np.arange(len(count)), fits)
+        start = np.arange(total) - np.repeat(np.cumsum(fits) - fits, fits)
+        place = start + first[:-1][doc]
+        inner = WINDOW - 2 * MARGIN
+        best = sliding_min(preferred, inner - PREFERRED[1] + 1)[place + MARGIN]
+        if (best == _MAX).any():
+            best = np.minimum(best, sliding_min(any_, inner - TRIPLE + 1)[place + MARGIN])
+            best = np.minimum(best, sliding_min(run, inner)[place + MARGIN])
+        of, of2 = range_hash(h, 1), range_hash(h, 2)
+
+        def hashed(a, b):
+            return of(place[a], place[b] + WINDOW), of2(place[a], place[b] + WINDOW), np.zeros(len(a), bool)
+
+        return best, doc, start, hashed
+
+    return anchors
+
+
+def slices(raw):
+    """A long document's parts of about ``CHUNK_BYTES``; each goes on for the words of one window but one."""
+    starts, ends, _ = words(raw, np.array([0, len(raw)]))
+    edges = np.unique(np.searchsorted(starts, np.arange(0, len(raw), CHUNK_BYTES)))
+    for i, a in enumerate(edges.tolist()):
+        z = int(edges[i + 1]) if i + 1 < len(edges) else len(starts)
+        last = min(z + WINDOW - 1, len(starts)) - 1
+        if a < z:
+            yield int(starts[a]), int(ends[last]), a
 
 
 def _payload(raw, off, doc, start, n):
+    """The segments' words, joined by blanks."""
     starts, ends, first = words(raw, off)
-    n = n.astype(np.int64)
-    at = np.concatenate(([0], np.cumsum(n)))
-    place = np.repeat(first[doc] + start - at[:-1], n) + np.arange(at[-1])
-    both = np.empty((at[-1], 2), U64)
-    for which in (0, 1):
-        both[:, which] = range_hash(word_hashes(raw, starts, ends, which), which)(place, place + WINDOW)
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((16 * at).astype(np.int32)), pa.py_buffer(both)])
+    a = first[doc] + start
+    z = a + n.astype(np.int64) + WINDOW - 1
+    each = np.repeat(a - np.concatenate(([0], np.cumsum(z - a)[:-1])), z - a) + np.arange(int((z - a).sum()))
+    size = ends[each] - starts[each] + 1
+    to = np.concatenate(([0], np.cumsum(size)))
+    data = raw[np.minimum(np.repeat(starts[each] - to[:-1], size) + np.arange(to[-1]), len(raw) - 1)]
+    data[to[1:] - 1] = 32
+    at = to[np.concatenate(([0], np.cumsum(z - a)))]
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _numbers(raw, starts, ends) -> np.ndarray:
+    """A dense number for each word, equal for equal words alone."""
+    _, one, number = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    head, size = one[number], ends - starts
+    same = size == size[head]
+    same[same] = same_ranges(raw, starts[same], raw, starts[head[same]], size[same])
+    if not same.all():  # words that share a hash
+        data = raw.tobytes()
+        known = {}
+        return np.array([known.setdefault(data[i:j], len(known)) for i, j in zip(starts.tolist(), ends.tolist())])
+    return number
 
 
 def _verify(contents, n, key, start):
-    raw, _ = byte_view(contents)
-    both = np.frombuffer(raw.tobytes(), U64).reshape(-1, 2)
+    raw, off = byte_view(contents)
+    starts, ends, first = words(raw, off)
+    number, blocks = _numbers(raw, starts, ends), []
+    renamed = lambda a, b: np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+    width = 1
+    while True:
+        if WINDOW & width:
+            blocks.append((width, number))
+        if 2 * width > WINDOW:
+            break
+        number = renamed(number[:-width], number[width:])
+        width *= 2
     of = np.repeat(key, n)
-    order = np.lexsort((of, both[:, 1], both[:, 0]))
-    a = both[order]
-    head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]).any(1))))
-    least = np.repeat(of[order][head], np.diff(np.append(head, len(a))))
-    flags = np.empty(len(of), bool)
-    flags[order] = of[order] > least
-    return flags
+    place = np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(of))
+    window, at = np.zeros(len(of), np.int64), 0
+    for width, number in blocks:
+        window, at = renamed(window, number[place + at]), at + width
+    least = np.full(int(window.max(initial=0)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, window, of)
+    return of > least[window]
 
 
-METHOD = Method(_anchors, _payload, _verify, False)
+def method(salts=(0,) * ROUNDS) -> Method:
+    return Method(_anchors(salts), slices, _payload, _verify, False)
 
 
 def _finish(rewrite: bool):
@@ -152,14 +275,14 @@ SCHEMA = "id long, n_words long, n_removed long, kept string"
 def repeated_words(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of each row."""
     rows = keyed(documents, id_col, text_col)
-    return repeated(rows, METHOD, _finish(False), SCHEMA).withColumnsRenamed({"id": id_col, "kept": "kept_sha256"})
+    return repeated(rows, method(name_rounds(rows.select("text"))), _finish(False), SCHEMA).withColumnsRenamed({"id": id_col, "kept": "kept_sha256"})
 
 
 def without_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` with the kept words, joined by blanks, as its texts; null texts become empty."""
     rows = keyed(documents, id_col, text_col, rest=True)
     kinds = rows.schema["rest"].dataType.simpleString()
-    return restored(repeated(rows, METHOD, _finish(True), f"{SCHEMA}, rest {kinds}"), documents, text_col)
+    return restored(repeated(rows, method(name_rounds(rows.select("text"))), _finish(True), f"{SCHEMA}, rest {kinds}"), documents, text_col)
 
 
 ORACLE_SQL = rf"""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchored import Method, _lists, keyed, repeated, restored, spans
-from .text_arrays import U64, byte_values, byte_view, chunks, range_hash
+from .text_arrays import CHUNK_BYTES, U64, byte_values, byte_view, chunks, range_hash
 
 LENGTH, GRAM = 100, 24
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
@@ -55,7 +55,7 @@ def _anchors(length: int, gram: int):
         doc = np.repeat(np.arange(len(size)), fits)
         start = np.arange(len(doc)) - np.repeat(np.cumsum(fits) - fits, fits)
         place = start + off[:-1][doc]
-        of = range_hash(values, 1)
+        of, of2 = range_hash(values, 1), range_hash(values, 2)
         # Equal windows in one segment hold its anchor at two places: one starts a window, another ends one.
         starts = place[names[place] == least[place]]
         ends = place[names[place + length - gram] == least[place]]
@@ -65,13 +65,21 @@ def _anchors(length: int, gram: int):
             one = np.append(starts, len(raw))[np.searchsorted(starts, a)]
             other = np.append(ends, -length)[np.searchsorted(ends, z, side="right") - 1]
             inner = (one <= z) & (other >= a) & (other + length - gram > one)
-            return of(a, z + length), inner
+            return of(a, z + length), of2(a, z + length), inner
 
         return least[place], doc, start, hashed
 
     return anchors
 
 
+def _slices(length: int):
+    def slices(raw):
+        for a in range(0, len(raw) - length + 1, CHUNK_BYTES):
+            yield a, min(a + CHUNK_BYTES + length - 1, len(raw)), a
+
+    return slices
+
+
 def _payload(length: int):
     def payload(raw, off, doc, start, n):
         size = n.astype(np.int64) + length - 1
@@ -156,7 +164,7 @@ def _verify(length: int):
 
 
 def method(length: int = LENGTH, gram: int = GRAM) -> Method:
-    return Method(_anchors(length, gram), _payload(length), _verify(length), True)
+    return Method(_anchors(length, gram), _slices(length), _payload(length), _verify(length), True)
 
 
 def _finish(length: int, rewrite: bool):

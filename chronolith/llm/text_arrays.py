@@ -1,8 +1,8 @@
 """NumPy views of Arrow text columns, shared by the operators that scan whole texts.
 
 Every helper works on a *chunk*: some consecutive documents of one Arrow batch whose
-texts together stay near ``CHUNK_BYTES`` (a longer document is a chunk of its own), so
-that memory follows the chunk and not the batch.  A null text counts as an empty one.
+texts together stay near ``CHUNK_BYTES`` (a longer document is a chunk of its own) and ``CHUNK_ROWS``
+rows, so that memory follows the chunk and not the batch.  A null text counts as an empty one.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES, CHUNK_ROWS = 1 << 19, 1 << 12
 U64 = np.uint64
 
 
@@ -35,17 +35,28 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) for runs of documents of about ``size`` bytes."""
+def chunks(column: pa.Array, size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) for runs of documents of about ``size`` bytes and ``rows`` rows at most."""
     raw, off = byte_view(column)
     n, row = len(off) - 1, 0
     while row < n:
         end = int(np.searchsorted(off, off[row] + size, side="right")) - 1
-        end = min(n, max(end, row + 1))
+        end = min(n, max(end, row + 1), row + rows)
         yield row, end, raw[off[row] : off[end]], off[row : end + 1] - off[row]
         row = end
 
 
+def same_ranges(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at : at + size] and b[bt : bt + size] are equal, for each range."""
+    ends = np.cumsum(size)
+    step = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
+    differs = a[np.repeat(at, size) + step] != b[np.repeat(bt, size) + step]
+    if not differs.any():
+        return np.ones(len(size), bool)
+    wrong = np.concatenate(([0], np.cumsum(differs)))
+    return wrong[ends] == wrong[ends - size]
+
+
 def owner(off: np.ndarray) -> np.ndarray:
     """For each position, the number of the document that holds it."""
     return np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -129,39 +140,51 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; those for usual chunks are kept."""
-    known = _POWERS.get(base)
-    if known is None or len(known) < n:
-        known = np.full(max(n, 1 << 16), base, U64)
-        known[0] = 1
-        known = np.cumprod(known, dtype=U64)
-        if n <= 2 * CHUNK_BYTES:
-            _POWERS[base] = known
-    return known[:n]
+#: Seeds of independent hashes.
+SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x94D049BB133111EB)
 
 
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+def join64(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Names of pairs by the names of their parts; the order matters."""
+    h = x * U64(0x9FB21C651E98DF25)
+    h += y
+    h ^= h >> U64(32)
+    h *= U64(0xD6E8FEB86659FD93)
+    h ^= h >> U64(29)
+    return h
 
 
-def range_hash(values: np.ndarray, which: int = 0):
+def range_hash(values: np.ndarray, which: int = 0, keep: bool = False):
     """A function of (starts, ends) that gives 64-bit hashes of ranges of ``values`` (uint64).
 
-    Equal ranges get equal hashes wherever they stand: prefix sums of value * base ** i,
-    multiplied by the inverse power of the start.
+    Equal ranges get equal hashes wherever they stand.  Blocks of 1, 2, 4, .. values are named by joining the
+    names of their halves, and a range by the two blocks of the greatest such length that cover it.  Each
+    join is mixed, so that the hash isn't linear in the values: polynomials modulo a power of two give equal
+    hashes to whole families of words (those of Thue and Morse), whatever the base.  ``keep`` holds the
+    blocks' names for further calls.
     """
-    base = BASES[which]
-    inverse = pow(base, -1, 1 << 64)
-    n = len(values)
-    prefix = np.zeros(n + 1, U64)
-    np.cumsum(values * powers(base, n), out=prefix[1:], dtype=U64)
-    back = powers(inverse, n + 1)
+    blocks = [mix64(values + U64(SEEDS[which]))]
 
     def of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(U64) * U64(0x632BE59BD9B4E019))
+        length = ends - starts
+        out = np.zeros(len(starts), U64)
+        if len(length) and (length == length[0]).all():
+            present = np.array([int(length[0]).bit_length() - 1])
+        else:
+            level = np.frexp(length.astype(float))[1] - 1  # -1 for empty ranges
+            present = np.flatnonzero(np.bincount(level + 1)) - 1
+        h = blocks[0]
+        for k in range(int(present.max(initial=-1)) + 1):
+            if k:
+                half = 1 << (k - 1)
+                h = blocks[k] if k < len(blocks) else join64(h[:-half], h[half:])
+                if keep and k == len(blocks):
+                    blocks.append(h)
+            if k in present:
+                some = slice(None) if len(present) == 1 else np.flatnonzero(level == k)
+                a, z = starts[some], ends[some]
+                out[some] = join64(h[a], h[z - (1 << k)]) + (z - a).astype(U64) * U64(0x632BE59BD9B4E019)
+        return mix64(out)
 
     return of
 

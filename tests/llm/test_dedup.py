@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -50,6 +51,60 @@ def test_hot_anchors_are_brute_force(spark, rows, batch, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def thue_morse(n, letters):
+    word = "".join(letters[i.bit_count() & 1] for i in range(n))
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_words_that_polynomial_hashes_confuse(spark, n):
+    """Two documents that differ in a Thue-Morse word and its complement, as one word, as a text, and as words."""
+    rest = " ".join(f"word{i}" for i in range(49))
+    texts = []
+    for letters in ("<_", "ab"):
+        one, other = thue_morse(n, letters)
+        texts += [f"{one} {rest}", f"{other} {rest}", one, other, " ".join(one[:400]), " ".join(other[:400])]
+    docs = documents(spark, texts)
+    got = suffix_dedup.repeated_bytes(docs).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == removed_bytes(list(enumerate(texts)))
+    got = substring_dedup.repeated_words(docs).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == removed_words(list(enumerate(texts)))
+
+
+def test_long_runs_and_long_texts_are_brute_force(spark, monkeypatch):
+    """Runs of one word and of two, inside of which no boundary can be seen, and texts that come in parts."""
+    r = random.Random(6)
+    say = lambda k: " ".join(f"w{r.randrange(50)}" for _ in range(k))
+    shared, texts = say(120), []
+    for k in (45, 49, 50, 60, 130):
+        texts += [f"{say(9)} {'ha ' * k}{say(7)}", f"{say(30)} {'ha ho ' * k}{say(40)}", f"{say(22)} {'ha ha ha ' * 12}{shared}", "ha " * k + shared, shared + " ho" * k]
+    texts += [say(900) + " " + shared + " " + say(700), say(300) + " " + texts[4] + " " + "x" * 700 + " " + shared]
+    want = removed_bytes(list(enumerate(texts))), removed_words(list(enumerate(texts)))
+    for size in (1 << 19, 700):
+        monkeypatch.setattr(anchored, "CHUNK_BYTES", size)
+        monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", size)
+        monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", size)
+        docs = documents(spark, texts)
+        assert [tuple(x) for x in suffix_dedup.repeated_bytes(docs).orderBy("doc_id").collect()] == want[0]
+        assert [tuple(x) for x in substring_dedup.repeated_words(docs).orderBy("doc_id").collect()] == want[1]
+
+
+def test_names_that_mean_two_things_are_named_anew(spark):
+    docs = documents(spark, corpus(n=20, seed=4, long=300))
+    assert substring_dedup.name_rounds(docs.select("text")) == (0, 0, 0, 0)
+
+    def few(salts):  # round 2 has eight names with its first salt
+        def run(batches):
+            for b in substring_dedup._proposals(salts)(batches):
+                name = b.column(1).to_numpy()
+                few = b.num_rows and b.column(0)[0].as_py() == 2 and not salts[2]
+                yield b.set_column(1, "name", pa.array(name & 7 if few else name))
+
+        return run
+
+    assert substring_dedup.name_rounds(docs.select("text"), propose=few) == (0, 0, 1, 1)
+
+
 def test_anchors_are_counted_over_batches():
     anchors = [1, 1, 2, 2, 2, 2, 2, 3, 4, 4, 4, 5, 5, 5, 5]
     for width in (1, 2, 4, 20):

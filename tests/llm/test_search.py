@@ -130,3 +130,17 @@ def test_sampling_table(spark):
 def test_chunks_cover_all_rows(texts):
     got = [(a, b) for a, b, _, _ in chunks(pa.array(texts, pa.string()), 2)]
     assert got[0][0] == 0 and got[-1][1] == len(texts) and all(x[1] == y[0] for x, y in zip(got, got[1:]))
+
+
+def test_units_with_one_hash_are_told_apart():
+    """Thue-Morse words, and hashes of three bits: a unit's lattice is never another's."""
+    lat = sp.lattice(sp.MODEL)
+    one = "".join("a⁡"[i.bit_count() & 1] for i in range(1024))
+    texts = [one, one.translate({0x61: 0x2061, 0x2061: 0x61}), *[f"word{i} next{i % 7}" for i in range(50)], "word1 next1"]
+    few = sp.Lattice(lat.voc)
+    place = few.place
+    few.place = lambda h, cp, begin, end: place(h & np.uint64(7), cp, begin, end)
+    for _ in range(2):
+        for _, _, raw, off in chunks(pa.array(texts)):
+            for a, b in zip(sp.sample_chunk(few, raw, off, np.arange(len(texts)), 2, 1), sp.sample_chunk(lat, raw, off, np.arange(len(texts)), 2, 1)):
+                assert a[6].all() and b[6].all() and (a[2] == b[2]).all() and np.allclose(a[4], b[4])
