@@ -7,14 +7,15 @@ a window collides once more.  Vectors with ``threshold * projections`` collision
 by their exact cosine; a query stops when enough verified vectors lie within the radius, so
 that vectors nearer than those had every chance to collide, or when all were verified.
 
-The vectors are indexed in blocks of about ``block_rows`` (every vector is in one), the stated query
-rows in chunks, and each block is searched for each chunk; the blocks' best are merged.  Equal
-vectors are indexed once, with their ``k + 1`` least ids: nearness ties go to lesser ids, so the
-others can't be among any query's ``k`` nearest.
+The vectors are indexed in blocks (every vector is in one).  A block's vectors are shuffled once and indexed
+once; the stated query rows stream past each block's index, so that they are shuffled once for each
+block, and the blocks' best are merged.  Equal vectors are indexed once, with their ``k + 1`` least
+ids: nearness ties go to lesser ids, so the others can't be among any query's ``k`` nearest.
 
 Defined results: vectors that are null, zero, of another length than most or holding null or
 non-finite components take no part, as queries or as candidates, nor do rows without an id; rows
-that repeat an id are each a candidate under it, except for that id's queries.  Other columns
+that repeat an id are each a candidate under it, except for that id's query.  A query id has one result, of ranks 1 to
+``k``: if its rows hold different vectors, a candidate counts with the nearest of them.  Other columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PROJECTIONS, THRESHOLD, WIDTH, GROWTH, FIRST = 64, 0.7, 2.4, 1.25, 0.3
-SCHEMA = "query_id long, vec_id long, score double"
+LEAST_BLOCK, MOST_BLOCK = 1 << 14, 1 << 17
 
 
 def _matrix(column) -> np.ndarray:
@@ -96,36 +97,81 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, block_rows: int = 16384, chunk_rows: int = 2048, projections: int = PROJECTIONS, threshold: float = THRESHOLD) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of each row for which ``is_query(id column)`` holds."""
+def _search(k: int, projections: int, threshold: float):
+    """Searches blocks that stream by, each with its vectors (side 0) before its queries (side 1)."""
+
+    def answers(index: Index, ids, copies, queries: dict):
+        out = {"query_id": [], "vec_id": [], "copy": [], "score": []}
+        least = np.array([x[0] for x in ids])
+        for q, vectors in queries.items():
+            best = {}
+            for v in vectors:
+                found, scores = index.search(v, k + 1, threshold)
+                # One vector more than wanted: the query's own may be among them.
+                for i in np.lexsort((least[found], -scores))[: k + 1]:
+                    best[found[i]] = max(best.get(found[i], -2.0), scores[i])
+            near = sorted((-s, x, c) for i, s in best.items() for x, n in zip(ids[i], copies[i]) if x != q for c in range(n))[:k]
+            for s, x, c in near:
+                for name, value in zip(out, (q, x, c, -s)):
+                    out[name].append(value)
+        return pa.RecordBatch.from_pydict(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("copy", pa.int32()), ("score", pa.float64())]))
+
+    def run(batches):
+        block, index, parts, ids, copies = None, None, [], [], []
+        held = {}  # queries whose rows may go on in the next batch
+        for b in batches:
+            blocks = b.column(0).to_numpy()
+            for at in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(blocks)) + 1):
+                if not len(at):
+                    continue
+                part = b.slice(at[0], len(at))
+                if blocks[at[0]] != block:
+                    if held:
+                        yield answers(index, ids, copies, held)
+                    block, index, parts, ids, copies, held = blocks[at[0]], None, [], [], [], {}
+                side = part.column(1).to_numpy()
+                n = int((side == 0).sum())
+                if n:
+                    first = part.slice(0, n)
+                    parts.append(_matrix(first.column(5)))
+                    ids += first.column(3).to_pylist()
+                    copies += first.column(4).to_pylist()
+                if n < len(side) and parts:
+                    if index is None:
+                        index, parts = Index(np.concatenate(parts), projections), parts[:1]
+                    rest = part.slice(n)
+                    for q, v in zip(rest.column(2).to_pylist(), _matrix(rest.column(5))):
+                        if held and q not in held:
+                            yield answers(index, ids, copies, held)
+                            held = {}
+                        held.setdefault(q, []).append(v)
+        if held:
+            yield answers(index, ids, copies, held)
+
+    return run
+
+
+def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, block_rows: int | None = None, projections: int = PROJECTIONS, threshold: float = THRESHOLD) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest found of each id for which ``is_query(id column)`` holds.
+
+    ``block_rows``: vectors of a block; by default a 64th of all, from 16,384 to 131,072.
+    """
     kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    assert kind in ("float", "double"), kind
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    total = sizes[0]["count"] if sizes else 0
+    blocks = max(1, -(-total // (block_rows or min(max(LEAST_BLOCK, total // 64), MOST_BLOCK))))
     rows = rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
-    queries = rows.where(is_query(F.col("id")))
-    salted = rows.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"))
-    distinct = salted.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    blocks = max(1, -(-(sizes[0]["count"] if sizes else 0) // block_rows))
-    chunks = max(1, -(-queries.count() // chunk_rows))
-    left = distinct.select(F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(blocks).cast("long")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), "ids", "v")
-    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(chunks).cast("long")).alias("chunk"), "id", "v")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            ids = left.column("ids").to_pylist()
-            least = np.array([x[0] for x in ids])
-            index = Index(_matrix(left.column("v")), projections)
-            for q, v in zip(right.column("id").to_pylist(), _matrix(right.column("v"))):
-                found, scores = index.search(v, k + 1, threshold)
-                best = np.lexsort((least[found], -scores))[: k + 1]
-                near = sorted((-scores[i], x) for i in best for x in ids[found[i]] if x != q)[:k]
-                out["query_id"] += [q] * len(near)
-                out["vec_id"] += [x for _, x in near]
-                out["score"] += [-s for s, _ in near]
-        return pa.table(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-
-    assert kind in ("float", "double"), kind
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(run, SCHEMA)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # A vector's k + 1 least ids, each with up to k of its rows: whichever id is left out, k rows stay.
+    each = rows.groupBy("v", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    few = each.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
+    distinct = few.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("all"))
+    none = F.lit(None)
+    left = distinct.select(F.pmod(F.xxhash64("all.id", "v"), F.lit(blocks).cast("long")).alias("block"), F.lit(0).alias("side"), none.cast("long").alias("id"), F.col("all.id").alias("ids"), F.col("all.n").alias("copies"), "v")
+    queries = rows.where(is_query(F.col("id"))).distinct()
+    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("side"), "id", none.cast("array<long>").alias("ids"), none.cast("array<int>").alias("copies"), "v")
+    both = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", "side", "id")
+    found = both.mapInArrow(_search(k, projections, threshold), "query_id long, vec_id long, copy int, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -22,7 +22,7 @@ def test_neighbours_recall_and_ties(spark):
     rows = [(i, v.tolist(), 0.0, i) for i, v in enumerate(x)]
     rows += [(2000, None, 0.0, 0), (2001, [0.0] * 24, 0.0, 0), (2002, [1.0, None] + [0.0] * 22, 0.0, 0), (2003, [float("nan")] + [1.0] * 23, 0.0, 0), (2050, [1.0, 2.0], 0.0, 0), (None, x[0].tolist(), 0.0, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score double, rank long")
-    got = neighbours.nearest(df, lambda c: c % 50 == 0, block_rows=400, chunk_rows=8).orderBy("query_id", "rank").collect()
+    got = neighbours.nearest(df, lambda c: c % 50 == 0, block_rows=400).orderBy("query_id", "rank").collect()
     u = x.astype(float)
     u /= np.sqrt((u * u).sum(1, keepdims=True))
     right = total = 0
@@ -144,3 +144,20 @@ def test_units_with_one_hash_are_told_apart():
         for _, _, raw, off in chunks(pa.array(texts)):
             for a, b in zip(sp.sample_chunk(few, raw, off, np.arange(len(texts)), 2, 1), sp.sample_chunk(lat, raw, off, np.arange(len(texts)), 2, 1)):
                 assert a[6].all() and b[6].all() and (a[2] == b[2]).all() and np.allclose(a[4], b[4])
+
+
+def test_neighbours_of_repeated_ids(spark):
+    """Repeated ids as queries and as candidates: one list for each query id, its own rows left out."""
+    a, b, c, d = [1.0, 0.0], [0.8, 0.6], [0.0, 1.0], [-1.0, 0.2]
+    rows = [(50, a)] * 7 + [(51, a), (52, b), (100, c), (100, d), (100, c), (53, d), (53, d)] + [(60, b)] * 9 + [(None, a), (150, None)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda x: x % 50 == 0, block_rows=2)
+    by = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    cos = lambda x, y: sum(i * j for i, j in zip(x, y)) / (sum(i * i for i in x) * sum(i * i for i in y)) ** 0.5
+    want = {}
+    for q in (50, 100):
+        mine = [v for i, v in rows if i == q]
+        near = sorted((-max(cos(v, m) for m in mine), i) for i, v in rows if i is not None and v and i != q)[:5]
+        want[q] = [(n + 1, i, round(-s, 9)) for n, (s, i) in enumerate(near)]
+    assert by == want
