@@ -9,7 +9,8 @@ least loss wins, the score is its share in the softmax of the negative losses, a
 document is flagged ambiguous if the runner-up's share is within ``margin`` of it.
 
 Fitting takes about ``per_language`` rows of each language (hash-selected, ``max_train_rows``
-at most in all); prediction reads every text whole.
+at most in all; ``max_languages`` languages at most, the first in order); prediction reads every text
+whole, a long one part by part, and holds the counts of ``ROWS`` documents at most.
 
 Defined results: a null text, or one without any letter, gets ``und`` with score 0 and is
 ambiguous; repeated rows are predicted each; other columns are ignored; without a learnable row
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fitting import fit
-from .text_arrays import chunks, code_points, gram_index, owner
+from .text_arrays import chunks, code_points, gram_index, is_long, owner, parts
 
 GRAMS = (1, 2, 3)
 BITS = 13
+#: Documents whose counts are held together.
+ROWS = 256
 UNKNOWN = "und"
 
 
@@ -50,15 +53,26 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
     return best
 
 
-def features(raw, off) -> np.ndarray:
-    """A row for each document of a chunk: square roots of the relative frequencies of its hashed n-grams."""
+def _counts(raw, off, before: int | None = None) -> np.ndarray:
+    """How often each document has each hashed n-gram; of one text only those that start before the byte ``before``."""
     cp, coff = code_points(raw, off)
     doc, n = owner(coff), len(off) - 1
+    first = len(cp) if before is None else int(((raw[:before] & 0xC0) != 0x80).sum())
     counts = np.zeros(n << BITS)
     for g in GRAMS:
         index, of = gram_index(cp, doc, g, BITS)
+        if before is not None:
+            index, of = index[:first], of[:first]
         counts += np.bincount((of << BITS) | index, minlength=n << BITS)
-    counts = counts.reshape(n, 1 << BITS)
+    return counts.reshape(n, 1 << BITS)
+
+
+def features(raw, off) -> np.ndarray:
+    """A row for each document of a chunk: square roots of the relative frequencies of its hashed n-grams."""
+    if is_long(off):
+        counts = sum(_counts(raw[a:end], np.array([0, end - a]), z - a) for a, z, end in parts(raw, max(GRAMS) - 1))
+    else:
+        counts = _counts(raw, off)
     return np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
 
 
@@ -66,7 +80,7 @@ def train(texts, labels, steps: int = 120, penalty: float = 1e-5) -> dict:
     names = sorted({x for column in labels for x in column.to_pylist()})
     if not names:
         return {"names": [], "code": np.ones((0, 1)), "w": np.zeros((1 << BITS, 1), np.float32), "b": np.zeros(1), "trust": np.ones(1)}
-    x = np.concatenate([features(raw, off) for column in texts for _, _, raw, off in chunks(column)])
+    x = np.concatenate([features(raw, off) for column in texts for _, _, raw, off in chunks(column, rows=ROWS)])
     y = np.array([names.index(v) for column in labels for v in column.to_pylist()])
     code = codewords(len(names))
     target = code[y].astype(np.float32)
@@ -102,7 +116,7 @@ def predictor(model: dict, margin: float):
             lang, score, unsure = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
             known = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             if model["names"]:
-                for row, end, raw, off in chunks(b.column(1), 1 << 19):
+                for row, end, raw, off in chunks(b.column(1), rows=ROWS):
                     best, share, second = decode(features(raw, off) @ model["w"] + model["b"], model)
                     ok = known[row:end]
                     lang[row:end][ok], score[row:end][ok], unsure[row:end][ok] = names[best][ok], share[ok], (share - second < margin)[ok]
@@ -111,11 +125,11 @@ def predictor(model: dict, margin: float):
     return run
 
 
-def fit_language(documents: DataFrame, *, train_rows=lambda key: F.lit(True), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, max_train_rows: int = 6000) -> dict:
+def fit_language(documents: DataFrame, *, train_rows=lambda key: F.lit(True), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, max_train_rows: int = 6000, max_languages: int = 1000) -> dict:
     """Learn from rows with an id, a text and a language; ``train_rows`` is a condition on the id's text form."""
     rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
     rows = rows.where(F.col("_id").isNotNull() & F.col("label").isNotNull() & train_rows(F.col("_id").cast("string")))
-    share = rows.groupBy("label").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share")).orderBy("label").limit(1000)
+    share = rows.groupBy("label").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share")).orderBy("label").limit(max_languages)
     ord_ = F.xxhash64("_id")
     sample = (
         rows.join(F.broadcast(share), "label")

@@ -7,7 +7,7 @@ encoder (one tanh layer) gives its representation, gated attention
 ``softmax(w . (tanh(V z) * sigmoid(U z)))`` its weight, and a logistic layer scores the
 weighted mean.  All weights are learned from document labels alone, by back-propagation.
 
-Fitting takes at most ``max_train_rows`` labelled documents; scoring reads every text whole.
+Fitting takes at most ``max_train_rows`` labelled documents; scoring reads every text whole, a long one part by part.
 Defined results: a null or empty text is one passage of zeros and is scored like any other; rows
 that repeat are scored each; other columns are ignored.  Without labels of both classes the
 score is the share of label 1 (0 without labels).
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fitting import fit, labelled_sample
-from .text_arrays import chunks, code_points
+from .text_arrays import chunks, code_points, is_long, parts
 
 PASSAGE = 400
 BIGRAM_BITS = 8
@@ -30,9 +30,16 @@ WIDTH, GATE = 24, 12
 THRESHOLD = 0.3
 
 
-def passages(raw, off) -> tuple[np.ndarray, np.ndarray]:
-    """(features of each passage, its document) for a chunk."""
+def passages(raw, off, part: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(features of each passage, its document) for a chunk.
+
+    ``part``: of a longer text of so many code points, those behind the byte are the start of the next part.
+    """
     cp, coff = code_points(raw, off, lower=False)
+    if part:
+        following, total = cp[int(((raw[: part[0]] & 0xC0) != 0x80).sum()) :], part[1]
+        cp = cp[: len(cp) - len(following)]
+        coff = np.array([0, len(cp)])
     size = np.diff(coff)
     bags = np.maximum(1, -(-size // PASSAGE))
     first = np.concatenate(([0], np.cumsum(bags)))
@@ -44,7 +51,7 @@ def passages(raw, off) -> tuple[np.ndarray, np.ndarray]:
     per = np.maximum(length, 1)
     hist = np.zeros(n << BIGRAM_BITS)
     extra = np.zeros((n, EXTRA))
-    if len(cp) > 1:
+    if len(cp):
         pair = (cp[:-1] * np.uint32(0x85EBCA6B) + cp[1:]) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BIGRAM_BITS)
         inside = of[:-1] == of[1:]
         hist += np.bincount(((of[:-1] << BIGRAM_BITS) | pair)[inside], minlength=n << BIGRAM_BITS)
@@ -57,7 +64,7 @@ def passages(raw, off) -> tuple[np.ndarray, np.ndarray]:
             extra[:, i] = np.bincount(of[x], minlength=n) / per
         same = np.concatenate(([False], (cp[1:] == cp[:-1]) & inside))
         extra[:, 8] = np.bincount(of[same], minlength=n) / per
-        if len(cp) > 4:
+        if len(cp) > 3:
             four = ((cp[:-3] * np.uint32(0x9E3779B1) + cp[1:-2]) * np.uint32(0x85EBCA6B) + cp[2:-1]) * np.uint32(0xC2B2AE35) + cp[3:]
             four = (four * np.uint32(0x27D4EB2F)) >> np.uint32(21)
             held = np.zeros(n << 11, bool)
@@ -66,18 +73,49 @@ def passages(raw, off) -> tuple[np.ndarray, np.ndarray]:
             extra[:, 9] = held.reshape(n, -1).sum(1) / per
         stops = np.append(space[1:], True)  # behind a place comes a blank or the document's end
         stops[coff[1:][size > 0] - 1] = True
+        if part and len(following):
+            stops[-1] = following[0] in (32, 10)
         extra[:, 10] = np.bincount(of[stops & ~space], minlength=n) / per * 5
     extra[:, 11] = length / PASSAGE
-    extra[:, 12] = np.log1p(size[doc_of]) / 10
+    extra[:, 12] = np.log1p(total if part else size[doc_of]) / 10
     extra[:, 13] = 1
     share = np.sqrt(hist.reshape(n, -1) / per[:, None])
     return np.concatenate((share, extra), 1).astype(np.float32), doc_of
 
 
-def _forward(x, start, of, p):
+def _encoded(x, p):
+    """(representation, both gates, attention before the softmax) of passages."""
     z = np.tanh(x @ p["W"])
     t, s = np.tanh(z @ p["V"]), 1 / (1 + np.exp(-(z @ p["U"])))
-    e = (t * s) @ p["w"]
+    return z, t, s, (t * s) @ p["w"]
+
+
+def _part_by_part(raw) -> tuple[np.ndarray, np.ndarray]:
+    """The passages of one long text."""
+    count = int(((raw & 0xC0) != 0x80).sum())
+    x = np.concatenate([passages(raw[a:end], np.array([0, end - a]), (z - a, count))[0] for a, z, end in parts(raw, 1, PASSAGE)])
+    return x, np.zeros(len(x), np.int64)
+
+
+def _long(raw, model: dict) -> tuple[float, int]:
+    """(score, passage weighted most) of one long text, part by part."""
+    p, count = model["p"], int(((raw & 0xC0) != 0x80).sum())
+    top, best, number, mass, bag = -np.inf, 0, 0, 0.0, np.zeros(WIDTH)
+    for a, z, end in parts(raw, 1, PASSAGE):
+        x, _ = passages(raw[a:end], np.array([0, end - a]), (z - a, count))
+        code, _, _, e = _encoded((x - model["mean"]) / model["sd"], p)
+        e = e.astype(float)
+        if e.max() > top:
+            shrink = np.exp(top - e.max())
+            mass, bag, best, top = mass * shrink, bag * shrink, number + int(e.argmax()), float(e.max())
+        w = np.exp(e - top)
+        mass, bag, number = mass + w.sum(), bag + w @ code, number + len(e)
+    out = float(bag / mass @ p["c"] + p["b"][0])
+    return 1 / (1 + np.exp(-np.clip(out, -700, 700))), best
+
+
+def _forward(x, start, of, p):
+    z, t, s, e = _encoded(x, p)
     a = np.exp(e - np.maximum.reduceat(e, start)[of])
     a = a / np.add.reduceat(a, start)[of]
     bag = np.add.reduceat(z * a[:, None], start)
@@ -91,7 +129,7 @@ def train(texts, labels, steps: int = 150, penalty: float = 1e-4, seed: int = 11
     xs, ofs, base = [], [], 0
     for column in texts:
         for row, _, raw, off in chunks(column):
-            x, of = passages(raw, off)
+            x, of = _part_by_part(raw) if is_long(off) else passages(raw, off)
             xs.append(x)
             ofs.append(of + base + row)
         base += len(column)
@@ -130,6 +168,9 @@ def scorer(model: dict):
             top = np.zeros(b.num_rows, np.int32)
             if "p" in model:
                 for row, end, raw, off in chunks(b.column(1)):
+                    if is_long(off):
+                        score[row], top[row] = _long(raw, model)
+                        continue
                     x, of = passages(raw, off)
                     start = np.searchsorted(of, np.arange(end - row))
                     *_, a, _, out = _forward((x - model["mean"]) / model["sd"], start, of, model["p"])

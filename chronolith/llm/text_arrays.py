@@ -62,6 +62,23 @@ def owner(off: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(off) - 1), np.diff(off))
 
 
+def parts(raw: np.ndarray, over: int, step: int = 1, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, int]]:
+    """(from, to, end) of parts of one long text: whole numbers of ``step`` code points, but for the last, and ``over`` more behind them up to ``end``."""
+    a = 0
+    while a < len(raw):
+        first = np.flatnonzero((raw[a : a + size] & 0xC0) != 0x80)
+        n = (len(first) - 1) // step * step
+        z = a + int(first[n]) if a + size < len(raw) and n > 0 else min(len(raw), a + size) if n <= 0 else len(raw)
+        behind = np.flatnonzero((raw[z : z + 4 * over + 4] & 0xC0) != 0x80)
+        yield a, z, z + int(behind[over]) if len(behind) > over else len(raw)
+        a = z
+
+
+def is_long(off: np.ndarray) -> bool:
+    """Whether a chunk is one text that is worked off in parts."""
+    return len(off) == 2 and off[1] > 2 * CHUNK_BYTES
+
+
 @lru_cache(maxsize=1)
 def _lower_table() -> np.ndarray:
     table = np.arange(1 << 16, dtype=np.uint32)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fitting import fit, labelled_sample
-from .text_arrays import chunks, code_points, gram_index, owner
+from .text_arrays import chunks, code_points, gram_index, is_long, owner, parts
 
 GRAMS = (3, 4, 5)
 BITS = 19
@@ -32,7 +32,14 @@ THRESHOLD = 0.3
 
 
 def _pairs(raw, off, allowed=None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, feature) pairs of a chunk, by document."""
+    """Distinct (document, feature) pairs of a chunk, by document; a long text is worked off in parts."""
+    if not is_long(off):
+        return _pairs_of(raw, off, allowed)
+    found = np.unique(np.concatenate([_pairs_of(raw[a:end], np.array([0, end - a]), allowed)[1] for a, _, end in parts(raw, max(GRAMS) - 1)]))
+    return np.zeros(len(found), np.int64), found
+
+
+def _pairs_of(raw, off, allowed) -> tuple[np.ndarray, np.ndarray]:
     cp, coff = code_points(raw, off)
     doc = owner(coff)
     keys = []
@@ -87,21 +94,30 @@ def train(texts, labels, steps: int = 150, penalty: float = 1e-4) -> dict:
     return {"bias": float(b), "index": kept, "weight": (w * ratio[kept]).astype(np.float32)}
 
 
+def _scores(model: dict):
+    """A function that gives the scores of a column of texts."""
+    weight = np.zeros(1 << BITS)
+    weight[model["index"]] = model["weight"]
+    allowed = np.zeros(1 << BITS, bool)
+    allowed[model["index"]] = True
+
+    def scores(column) -> np.ndarray:
+        margin = np.full(len(column), model["bias"])
+        for row, end, raw, off in chunks(column):
+            doc, index = _pairs(raw, off, allowed)
+            margin[row:end] += np.bincount(doc, weight[index], end - row)
+        return 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
+
+    return scores
+
+
 def scorer(model: dict):
     """A function for mapInArrow: (id, text) to (id, score)."""
 
     def run(batches):
-        weight = np.zeros(1 << BITS)
-        weight[model["index"]] = model["weight"]
-        allowed = np.zeros(1 << BITS, bool)
-        allowed[model["index"]] = True
+        scores = _scores(model)
         for b in batches:
-            margin = np.full(b.num_rows, model["bias"])
-            for row, end, raw, off in chunks(b.column(1)):
-                doc, index = _pairs(raw, off, allowed)
-                margin[row:end] += np.bincount(doc, weight[index], end - row)
-            score = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1)))], ["id", "score"])
 
     return run
 
@@ -124,13 +140,10 @@ def drop_toxic(documents: DataFrame, model: dict, *, id_col: str = "doc_id", tex
     """The rows that score below ``threshold``, with all their columns."""
 
     def run(batches):
+        scores = _scores(model)
         for b in batches:
-            text = b.select([text_col])
-            pair = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), text.column(0)], ["id", "text"])
-            score = next(score_all(iter([pair]))).column(1).to_numpy()
-            yield b.filter(pa.array(score < threshold))
+            yield b.filter(pa.array(scores(b.select([text_col]).column(0)) < threshold))
 
-    score_all = scorer(model)
     return documents.mapInArrow(run, documents.schema)
 
 
