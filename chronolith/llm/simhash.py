@@ -14,7 +14,8 @@ Links are found on the distinct fingerprints, so that copies never multiply:
    Each fingerprint emits, for both halves, the variants of the half within one bit; they meet the
    other's half as it is, and the pair is verified on all 64 bits.  Only pairs whose ends are not yet in one
    component of step 1 are kept; of three fingerprints no more than two can be three apart
-   pairwise (the distances' sum is even), so dense groups are already joined by then.
+   pairwise (the distances' sum is even), so dense groups are already joined by then.  Where very
+   many fingerprints share a half, the other halves' variants meet instead of pairs (``linked``).
 
 Defined results: a text without words (null, empty) has fingerprint 0 and is linked like any other; a
 text of fewer words than a shingle has its whole sequence as the only shingle; rows that repeat an
@@ -24,10 +25,12 @@ its group's id. Other columns are ignored by ``fingerprint_groups`` and kept by
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, cut
@@ -39,6 +42,8 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 
 
+#: A half key that more fingerprints share is hot; fingerprints of a partition that is exploded.
+HEAVY, EXPLODED = 1 << 8, 1 << 15
 #: Shingles that are handled together, so that a very long text needs little more than its bytes and hashes.
 STEP = 1 << 15
 
@@ -93,21 +98,53 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def linked(fps: DataFrame) -> DataFrame:
-    """(fp, root): groups of distinct fingerprints (column fp) linked by three or fewer differing bits, those of one member left out."""
+def _halves(state: DataFrame) -> DataFrame:
+    """(side, key, other, fp, root): each fingerprint under its upper half and under its lower one."""
+    upper, lower = F.shiftright("fp", 32).cast("int"), F.shiftright(F.shiftleft("fp", 32), 32).cast("int")
+    both = F.array(F.struct(F.lit(0).alias("side"), upper.alias("key"), lower.alias("other")), F.struct(F.lit(1).alias("side"), lower.alias("key"), upper.alias("other")))
+    return state.select("fp", "root", F.explode(both).alias("h")).select("h.side", "h.key", "h.other", "fp", "root")
+
+
+def _masks(bits: int) -> Column:
+    """All 32-bit masks of up to so many bits."""
+    signed = [sum(1 << i for i in c) for n in range(bits + 1) for c in combinations(range(32), n)]
+    return F.array(*[F.lit(m - (1 << 32) if m >> 31 else m) for m in signed])
+
+
+def _flipped(column: str, bits: int) -> Column:
+    return F.explode(F.transform(_masks(bits), lambda m: F.col(column).bitwiseXOR(m)))
+
+
+def linked(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(fp, root): groups of distinct fingerprints (column fp) linked by three or fewer differing bits, those of one member left out.
+
+    Half keys that more than ``heavy`` fingerprints share, and keys a bit away, are *hot*: their fingerprints meet by the
+    variants of their other halves, up to 529 each, so that the work follows their number and not its square.
+    """
+    fps = fps.repartition(max(1, -(-fps.count() // EXPLODED)), "fp")  # 65 rows come of each
     balls = fps.select("fp", F.explode(F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])).alias("m"))
-    met = balls.select(F.col("fp").bitwiseXOR(F.col("m")).alias("variant"), "fp").groupBy("variant").agg(F.collect_list("fp").alias("all"))
+    met = balls.select(F.col("fp").bitwiseXOR(F.col("m")).alias("variant"), "fp").groupBy("variant").agg(F.collect_list("fp").alias("all"))  # 65 at most
     near = met.where(F.size("all") > 1).select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a != b")
     one = cut(components(near))
-    state = fps.join(one, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    flips = F.array(F.lit(0), *[F.lit(1 << i if i < 31 else -(1 << 31)) for i in range(32)])
-    upper, lower = F.shiftright("fp", 32).cast("int"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).cast("long")
-    halves = state.select("fp", "root", F.posexplode(F.array(upper.cast("long"), F.when(lower >= 1 << 31, lower - (1 << 32)).otherwise(lower))).alias("side", "half"))
-    whole = halves.select("side", F.col("half").cast("int").alias("key"), "fp", "root")
-    balls = whole.select("side", F.explode(F.transform(flips, lambda m: F.col("key").bitwiseXOR(m))).alias("key"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+    state = cut(fps.join(one, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    whole = _halves(state.repartition(max(1, -(-state.count() // EXPLODED)), "fp"))
+    balls = whole.select("side", _flipped("key", 1).alias("key"), F.col("key").alias("from"), F.col("other").alias("other2"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+    many = whole.groupBy("side", "key").count().where(F.col("count") > heavy)
+    hot = cut(many.select("side", _flipped("key", 1).alias("key")).distinct())
     three = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) == 3
-    pairs = balls.join(whole, (balls["side"] == whole["side"]) & (balls["key"] == whole["key"]) & (F.col("root") < F.col("root2")) & three)
-    two = components(pairs.select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct())
+    cold = balls.join(whole, ["side", "key"]) if hot.isEmpty() else balls.join(hot, ["side", "key"], "left_anti").join(whole, ["side", "key"])
+    links = cold.where((F.col("root") < F.col("root2")) & three).select("root", "root2").distinct()
+    if not hot.isEmpty():
+        # One bit of the other half of those that stand at the key, which makes all that meet there one group already.
+        at = whole.join(hot, ["side", "key"], "left_semi").select("side", "key", _flipped("other", 1).alias("variant"), "root")
+        at = at.groupBy("side", "key", "variant").agg(F.min("root").alias("root"))
+        # Of those that come from a bit away one bit, too; of those that stand there two.
+        from_ = balls.join(hot, ["side", "key"], "left_semi")
+        own = F.col("key") == F.col("from")
+        to = from_.where(own).select("side", "key", _flipped("other2", 2).alias("variant"), "root2").union(from_.where(~own).select("side", "key", _flipped("other2", 1).alias("variant"), "root2"))
+        met = to.distinct().join(at, ["side", "key", "variant"]).where("root <> root2")
+        links = links.union(met.select(F.least("root", "root2"), F.greatest("root", "root2"))).distinct()
+    two = components(links.select(F.col("root").alias("a"), F.col("root2").alias("b")))
     return (
         state.join(two.select("node", F.col("root").alias("to")), F.col("root") == F.col("node"), "left")
         .select("fp", F.coalesce("to", "root").alias("root"))

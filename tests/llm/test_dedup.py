@@ -181,7 +181,8 @@ def test_simhash_groups(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in got})
 
 
-def test_linked_fingerprints_up_to_three_bits(spark):
+@pytest.mark.parametrize("heavy", [256, 3, 0])
+def test_linked_fingerprints_up_to_three_bits(spark, heavy):
     r = random.Random(4)
     base = [r.getrandbits(64) for _ in range(60)]
     fps = list(base)
@@ -191,12 +192,18 @@ def test_linked_fingerprints_up_to_three_bits(spark):
             for i in r.sample(range(64), d):
                 x ^= 1 << i
             fps.append(x)
+    for b in base[:6]:  # families that share a half
+        for _ in range(12):
+            x = b
+            for i in r.sample(range(32), r.choice([2, 3, 5])):
+                x ^= 1 << i
+            fps.append(x)
     fps = sorted(set(fps) | {0, 7, 2**64 - 1})
     near = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3]
     want = linked_components(len(fps), near)
     signed = [x - 2**64 if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {r.fp: r.root for r in simhash.linked(df).collect()}
+    got = {r.fp: r.root for r in simhash.linked(df, heavy).collect()}
     groups = {}
     for x, w in zip(signed, want):
         groups.setdefault(w, set()).add(got.get(x, x))
