@@ -34,9 +34,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from .components import cut
-from .text_arrays import CHUNK_BYTES, U64, byte_values, byte_view, chunks, range_hash
+from .text_arrays import CHUNK_BYTES, U64, byte_view, chunks
 
 #: Kinds of segments: known to repeat whole; with equal windows inside.
 WHOLE, INNER = 1, 2
@@ -266,7 +267,8 @@ def _windows(method: Method, raw, off, row, keys, start, n, at_once) -> Iterator
         place, doc, one = start[of] + at - begin[of], row[of], np.ones(len(at), np.int32)
         content = method.payload(raw, off, doc, place, one)
         data, ends = byte_view(content)
-        first, second = (range_hash(byte_values()[data], which)(ends[:-1], ends[1:]) for which in (0, 1))
+        text = data.tobytes()
+        first, second = np.frombuffer(b"".join([xxh3_128_digest(text[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]), U64).reshape(-1, 2).T
         key = keys[doc]
         order = np.lexsort((place, key, second, first))
         x, y, k = first[order], second[order], key[order]

@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from .anchored import Method, _lists, keyed, repeated, restored, spans
-from .text_arrays import CHUNK_BYTES, U64, byte_values, byte_view, chunks, range_hash
+from .text_arrays import CHUNK_BYTES, U64, byte_view, chunks, gram_names
 
 LENGTH, GRAM = 100, 24
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
@@ -46,16 +47,14 @@ def _anchors(length: int, gram: int):
         if len(raw) < length:
             z = np.zeros(0, np.int64)
             return z.view(U64), z, z, None
-        values = byte_values()[raw]
-        at = np.arange(len(raw) - gram + 1)
-        names = range_hash(values)(at, at + gram)
+        names = gram_names(raw, gram)
         least = sliding_min(names, length - gram + 1)
         size = np.diff(off)
         fits = np.maximum(size - length + 1, 0)
         doc = np.repeat(np.arange(len(size)), fits)
         start = np.arange(len(doc)) - np.repeat(np.cumsum(fits) - fits, fits)
         place = start + off[:-1][doc]
-        of, of2 = range_hash(values, 1), range_hash(values, 2)
+        data = raw.tobytes()
         # Equal windows in one segment hold its anchor at two places: one starts a window, another ends one.
         starts = place[names[place] == least[place]]
         ends = place[names[place + length - gram] == least[place]]
@@ -65,7 +64,8 @@ def _anchors(length: int, gram: int):
             one = np.append(starts, len(raw))[np.searchsorted(starts, a)]
             other = np.append(ends, -length)[np.searchsorted(ends, z, side="right") - 1]
             inner = (one <= z) & (other >= a) & (other + length - gram > one)
-            return of(a, z + length), of2(a, z + length), inner
+            digests = np.frombuffer(b"".join([xxh3_128_digest(data[i:j]) for i, j in zip(a.tolist(), (z + length).tolist())]), U64).reshape(-1, 2)
+            return digests[:, 0], digests[:, 1], inner
 
         return least[place], doc, start, hashed
 
@@ -112,30 +112,52 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         known *= 2
 
 
+_ONES = U64(0x0101010101010101)
+_UP_TO = U64(0xFFFFFFFFFFFFFFFF) >> (U64(56) - U64(8) * np.arange(8, dtype=U64))
+
+
+def _boundaries(eight: np.ndarray, before: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How many boundaries stand up to each place; ``eight`` holds one byte for each place, ``before`` the number before each eight."""
+    block = place >> 3
+    return before[block] + (((eight[block] & _UP_TO[place & 7]) * _ONES) >> U64(56))
+
+
 def common_prefix_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, class of each rank): suffixes are in one class if their first ``length`` bytes agree."""
     n = len(text)
     sa = suffix_array(text, length + 1)
-    rank = np.empty(n, np.int32)
-    rank[sa] = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.arange(n)
     # psi undoes the transform's last-to-first mapping: the rank of the suffix one symbol later.
     psi = rank[np.minimum(sa + 1, n - 1)]
     symbol = text[sa]
-    boundary = np.ones(n, bool)
+    eight = np.zeros(n // 8 + 1, U64)
+    boundary = eight.view(bool)[:n]
+    boundary[0] = True
     boundary[1:] = symbol[1:] != symbol[:-1]
     ends = np.flatnonzero(sa == n - 1)
     boundary[ends] = True
     boundary[np.minimum(ends + 1, n - 1)] = True
     open_ = np.flatnonzero(~boundary)
     low, high = psi[open_ - 1], psi[open_]
+    near = high == low + 1  # no boundary but that at ``high`` can part them
+    one, far = (open_[near], high[near]), (open_[~near], low[~near], high[~near])
+    count = -1
     for _ in range(1, length):
-        interval = np.cumsum(boundary, dtype=np.int32)
-        split = interval[low] != interval[high]
-        if not split.any():
+        per = (eight * _ONES) >> U64(56)
+        before = np.cumsum(per) - per
+        if before[-1] + per[-1] == count:
             break
-        boundary[open_[split]] = True
-        keep = ~split
-        open_, low, high = open_[keep], low[keep], high[keep]
+        count = before[-1] + per[-1]
+        split = np.take(boundary, one[1], mode="clip")
+        parted = _boundaries(eight, before, far[2]) != _boundaries(eight, before, far[1])
+        boundary[one[0][split]] = True
+        boundary[far[0][parted]] = True
+        # Those that are parted stay so, and may wait.
+        if np.count_nonzero(split) * 8 > len(split):
+            one = tuple(x[~split] for x in one)
+        if np.count_nonzero(parted) * 8 > len(parted):
+            far = tuple(x[~parted] for x in far)
     return sa, np.cumsum(boundary) - 1
 
 

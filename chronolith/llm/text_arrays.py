@@ -13,6 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES, CHUNK_ROWS = 1 << 19, 1 << 12
 U64 = np.uint64
@@ -212,8 +213,37 @@ def byte_values() -> np.ndarray:
     return mix64((np.arange(256, dtype=U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
 
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, with zeros behind the end."""
+    return np.ndarray(len(raw) + 1, "<u8", np.concatenate((raw, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def gram_names(raw: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` (8 or more) bytes from each place on."""
+    n, eight = len(raw) - gram + 1, eights(raw)
+    h = np.full(n, SEEDS[0], U64)
+    for at in [*range(0, gram - 8, 8), gram - 8]:
+        h = join64(h, eight[at : at + n])
+    return mix64(h)
+
+
+#: Longer words are hashed one by one.
+LONG_WORD = 256
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hashes of words by their bytes."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    return range_hash(byte_values()[raw], which)(starts, ends)
+    eight, size = eights(raw), ends - starts
+    h = mix64(size.astype(U64) + U64(SEEDS[which]))
+    some = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, left = starts[some], size[some]
+    while len(some):
+        w = eight[at]
+        short = np.flatnonzero(left < 8)
+        w[short] &= (U64(1) << (left[short] * 8).astype(U64)) - U64(1)
+        h[some] = join64(h[some], w)
+        on = np.flatnonzero(left > 8)
+        some, at, left = some[on], at[on] + 8, left[on] - 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), SEEDS[which])
+    return mix64(h)
