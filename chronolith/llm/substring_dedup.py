@@ -3,11 +3,10 @@
 Round 0 names words, round 1 runs of equal words as (word, length), and rounds 2 and 3 pairs of neighbouring symbols
 whose left name is in one half of all names and whose right name is in the other (a bit of the name
 decides, anew in each round).  A name is a hash of the round and of what it joins, so that every task
-proposes the same name for the same thing; a Spark job then shuffles the distinct things of all rounds by their
-names and counts names that mean two things.  The first round with such a name is named anew, with
-the next salt and all rounds behind it, until each name means one thing in the whole corpus
-(``name_rounds``).  So naming is global, and equal substrings have the same symbols but for a few at
-their edges.
+gives the same name to the same thing: naming is global, and equal substrings have the same symbols but for
+a few at their edges.  What the rounds lead up to, the high-level symbols by which windows meet, goes through a
+Spark job: shuffled by name, each with another hash of its words, they show whether a name means two things in
+the corpus; then all rounds are named anew with the next salt (``name_rounds``).
 
 A round's choice at a place looks at the neighbouring symbols alone, whose spans are bounded (2, 4
 and 8 words).  A run of three words or more is one symbol that joins no pair and is named by its word: how long it is can't
@@ -42,6 +41,8 @@ WINDOW = 50
 MARGIN, TRIPLE, PREFERRED = 8, 24, (5, 8)
 #: The rounds: words, runs, and pairs twice.
 ROUNDS = 4
+#: Names that a task remembers.
+SEEN = 1 << 18
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 _SALT = 0x9E3779B97F4A7C15
 
@@ -55,118 +56,124 @@ def recompress(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _rounds(names, doc)[:2]
 
 
-def _rounds(names: np.ndarray, doc: np.ndarray, salts=(0,) * ROUNDS, record=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, first word of each, whether it is a long run).
-
-    ``record(round, names, lefts, rights)`` is told of what each round names; the right of a run is its length (3: or more).
-    """
+def _rounds(names: np.ndarray, doc: np.ndarray, salts=(0,) * ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, first word of each, whether it is a long run)."""
     n = len(names)
     new = np.ones(n, bool)
     new[1:] = (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
     length = np.minimum(np.diff(np.append(begin, n)), 3)
     names, run = names[begin], np.flatnonzero(length > 1)
-    left, right = names[run], length[run].astype(U64)
-    names[run] = join64(left + _salt(1, salts), mix64(right))
-    if record:
-        record(1, names[run], left, right)
+    names[run] = join64(names[run] + _salt(1, salts), mix64(length[run].astype(U64)))
     long_ = length > 2
     for round_ in (2, 3):
         side = mix64(names ^ _salt(round_, salts)) & U64(1) == 1
         pair = np.flatnonzero(~side[:-1] & side[1:] & ~long_[:-1] & ~long_[1:] & (doc[begin[:-1]] == doc[begin[1:]]))
-        left, right = names[pair], names[pair + 1]
         names = names.copy()
-        names[pair] = join64(left + _salt(round_, salts), right)
-        if record:
-            record(round_, names[pair], left, right)
+        names[pair] = join64(names[pair] + _salt(round_, salts), names[pair + 1])
         keep = np.ones(len(names), bool)
         keep[pair + 1] = False
         names, begin, long_ = names[keep], begin[keep], long_[keep]
     return names, begin, long_
 
 
+def _high_level(h: np.ndarray, of_word: np.ndarray, salts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end, name) of the high-level symbols.
+
+    Names are ranked by kind: three symbols of a preferred span, three of any, long runs.
+    """
+    symbol, begin, long_ = _rounds(h, of_word, salts)
+    end = np.append(begin[1:], len(h))
+    first, last, plain = begin[:-2], end[2:], ~long_
+    three = np.flatnonzero((of_word[first] == of_word[last - 1]) & plain[:-2] & plain[1:-1] & plain[2:])
+    first, last = first[three], last[three]
+    good = (last - first >= PREFERRED[0]) & (last - first <= PREFERRED[1])
+    name = join64(join64(symbol[three], symbol[three + 1]), symbol[three + 2]) >> U64(2) | np.where(good, U64(0), U64(1 << 62))
+    return np.concatenate((first, begin[long_])), np.concatenate((last, end[long_])), np.concatenate((name, symbol[long_] >> U64(2) | U64(2 << 62)))
+
+
 def _names(raw, starts, ends, salts) -> np.ndarray:
     """Round 0."""
     h = word_hashes(raw, starts, ends)
     return join64(h, _salt(0, salts)) if salts[0] else h
 
 
+def _windows(raw, off, salts):
+    """(words' names, place of each window, its document, its start in the document, its anchor), None without any window."""
+    starts, ends, first = words(raw, off)
+    count = np.diff(first)
+    fits = np.maximum(count - WINDOW + 1, 0)
+    if not fits.any():
+        return None
+    h, n = _names(raw, starts, ends, salts), len(starts)
+    begin, end, name = _high_level(h, owner(first), salts)
+    kind, by_kind = (name >> U64(62)).astype(np.int64), np.full((3, n), _MAX)
+    for k in (0, 1):
+        some = np.flatnonzero(kind == k)
+        by_kind[k][begin[some]] = name[some]
+    some = np.flatnonzero(kind == 2)
+    size = end[some] - begin[some]
+    by_kind[2][np.repeat(begin[some] - np.cumsum(size) + size, size) + np.arange(size.sum())] = np.repeat(name[some], size)
+    doc = np.repeat(np.arange(len(count)), fits)
+    start = np.arange(len(doc)) - np.repeat(np.cumsum(fits) - fits, fits)
+    place = start + first[:-1][doc]
+    inner = WINDOW - 2 * MARGIN
+    best = sliding_min(by_kind[0], inner - PREFERRED[1] + 1)[place + MARGIN]
+    if (best == _MAX).any():
+        best = np.minimum(best, sliding_min(by_kind[1], inner - TRIPLE + 1)[place + MARGIN])
+        best = np.minimum(best, sliding_min(by_kind[2], inner)[place + MARGIN])
+    return h, place, doc, start, best
+
+
 def _proposals(salts):
-    """The distinct things that the rounds name in a chunk: (round, name, left, right, word)."""
+    """What the anchors of a task mean: (name, thing), where ``thing`` is a second hash of the words, or of a long run's word.
+
+    What a table of ``SEEN`` names remembers isn't told again.
+    """
 
     def run(batches):
+        known = np.zeros((2, SEEN), np.int64)
         for b in batches:
             for _, _, raw, off, _ in _parts(slices, b.column(0)):
-                starts, ends, first = words(raw, off)
-                if not len(starts):
+                found = _windows(raw, off, salts)
+                if found is None:
                     continue
-                names = _names(raw, starts, ends, salts)
-                _, one = np.unique(names, return_index=True)
-                told = [(0, names[one], names[one], names[one])]
-                _rounds(names, owner(first), salts, lambda *x: told.append(x))
-                data = raw.tobytes()
-                for round_, name, left, right in told:
-                    if round_:
-                        order = np.lexsort((right, left, name))
-                        name, left, right = name[order], left[order], right[order]
-                        some = np.ones(len(name), bool)
-                        some[1:] = (name[1:] != name[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-                        name, left, right = name[some], left[some], right[some]
-                        word = pa.nulls(len(name), pa.binary())
-                    else:
-                        word = pa.array([data[i:j] for i, j in zip(starts[one].tolist(), ends[one].tolist())], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), round_, np.int8)), *(pa.array(x.view(np.int64)) for x in (name, left, right)), word], ["round", "name", "left", "right", "word"])
+                starts, ends, first = words(raw, off)
+                begin, end, name = _high_level(found[0], owner(first), salts)
+                some = np.flatnonzero(np.isin(name, np.unique(found[4])))
+                begin, end, name = begin[some], end[some], name[some].view(np.int64)
+                end = np.where(name < 0, begin + 1, end)  # the third kind has the highest bit
+                thing = range_hash(word_hashes(raw, starts, ends, 1), 2)(begin, end).view(np.int64)
+                slot = name & (SEEN - 1)
+                new = np.flatnonzero((known[0, slot] != name) | (known[1, slot] != thing))
+                known[0, slot[new]], known[1, slot[new]] = name[new], thing[new]
+                yield pa.RecordBatch.from_arrays([pa.array(name[new]), pa.array(thing[new])], ["name", "thing"])
 
     return run
 
 
-def name_rounds(texts: DataFrame, salts=(0,) * ROUNDS, propose=_proposals) -> tuple[int, ...]:
-    """The salts with which each name of each round means one thing in all of ``texts`` (one column); see the module's text."""
-    while True:
-        told = texts.mapInArrow(propose(salts), "round byte, name long, left long, right long, word binary")
-        things = ("round", "left", "right", "word")
-        per = told.groupBy("name").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in things])
-        twice = per.where(" OR ".join(f"min_{c} <> max_{c}" for c in things)).agg(F.min("max_round")).first()[0]
-        if twice is None:
-            return salts
-        salts = tuple(x + (i >= twice) for i, x in enumerate(salts))
+def name_rounds(texts: DataFrame, salts=(0,) * ROUNDS, propose=_proposals, tries: int = 8) -> tuple[int, ...]:
+    """The salts with which each high-level symbol that is an anchor means one thing in all of ``texts`` (one column).
+
+    The rounds are named anew until it does, ``tries`` times at most: windows are compared by their words, so that a
+    name of two meanings costs time and nothing else.
+    """
+    for _ in range(tries):
+        told = texts.mapInArrow(propose(salts), "name long, thing long")
+        per = told.groupBy("name").agg(F.min("thing").alias("least"), F.max("thing").alias("most"))
+        if per.where("least <> most").isEmpty():
+            break
+        salts = tuple(x + 1 for x in salts)
+    return salts
 
 
 def _anchors(salts):
     def anchors(raw, off):
-        starts, ends, first = words(raw, off)
-        count = np.diff(first)
-        fits = np.maximum(count - WINDOW + 1, 0)
-        total = int(fits.sum())
-        if not total:
+        found = _windows(raw, off, salts)
+        if found is None:
             z = np.zeros(0, np.int64)
             return z.view(U64), z, z, None
-        h = _names(raw, starts, ends, salts)
-        of_word = owner(first)
-        symbol, begin, long_ = _rounds(h, of_word, salts)
-        n = len(h)
-        end = np.append(begin[1:], n)
-        # Ranked by kind, then by name: three symbols of a preferred span, three of any, the word of a long run.
-        preferred, any_ = np.full(n, _MAX), np.full(n, _MAX)
-        if len(symbol) > 2:
-            plain = ~long_
-            triple = join64(join64(symbol[:-2], symbol[1:-1]), symbol[2:])
-            span = end[2:] - begin[:-2]
-            inside = (of_word[begin[:-2]] == of_word[end[2:] - 1]) & plain[:-2] & plain[1:-1] & plain[2:]
-            good = inside & (span >= PREFERRED[0]) & (span <= PREFERRED[1])
-            preferred[begin[:-2][good]] = triple[good] >> U64(2)
-            any_[begin[:-2][inside]] = triple[inside] >> U64(2) | U64(1 << 62)
-        run = np.full(n, _MAX)
-        in_run = np.repeat(long_, end - begin)
-        run[in_run] = np.repeat(symbol, end - begin)[in_run] >> U64(2) | U64(2 << 62)
-        doc = np.repeat(np.arange(len(count)), fits)
-        start = np.arange(total) - np.repeat(np.cumsum(fits) - fits, fits)
-        place = start + first[:-1][doc]
-        inner = WINDOW - 2 * MARGIN
-        best = sliding_min(preferred, inner - PREFERRED[1] + 1)[place + MARGIN]
-        if (best == _MAX).any():
-            best = np.minimum(best, sliding_min(any_, inner - TRIPLE + 1)[place + MARGIN])
-            best = np.minimum(best, sliding_min(run, inner)[place + MARGIN])
+        h, place, doc, start, best = found
         of, of2 = range_hash(h, 1), range_hash(h, 2)
 
         def hashed(a, b):

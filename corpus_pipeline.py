@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir), with docs in the columns of ``documents``, and works on all that
 its predecessor kept.  The stages learn and search on their own input alone, beside the tables
 ``labels`` and ``benchmark`` of ``sf_dir``.
+
+Defined results: a null text is scored as an empty one; of rows that repeat an id, or have none, each is decided
+by itself, and one row of a group of near copies stays, that of the least id (none: the last); cutting
+repeats makes a null text empty; a text without words isn't contaminated and has one segmentation, the empty
+one; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -58,8 +63,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each one's rows written to the shared folder and read again."""
+    """The stages applied to ``documents``, each one's rows written to the shared folder and read again.
+
+    A stage's rows are deleted when the next one's are written; those that the last stage reads stay, as its
+    rows aren't computed before they are asked for.
+    """
     docs = _table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
@@ -68,3 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{folder}/{i}_{name}")
         docs = spark.read.parquet(f"{folder}/{i}_{name}")
+        if i:
+            _delete(spark, f"{folder}/{i - 1}_{STAGES[i - 1][0]}")

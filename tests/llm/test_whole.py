@@ -36,3 +36,18 @@ def test_contamination_of_and_by_rows_without_an_id(spark, limit):
     assert sorted((r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == [(2, 0, 0, False), (12, 12, 1, True), (13, 13, 1, True), (25, 25, 2, True)]
     assert [r.text for r in decontaminate.remove_contaminated(docs, items, broadcast_bytes=limit).collect()] == ["clean words"]
     assert sorted(r.text for r in decontaminate.remove_spans(docs, items, broadcast_bytes=limit).collect()) == ["", "", "", "clean words"]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, and no rows at all go through every stage."""
+    long = " ".join(f"word{i}" for i in range(60))
+    odd = documents(spark, [None, "", FIRST, FIRST, SECOND, long, long + " more", None], [1, 2, 3, 3, None, 5, 6, None]).select("doc_id", "text", "lang", "source", "n_chars")
+    for folder, docs in (("odd", odd), ("none", odd.limit(0))):
+        d = f"{tmp_path}/{folder}"
+        docs.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(3, 0, 0), (5, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, SECOND), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, d).collect()
+        assert all(r.exact for r in got)
+        assert len({r.doc_id for r in got}) <= 5 and (folder == "odd") == bool(got)
+        assert all(r.doc_id is not None for r in got) and {r.doc_id for r in got if r.doc_id == 6} <= {6}
