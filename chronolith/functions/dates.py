@@ -155,3 +155,110 @@ def rule_value(rule: dict, d: Column, anchor: Column, context: dict[str, Column]
             out = value if out is None else out.otherwise(value)
         return F.when(offset >= 0, out)
     raise ValueError(f"unknown rule {kind}")
+
+
+# The season of each month, the weather of known cities by month, and a season's weather elsewhere.
+SEASONS = ("winter", "winter", "spring", "spring", "spring", "summer", "summer", "summer", "fall", "fall", "fall", "winter")
+CLIMATE = {
+    "austin": ("mild", "mild", "mild", "warm", "hot", "hot", "hot", "hot", "hot", "warm", "mild", "mild"),
+    "chicago": ("snowy", "snowy", "cold", "mild", "mild", "warm", "hot", "hot", "warm", "mild", "cold", "snowy"),
+    "denver": ("snowy", "snowy", "cold", "cold", "mild", "warm", "hot", "warm", "warm", "mild", "cold", "snowy"),
+    "pittsburgh": ("snowy", "snowy", "cold", "rainy", "rainy", "warm", "hot", "warm", "mild", "mild", "cold", "snowy"),
+    "seattle": ("rainy", "rainy", "rainy", "rainy", "mild", "mild", "warm", "warm", "mild", "rainy", "rainy", "rainy"),
+}
+SEASON_WEATHER = {"winter": "cold", "spring": "mild", "summer": "hot", "fall": "mild"}
+
+
+def season(d: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, SEASONS)), F.month(d))
+
+
+def is_workday(d: Column) -> Column:
+    return F.weekday(d) < 5
+
+
+def weather(d: Column, city: Column) -> Column:
+    """A known city's weather in the month (what stands before the first comma names it), else the season's."""
+    key = F.lower(F.trim(F.split_part(F.coalesce(city, F.lit("")), F.lit(","), F.lit(1))))
+    out = F.element_at(F.create_map(*[F.lit(x) for kv in SEASON_WEATHER.items() for x in kv]), season(d))
+    for name, months in CLIMATE.items():
+        out = F.when(key == name, F.element_at(F.array(*map(F.lit, months)), F.month(d))).otherwise(out)
+    return out
+
+
+def day_number(d: Column, start: Column) -> Column:
+    """Days from 1 on."""
+    return F.datediff(d, start) + 1
+
+
+def day_date(n: Column, start: Column) -> Column:
+    return F.date_add(start, n - 1)
+
+
+def previous_week(d: Column) -> Column:
+    return F.date_sub(week_start(d), 7)
+
+
+def previous_month(d: Column) -> Column:
+    return F.add_months(F.trunc(d, "month"), -1)
+
+
+def latest_named(c: Column) -> Column:
+    """The last day that a text names: ISO dates, and the ends of months like "March 2026"."""
+    names = "January|February|March|April|May|June|July|August|September|October|November|December"
+    days = F.transform(F.regexp_extract_all(c, F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0)), lambda x: F.try_to_date(x, "yyyy-MM-dd"))
+    months = F.transform(F.regexp_extract_all(c, F.lit(rf"\b(?:{names})\s+\d{{4}}\b"), F.lit(0)), lambda x: F.last_day(F.try_to_date(F.regexp_replace(x, r"\s+", " "), "MMMM yyyy")))
+    return F.array_max(F.array_compact(F.concat(days, months)))
+
+
+PERIODS = {"week": r"^\d{4}-W(0[1-9]|[1-4]\d|5[0-3])$", "month": r"^\d{4}-(0[1-9]|1[0-2])$", "year": r"^\d{4}$", "lifetime": r"^lifetime$"}
+
+
+def period_kind(c: Column) -> Column:
+    """week, month, year or lifetime by the form of a period's id; null for any other."""
+    out = F.lit(None).cast("string")
+    for kind, pattern in PERIODS.items():
+        out = F.when(c.rlike(pattern), kind).otherwise(out)
+    return out
+
+
+def period_start(c: Column) -> Column:
+    """The first day of a week, month or year by its id."""
+    kind = period_kind(c)
+    fourth = F.make_date(F.substring(c, 1, 4).cast("int"), F.lit(1), F.lit(4))  # lies in the ISO year's first week
+    week = F.date_add(week_start(fourth), 7 * (F.substring(c, 7, 2).cast("int") - 1))
+    return F.when(kind == "week", week).when(kind == "month", F.try_to_date(F.concat(c, F.lit("-01")), "yyyy-MM-dd")).when(kind == "year", F.try_to_date(F.concat(c, F.lit("-01-01")), "yyyy-MM-dd"))
+
+
+def rule_values(rule: dict) -> list[str]:
+    """The different values that a rule can give, in the order in which it names them."""
+    kind = rule["type"]
+    if kind == "constant":
+        found = [rule["value"]]
+    elif kind == "weekly_alternate":
+        found = rule["values"]
+    elif kind == "n_day_cycle":
+        found = [s["value"] for s in rule["segments"]]
+    elif kind == "day_of_week":
+        found = [rule["map"][d] for d in WEEKDAYS]
+    elif kind == "nested":
+        found = [v for b in rule["blocks"] for v in rule_values(b)]
+    else:
+        found = [v for case in rule["cases"].values() for v in ([case] if isinstance(case, str) else rule_values(case))]
+    return list(dict.fromkeys(found))
+
+
+def rule_text(rule: dict) -> str:
+    """A rule in words."""
+    kind = rule["type"]
+    if kind == "constant":
+        return f"always {rule['value']}"
+    if kind == "weekly_alternate":
+        return "a week each of " + ", ".join(rule["values"])
+    if kind == "n_day_cycle":
+        return "in turn " + ", ".join(f"{s['value']} for {s['days']} days" for s in rule["segments"])
+    if kind == "day_of_week":
+        return ", ".join(f"{rule['map'][d]} on {d.capitalize()}s" for d in WEEKDAYS)
+    if kind == "nested":
+        return f"blocks of {rule['block_days']} days: " + "; ".join(rule_text(b) for b in rule["blocks"])
+    return f"by {rule['condition']}: " + "; ".join(f"{k}: {v if isinstance(v, str) else rule_text(v)}" for k, v in rule["cases"].items())

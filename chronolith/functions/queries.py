@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TEMPORAL = ("when", "before", "after", "during", "yesterday", "today", "last", "ago", "since", "recently")
-FACTUAL = ("what", "who", "where", "which", "how many", "how much")
-INFERENTIAL = ("why", "how", "infer", "likely", "suggest", "explain")
-
-
-def whole_word(c: Column, words) -> Column:
-    return F.lower(c).rlike(r"\b(" + "|".join(words) + r")\b")
+# What a question of each kind holds, anywhere in its text.
+TEMPORAL = ("when", "what time", "date", "year", "month", "day", "ago", "before", "after", "during", "since")
+FACTUAL = ("what", "who", "where", "which", "how many", "is", "are", "did", "does")
+INFERENTIAL = ("why", "how", "would", "could", "should", "likely", "probably", "might")
 
 
 def category(question: Column) -> Column:
-    """temporal, factual, inferential or detailed, by whole words in this order."""
-    return F.when(whole_word(question, TEMPORAL), "temporal").when(whole_word(question, FACTUAL), "factual").when(whole_word(question, INFERENTIAL), "inferential").otherwise("detailed")
+    """temporal, factual, inferential or detailed, the first whose keywords the question holds; detailed with Chinese characters."""
+    out, text = F.lit("detailed"), F.lower(question)
+    for kind, words in (("inferential", INFERENTIAL), ("factual", FACTUAL), ("temporal", TEMPORAL)):
+        held = F.lit(False)
+        for w in words:
+            held = held | text.contains(w)
+        out = F.when(held, kind).otherwise(out)
+    return F.when(question.rlike("[\u4e00-\u9fff]"), "detailed").otherwise(out)
 
 
 def intent(question: Column) -> Column:
@@ -26,9 +29,10 @@ def intent(question: Column) -> Column:
 
 
 def time_entities(question: Column) -> Column:
-    """Sorted distinct (start, text) of time phrases; start counts from 1."""
-    pattern = r"\b(?:yesterday|today|tomorrow|last (?:week|month|year)|\d+ (?:days?|weeks?|months?) ago|\d{4}-\d{2}-\d{2})\b"
-    found = F.regexp_extract_all(F.lower(question), F.lit(pattern), F.lit(0))
+    """Sorted distinct (start, text) of time phrases: years, dates in figures and words, days and spans named; start counts from 1."""
+    month = "(?:january|february|march|april|may|june|july|august|september|october|november|december)"
+    patterns = (r"\d{4}", r"\d{1,2}/\d{1,2}/\d{4}", r"\d{4}-\d{1,2}-\d{1,2}", rf"{month}\s+\d{{1,2}},?\s+\d{{4}}", rf"\d{{1,2}}\s+{month}\s+\d{{4}}", r"(?:today|yesterday|tomorrow|(?:last|next) (?:week|month|year))", r"\d+ (?:days?|weeks?|months?) ago")
+    found = F.flatten(F.array(*[F.regexp_extract_all(F.lower(question), F.lit(rf"\b{p}\b"), F.lit(0)) for p in patterns]))
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.struct(F.position(x, F.lower(question)).alias("start"), x.alias("text")))))
 
 

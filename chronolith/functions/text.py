@@ -11,8 +11,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Common English words that tokenising leaves out, by default.
-STOPWORDS = ("the", "and", "for", "are", "was", "with", "that", "this", "from", "have", "has", "had", "not", "but", "you", "all", "can", "her", "his", "they", "what", "when", "where", "who", "why", "how")
+# The words that tokenising leaves out, and those that key terms leave out.
+STOPWORDS = tuple(dict.fromkeys("""
+the and a an is in it of to that this for with as on at by from they them their there be been being have has had not no but or so such
+what which when where why how can could may might shall should will would i me my mine you your yours he him his she her hers its we our
+ours theirs myself yourself himself herself itself ourselves yourselves themselves who whom these those am are was were do does did doing
+ought us now then here all any both each few more most other some nor only own same than too very s t just don
+""".split()))
+KEY_STOPWORDS = tuple("""
+the a an and or but in on at to for of with by is are was were be been being have has had do does did will would could should may might must can
+""".split())
+
+# What an answer says that abstains.
+ABSTENTIONS = ("no information", "not mentioned", "not provided", "don't know", "do not know", "cannot find", "no record")
 
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
@@ -47,7 +58,7 @@ def tokens(c: Column, stopwords=STOPWORDS) -> Column:
 
 
 def key_terms(c: Column, most: int = 15) -> Column:
-    return F.slice(F.array_distinct(tokens(c)), 1, most)
+    return F.slice(F.array_distinct(tokens(c, KEY_STOPWORDS)), 1, most)
 
 
 def clean_text(c: Column) -> Column:
@@ -115,7 +126,7 @@ def token_f1(prediction: Column, reference: Column) -> Column:
 def score_answer(prediction: Column, reference: Column, category: Column) -> Column:
     """Token F1; category 1 averages each reference part's best; category 5 wants an abstention."""
     refused = None
-    for phrase in ("no information", "not mentioned", "not provided", "don't know", "do not know", "cannot find", "no record"):
+    for phrase in ABSTENTIONS:
         hit = F.lower(prediction).contains(phrase)
         refused = hit if refused is None else refused | hit
     parts = F.transform(F.split(reference, ","), lambda r: F.array_max(F.transform(F.split(prediction, ","), lambda p: token_f1(F.trim(p), F.trim(r)))))
@@ -139,7 +150,7 @@ def dates_in_text(c: Column) -> Column:
 def strict_check(prediction: Column, accept: Column, grading: Column) -> Column:
     """Whether an accepted answer stands as whole words, or a date is named; null where only a judge applies."""
     p = F.lower(prediction)
-    word = F.exists(accept, lambda a: F.rlike(p, F.concat(F.lit(r"\b\Q"), F.lower(a), F.lit(r"\E\b"))))
+    word = F.exists(accept, lambda a: F.rlike(p, F.concat(F.lit(r"(?U)\b\Q"), F.lower(a), F.lit(r"\E\b"))))
     dates = F.transform(dates_in_text(prediction), lambda d: d.cast("string"))
     return F.when(grading == "date_exact", F.arrays_overlap(dates, accept)).when(grading == "exact", word)
 

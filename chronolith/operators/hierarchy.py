@@ -13,14 +13,12 @@ def of_level(nodes: DataFrame, level: str) -> DataFrame:
 
 
 def level_left_join(core: DataFrame, details: dict[str, DataFrame], column: str) -> DataFrame:
-    """Core rows with the level's own detail (id, ``column``); each dimension is filtered to its level before the join."""
-    out, names = core, []
-    for level, d in details.items():
-        name = f"{column}_{level}"
-        names.append(name)
-        d = d.select(F.col("id").alias("_id"), F.col(column).alias(name), F.lit(level).alias("_l"))
-        out = out.join(d, (out["id"] == d["_id"]) & (out["level"] == d["_l"]), "left").drop("_id", "_l")
-    return out.withColumn(column, F.coalesce(*names)).drop(*names)
+    """Core rows with the level's own detail (id, ``column``); the levels' details are joined at once, on id and level."""
+    every = None
+    for level, rows in details.items():
+        rows = rows.select(F.col("id").alias("_id"), F.lit(level).alias("_l"), F.col(column))
+        every = rows if every is None else every.unionByName(rows)
+    return core.join(every, (core["id"] == every["_id"]) & (core["level"] == every["_l"]), "left").drop("_id", "_l")
 
 
 def children(nodes: DataFrame, parent_level: str) -> DataFrame:
@@ -76,3 +74,34 @@ def neighbours(edges: DataFrame, node, direction: str = "both") -> DataFrame:
 
 def period_end(level: Column, period: Column) -> Column:
     return F.when(level == "L4", F.date_add(period, 6)).when(level == "L5", F.last_day(period)).otherwise(period)
+
+
+def edges_where(edges: DataFrame, kind: str | None = None, src: str | None = None, dst: str | None = None) -> DataFrame:
+    """Edges (src, dst, kind) of a kind, from a node or to one."""
+    for column, value in (("kind", kind), ("src", src), ("dst", dst)):
+        edges = edges.where(F.col(column) == value) if value is not None else edges
+    return edges
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(id, outgoing, incoming) of every node with an edge."""
+    ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(edges.select(F.col("dst"), F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))
+
+
+def cascade(dirty_days: DataFrame, day: str) -> DataFrame:
+    """(layer, period, start) of every week, month and year that a dirty day lies in, and the lifetime: what has to be built anew, lower layers first."""
+    d = F.col(day)
+    layers = F.array(
+        F.struct(F.lit(1).alias("layer"), F.concat(F.lit("week:"), F.date_trunc("week", d).cast("date").cast("string")).alias("period")),
+        F.struct(F.lit(2).alias("layer"), F.concat(F.lit("month:"), F.date_format(d, "yyyy-MM")).alias("period")),
+        F.struct(F.lit(3).alias("layer"), F.concat(F.lit("year:"), F.date_format(d, "yyyy")).alias("period")),
+        F.struct(F.lit(4).alias("layer"), F.lit("lifetime").alias("period")),
+    )
+    return dirty_days.select(F.explode(layers).alias("x")).select("x.layer", "x.period").distinct()
+
+
+def historical(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each edge (id, earlier_id) with the content and date of the earlier node."""
+    earlier = nodes.select(F.col("id").alias("earlier_id"), F.col("content").alias("earlier"), F.col("source_date").alias("earlier_date"))
+    return edges.join(earlier, "earlier_id").select("id", "earlier", "earlier_date")

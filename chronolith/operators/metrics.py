@@ -118,3 +118,19 @@ def source_hash(rows: DataFrame, period: Column, parts: list[str], order: list[s
     half = lambda i: F.conv(F.substring(row, i, 12), 16, 10).cast("decimal(20,0)")
     g = rows.groupBy(period.alias("period")).agg(F.count(F.lit(1)).alias("n"), F.sum(half(1)).alias("a"), F.sum(half(13)).alias("b"))
     return g.select("period", F.substring(F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")), 256), 1, 16).alias("source_hash"), "n")
+
+
+def token_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Sum, mean, median, least, most and sample deviation at every combination of the keys; a null key means all."""
+    v = F.col(value)
+    return rows.cube(*keys).agg(
+        F.sum(v).alias("total"), F.round(F.avg(v), 4).alias("mean"), F.median(v).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.stddev_samp(v), 4).alias("deviation")
+    )
+
+
+def fidelity(sessions: DataFrame) -> DataFrame:
+    """How many of the sessions (attempts, passed, turns) passed, at once and at all, and their mean attempts and turns."""
+    passed = F.col("passed")
+    return sessions.agg(
+        F.count(F.lit(1)).alias("sessions"), F.count_if(passed & (F.col("attempts") == 1)).alias("first_try"), F.count_if(passed).alias("passed"), F.round(F.avg("attempts"), 2).alias("mean_attempts"), F.round(F.avg("turns"), 1).alias("mean_turns")
+    )

@@ -207,3 +207,23 @@ def related(rows: DataFrame, n: int = 3) -> DataFrame:
     return named.select("id", F.explode(F.transform(near, lambda x: x["id"])).alias("related"))
 
 
+
+
+def valid_hits(hits: DataFrame) -> DataFrame:
+    """Hits with an id, some content and a score that isn't negative."""
+    return hits.where(F.col("id").isNotNull() & (F.coalesce(F.length("content"), F.lit(0)) > 0) & (F.col("score") >= 0))
+
+
+def proportional(rows: DataFrame, key: str, share: float, order: Column) -> DataFrame:
+    """That share of each category's rows, rounded up, the first by ``order``."""
+    w = Window.partitionBy(key)
+    ranked = rows.withColumns({"_n": F.row_number().over(w.orderBy(order, "id")), "_c": F.count(F.lit(1)).over(w)})
+    return ranked.where(F.col("_n") <= F.ceil(F.col("_c") * share)).drop("_n", "_c")
+
+
+# For each retrieval strategy its layers, with the hits of the first and of the last ranking.
+STRATEGIES = {
+    "simple": {"L1": (40, 20), "L2": (2, 1)},
+    "hybrid": {"L1": (40, 20), "L2": (2, 2), "L3": (1, 1), "L4": (1, 1)},
+    "complex": {"L1": (40, 20), "L3": (2, 2), "L4": (2, 1), "L5": (1, 1)},
+}

@@ -220,3 +220,30 @@ def not_stored(batch: DataFrame, store: DataFrame) -> DataFrame:
         same = k.eqNullSafe(held[f"_s{i}"])
         on = same if on is None else on & same
     return batch.join(held, on, "left_anti")
+
+
+def ingest_report(batch: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows received, repeated within the batch, stored before, and added (the first of each key that the store lacks)."""
+    known = store.select(*keys).distinct().withColumn("_known", F.lit(True))
+    groups = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(known, keys, "left")
+    old = F.coalesce("_known", F.lit(False))
+    return groups.agg(F.sum("n").alias("received"), F.sum(F.col("n") - 1).alias("repeated"), F.count_if(old).alias("stored_before"), F.count_if(~old).alias("added"))
+
+
+def registry(references: dict[str, DataFrame]) -> DataFrame:
+    """(ref, kind) of all that may be referred to."""
+    out = None
+    for kind, rows in references.items():
+        rows = rows.select("ref", F.lit(kind).alias("kind"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def ranked(rows: DataFrame, score: Column, tie: Column) -> DataFrame:
+    """(id, rank) over all rows without bringing them together: rows are ranged by ``score``, then ``tie``, and each range counts on from those before."""
+    parts = rows.repartitionByRange(score, tie).sortWithinPartitions(score, tie).select("id", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
+    held = parts.checkpoint() if parts.sparkSession.sparkContext.getCheckpointDir() else parts.persist()
+    place = F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33) + 1
+    sizes = held.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_b"))  # a row for each range
+    return held.join(F.broadcast(before), "_p").select("id", (place + F.col("_b")).alias("rank"))

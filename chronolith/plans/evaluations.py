@@ -9,25 +9,25 @@ from ..functions import dates, text
 from ..operators import hierarchy, metrics, timeline
 from ..sources.tables import levels, memories, sql, table, turns
 from .registry import query
-from .texts import ASCII_WORDS, STOP, E, _english, _pairs
+from .texts import LETTERS, WORD_LIST, STOP, E, _texts, _pairs
 from .timelines import KEYS
 
 
-@query(sql(E + f""", w AS (SELECT id, {ASCII_WORDS} AS w FROM e), b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1), u AS (SELECT unnest(w) AS g FROM w)
+@query(sql(E + f""", w AS (SELECT id, {WORD_LIST} AS w FROM e), b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1), u AS (SELECT unnest(w) AS g FROM w)
 SELECT 1 AS n, count(DISTINCT g) AS kinds, count(*) AS total, round(count(DISTINCT g) / count(*), 6) AS share FROM u UNION ALL SELECT 2, count(DISTINCT g), count(*), round(count(DISTINCT g) / count(*), 6) FROM b""", "t"))
 def distinct_n(s, d):
-    w = _english(s, d).select(text.words(F.col("text")).alias("w"))
+    w = _texts(s, d).select(text.words(F.col("text")).alias("w"))
     two = w.where(F.size("w") > 1).select(F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("g"))
     count = lambda df, n: df.agg(F.lit(n).alias("n"), F.countDistinct("g").alias("kinds"), F.count(F.lit(1)).alias("total"), F.round(F.countDistinct("g") / F.count(F.lit(1)), 6).alias("share"))
     return count(w.select(F.explode("w").alias("g")), 1).unionByName(count(two, 2))
 
 
-@query(sql(E + f""", w AS (SELECT id, unnest(list_filter({ASCII_WORDS}, lambda x: length(x) > 2 AND NOT list_contains({STOP}, x))) AS w FROM e), tf AS (SELECT id, w, count(*) AS tf FROM w GROUP BY id, w)
+@query(sql(E + f""", w AS (SELECT id, unnest(list_filter({WORD_LIST}, lambda x: length(x) > 2 AND NOT list_contains({STOP}, x))) AS w FROM e), tf AS (SELECT id, w, count(*) AS tf FROM w GROUP BY id, w)
 , df AS (SELECT w, count(*) AS df FROM tf GROUP BY w), x AS (SELECT id, w, tf * (ln((1.0 + (SELECT count(*) FROM e)) / (1 + df)) + 1) AS v FROM tf JOIN df USING (w))
 , y AS (SELECT id, w, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS weight FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, w) AS n FROM y)
 SELECT id, w AS word, weight FROM r WHERE n <= 5""", "t"))
 def tfidf_keywords(s, d):
-    e = _english(s, d)
+    e = _texts(s, d)
     tf = e.select("id", F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     total = e.agg(F.count(F.lit(1)).alias("n"))
@@ -36,7 +36,7 @@ def tfidf_keywords(s, d):
     return timeline.top_k_per(y, ["id"], 5, F.desc("weight"), "word").select("id", "word", "weight")
 
 
-PAIR_WORDS = r", p AS (SELECT x.id, substr(x.text, 1, 60) AS a, substr(y.text, 1, 60) AS b FROM e x JOIN e y ON y.id = x.id + 100), a AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(regexp_extract_all(lower(a), '[a-z0-9_]+')) AS w FROM p) GROUP BY ALL), b AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(regexp_extract_all(lower(b), '[a-z0-9_]+')) AS w FROM p) GROUP BY ALL)" + "\n"
+PAIR_WORDS = ", p AS (SELECT x.id, x.text AS a, y.text AS b FROM e x JOIN e y ON y.id = x.id + 100), a AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(regexp_extract_all(lower(a), '" + LETTERS + "')) AS w FROM p) GROUP BY ALL), b AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(regexp_extract_all(lower(b), '" + LETTERS + "')) AS w FROM p) GROUP BY ALL)" + "\n"
 
 
 @query(sql(E + PAIR_WORDS + ", k AS (SELECT id, sum(least(a.c, b.c)) AS k FROM a JOIN b USING (id, w) GROUP BY id), la AS (SELECT id, sum(c) AS n FROM a GROUP BY id), lb AS (SELECT id, sum(c) AS n FROM b GROUP BY id) SELECT p.id, round(coalesce(2.0 * k / (la.n + lb.n), 0), 6) AS f FROM p LEFT JOIN k USING (id) LEFT JOIN la USING (id) LEFT JOIN lb USING (id)", "t"))
@@ -83,10 +83,10 @@ def judge_agreement(s, d):
     return table(s, d, "labels").groupBy("quality").agg(F.round(F.avg((F.col("quality") == F.col("toxic")).cast("int")), 6).alias("agreement"), F.count(F.lit(1)).alias("n"))
 
 
-@query(sql("SELECT speaker, string_agg(entity || '=' || content, ',' ORDER BY source_date, id) AS history FROM m WHERE source_date < DATE '2024-01-08' GROUP BY speaker", "m"))
+@query(sql("SELECT speaker, string_agg(entity || '=' || content, ',' ORDER BY source_date, id) AS history FROM m GROUP BY speaker", "m"))
 def user_history(s, d):
     rows = F.array_sort(F.collect_list(F.struct("source_date", "id", F.concat_ws("=", "entity", "content").alias("x"))))
-    return memories(s, d).where("source_date < DATE '2024-01-08'").groupBy("speaker").agg(F.array_join(F.transform(rows, lambda r: r["x"]), ",").alias("history"))
+    return memories(s, d).groupBy("speaker").agg(F.array_join(F.transform(rows, lambda r: r["x"]), ",").alias("history"))
 
 
 @query(sql(", w AS (SELECT speaker, entity, id, content, source_date, lag(content) OVER (PARTITION BY speaker, entity ORDER BY source_date, id) AS before FROM m) SELECT speaker, entity, min(source_date) AS first_change FROM w WHERE before IS NOT NULL AND before <> content GROUP BY speaker, entity", "m"))
@@ -95,10 +95,10 @@ def distinguishing_day(s, d):
     return memories(s, d).withColumn("before", F.lag("content").over(w)).where("before <> content").groupBy(*KEYS).agg(F.min("source_date").alias("first_change"))
 
 
-@query(sql(E + f", w AS (SELECT id, {ASCII_WORDS} AS w FROM e), f AS (SELECT id, len(w) AS dl, len(list_filter(w, lambda x: x = 'the')) AS tf FROM w) SELECT id, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / 100.0)), 6) AS score FROM f WHERE tf > 0", "t"))
+@query(sql(E + f", w AS (SELECT id, {WORD_LIST} AS w FROM e), f AS (SELECT id, len(w) AS dl, len(list_filter(w, lambda x: x = 'the')) AS tf FROM w) SELECT id, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / 100.0)), 6) AS score FROM f WHERE tf > 0", "t"))
 def bm25_fixed_length(s, d):
     """The store function's form: no idf, k1 1.2, an average length of 100; cover density is taken as the term's count."""
-    w = _english(s, d).select("id", text.words(F.col("text")).alias("w"))
+    w = _texts(s, d).select("id", text.words(F.col("text")).alias("w"))
     f = w.select("id", F.size("w").alias("dl"), F.size(F.filter("w", lambda x: x == F.lit("the"))).alias("tf")).where("tf > 0")
     return f.select("id", F.round(F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / 100.0)), 6).alias("score"))
 

@@ -21,13 +21,13 @@ def level_left_join(s, d):
     return hierarchy.level_left_join(levels(s, d), _details(s, d), "note").select("id", "level", "note")
 
 
-@query(sql("SELECT c.parent, c.id AS child FROM l c JOIN l p ON p.id = c.parent WHERE p.level = 'L3'", "l"))
+@query(sql(", k AS MATERIALIZED (SELECT id, level, parent FROM l) SELECT c.parent, c.id AS child FROM (SELECT parent, id FROM k WHERE parent IS NOT NULL) c JOIN (SELECT id FROM k WHERE level = 'L3') p ON p.id = c.parent", "l"))
 def child_join(s, d):
     return hierarchy.children(levels(s, d), "L3")
 
 
-@query(sql("""SELECT a.id AS "L1", b.id AS "L2", c.id AS "L3", e.id AS "L4", f.id AS "L5" FROM l a LEFT JOIN l b ON b.id = a.parent AND b.level = 'L2' LEFT JOIN l c ON c.id = b.parent AND c.level = 'L3'
-LEFT JOIN l e ON e.id = c.parent AND e.level = 'L4' LEFT JOIN l f ON f.id = e.parent AND f.level = 'L5' WHERE a.level = 'L1'""", "l"))
+@query(sql(""", k AS MATERIALIZED (SELECT id, level, parent FROM l), k1 AS (SELECT id, parent FROM k WHERE level = 'L1'), k2 AS (SELECT id, parent FROM k WHERE level = 'L2'), k3 AS (SELECT id, parent FROM k WHERE level = 'L3'), k4 AS (SELECT id, parent FROM k WHERE level = 'L4'), k5 AS (SELECT id FROM k WHERE level = 'L5')
+SELECT a.id AS "L1", b.id AS "L2", c.id AS "L3", e.id AS "L4", f.id AS "L5" FROM k1 a LEFT JOIN k2 b ON b.id = a.parent LEFT JOIN k3 c ON c.id = b.parent LEFT JOIN k4 e ON e.id = c.parent LEFT JOIN k5 f ON f.id = e.parent""", "l"))
 def parent_chain(s, d):
     return hierarchy.parent_chain(levels(s, d))
 
@@ -84,19 +84,20 @@ def backfill_plan(s, d):
     return tasks.withColumn("priority", F.row_number().over(Window.orderBy("start", "level", "fin", "id")))  # a row for each missing period
 
 
-@query(sql("SELECT level, id, period, CAST(row_number() OVER (ORDER BY level, period, id) AS INT) AS place FROM l WHERE level IN ('L3', 'L4', 'L5')", "l"))
+@query(sql("SELECT level, id, period, row_number() OVER (ORDER BY level, period, id) AS place FROM l", "l"))
 def level_time_sort(s, d):
-    l = levels(s, d).where("level IN ('L3', 'L4', 'L5')")  # noqa: E741
-    return l.select("level", "id", "period", F.row_number().over(Window.orderBy("level", "period", "id")).alias("place"))
+    l = levels(s, d)  # noqa: E741
+    key = F.concat_ws("|", "level", F.col("period").cast("string"), "id")
+    return timeline.ranked(l.select(F.struct("level", "id", "period").alias("id"), key.alias("key")), F.col("key").asc(), F.col("key").asc()).select("id.level", "id.id", "id.period", F.col("rank").alias("place"))
 
 
-@query(sql(", e AS (SELECT id AS src, parent AS dst FROM l WHERE parent IS NOT NULL AND level <> 'L1'), r1 AS (SELECT src AS start, dst AS node, 1 AS hops FROM e WHERE src LIKE 's:%'), r2 AS (SELECT DISTINCT start, dst AS node, 2 AS hops FROM r1 JOIN e ON src = node), r3 AS (SELECT DISTINCT start, dst AS node, 3 AS hops FROM r2 JOIN e ON src = node) SELECT start, node, min(hops) AS hops FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) GROUP BY start, node", "l"))
+@query(sql(", e AS MATERIALIZED (SELECT id AS src, parent AS dst, level FROM l WHERE parent IS NOT NULL), r1 AS (SELECT src AS start, dst AS node, 1 AS hops FROM e WHERE level = 'L1'), r2 AS (SELECT DISTINCT start, dst AS node, 2 AS hops FROM r1 JOIN e ON src = node), r3 AS (SELECT DISTINCT start, dst AS node, 3 AS hops FROM r2 JOIN e ON src = node) SELECT start, node, min(hops) AS hops FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) GROUP BY start, node", "l"))
 def hierarchy_reach(s, d):
-    l = levels(s, d).where("level <> 'L1'")  # noqa: E741
-    return hierarchy.reach(l.where("parent IS NOT NULL").select(F.col("id").alias("src"), F.col("parent").alias("dst")), l.where("level = 'L2'").select("id"), 3)
+    l = levels(s, d)  # noqa: E741
+    return hierarchy.reach(l.where("parent IS NOT NULL").select(F.col("id").alias("src"), F.col("parent").alias("dst")), l.where("level = 'L1'").select("id"), 3)
 
 
-@query(sql(", e AS (SELECT id, level, CASE WHEN hash(id) IS NOT NULL AND length(id) % 5 = 0 AND level = 'L2' THEN 'm:' || strftime(period, '%Y-%m') || '-01' ELSE parent END AS parent FROM l) SELECT e.id, e.level, e.parent, p.level AS parent_level FROM e JOIN l p ON p.id = e.parent WHERE CAST(substr(p.level, 2, 1) AS INT) <> CAST(substr(e.level, 2, 1) AS INT) + 1", "l"))
+@query(sql(", k AS MATERIALIZED (SELECT id, level, period, parent FROM l), e AS (SELECT id, level, CASE WHEN length(id) % 5 = 0 AND level = 'L2' THEN 'm:' || strftime(period, '%Y-%m') || '-01' ELSE parent END AS parent FROM k) SELECT e.id, e.level, e.parent, p.level AS parent_level FROM (SELECT * FROM e WHERE parent IS NOT NULL) e JOIN k p ON p.id = e.parent WHERE CAST(substr(p.level, 2, 1) AS INT) <> CAST(substr(e.level, 2, 1) AS INT) + 1", "l"))
 def level_validity(s, d):
     l = levels(s, d)  # noqa: E741
     wrong = (F.length("id") % 5 == 0) & (F.col("level") == "L2")

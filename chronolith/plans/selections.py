@@ -9,7 +9,7 @@ from ..operators import hierarchy, retrieval, selection, timeline
 from ..sources import loaders
 from ..sources.tables import levels, memories, sql, table, turns
 from .registry import query
-from .texts import E, _english, _pairs, _texts, _whole_pairs
+from .texts import E, _pairs, _texts
 from .timelines import KEYS
 
 
@@ -82,14 +82,18 @@ def expanded_hits(s, d):
     return selection.expanded_hits(index.where("id % 100 = 0"), index, 4, 30)
 
 
-@query(sql(E + r"SELECT id, CASE WHEN regexp_matches(lower(text), '\b(when|before|after|during|yesterday|today|last|ago|since|recently)\b') THEN 'temporal' WHEN regexp_matches(lower(text), '\b(what|who|where|which|how many|how much)\b') THEN 'factual' WHEN regexp_matches(lower(text), '\b(why|how|infer|likely|suggest|explain)\b') THEN 'inferential' ELSE 'detailed' END AS category FROM e", "t"))
+def _any(words):
+    return " OR ".join(f"contains(lower(text), '{w}')" for w in words)
+
+
+@query(sql(E + f"SELECT id, CASE WHEN regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]') THEN 'detailed' WHEN {_any(queries.TEMPORAL)} THEN 'temporal' WHEN {_any(queries.FACTUAL)} THEN 'factual' WHEN {_any(queries.INFERENTIAL)} THEN 'inferential' ELSE 'detailed' END AS category FROM e", "t"))
 def query_category(s, d):
-    return _english(s, d).select("id", queries.category(F.col("text")).alias("category"))
+    return _texts(s, d).select("id", queries.category(F.col("text")).alias("category"))
 
 
 @query(sql(E + "SELECT id, CASE WHEN contains(lower(text), 'when') THEN 'temporal_query' WHEN contains(lower(text), 'what') THEN 'factual_query' WHEN contains(lower(text), 'who') THEN 'entity_query' WHEN contains(lower(text), 'where') THEN 'location_query' WHEN contains(lower(text), 'why') OR contains(lower(text), 'how') THEN 'causal_query' ELSE 'general_query' END AS intent FROM e", "t"))
 def query_intent(s, d):
-    return _english(s, d).select("id", queries.intent(F.col("text")).alias("intent"))
+    return _texts(s, d).select("id", queries.intent(F.col("text")).alias("intent"))
 
 
 @query(sql("SELECT id, round(greatest(0, least(1, CAST(id % 11 AS DOUBLE) / 10 * CASE entity WHEN 'click' THEN 0.9 ELSE 0.6 END * 1.0 * least(1.2, 1.0 + (id % 3) * 0.1))), 6) AS fused FROM m", "m"))
@@ -147,16 +151,16 @@ def mention_days(s, d):
     return memories(s, d).groupBy(*KEYS).agg(F.min("source_date").alias("first_mention"), days.alias("mention_days"))
 
 
-@query(sql(E + ", p AS (SELECT x.id, x.text AS a, y.text AS b FROM e x JOIN e y ON y.id = x.id + 100) SELECT id, round(CASE WHEN c = 0 THEN 0 ELSE 2.0 * c / (lx + ly) END, 6) AS f1 FROM (SELECT id, len(x) AS lx, len(y) AS ly, len(list_intersect(x, y)) AS c FROM (SELECT id, list_distinct(list_filter(string_split(lower(substr(a, 1, 60)), ' '), lambda v: v <> '')) AS x, list_distinct(list_filter(string_split(lower(substr(b, 1, 60)), ' '), lambda v: v <> '')) AS y FROM p))", "t"))
+@query(sql(E + ", p AS (SELECT x.id, x.text AS a, y.text AS b FROM e x JOIN e y ON y.id = x.id + 100) SELECT id, round(CASE WHEN c = 0 THEN 0 ELSE 2.0 * c / (lx + ly) END, 6) AS f1 FROM (SELECT id, len(x) AS lx, len(y) AS ly, len(list_intersect(x, y)) AS c FROM (SELECT id, list_distinct(list_filter(string_split(lower(a), ' '), lambda v: v <> '')) AS x, list_distinct(list_filter(string_split(lower(b), ' '), lambda v: v <> '')) AS y FROM p))", "t"))
 def set_f1(s, d):
     return _pairs(s, d).select("id", F.round(text.set_f1(F.lower("a"), F.lower("b")), 6).alias("f1"))
 
 
-@query(sql(", x AS (SELECT DISTINCT c.id FROM l c WHERE c.level = 'L2' AND period >= DATE '1996-01-01' AND EXISTS (SELECT 1 FROM l p WHERE p.id = c.parent AND p.level = 'L3')) SELECT id FROM x", "l"))
+@query(sql(", x AS (SELECT DISTINCT c.id FROM l c WHERE c.level = 'L2' AND EXISTS (SELECT 1 FROM l p WHERE p.id = c.parent AND p.level = 'L3')) SELECT id FROM x", "l"))
 def sessions_in_built_days(s, d):
     l = levels(s, d)  # noqa: E741
     built = hierarchy.of_level(l, "L3").select(F.col("id").alias("parent"))
-    return hierarchy.of_level(l, "L2").where("period >= DATE '1996-01-01'").join(built, "parent", "left_semi").select("id").distinct()
+    return hierarchy.of_level(l, "L2").join(built, "parent", "left_semi").select("id").distinct()
 
 
 @query(sql("SELECT session, min(date) AS date, max(turn) AS last_turn, count(*) FILTER (WHERE turn > 2) AS fresh FROM t GROUP BY session", "t"))
@@ -167,13 +171,13 @@ def session_last_turn(s, d):
 @query()
 def sequence_similarity(s, d):
     """Ratcliff/Obershelp similarity of neighbouring turns; Python's definition, so no SQL."""
-    return _whole_pairs(s, d).select("id", F.round(text.sequence_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    return _pairs(s, d).select("id", F.round(text.sequence_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
 @query()
 def stemmed_f1(s, d):
     """Token F1 on Porter stems."""
-    p = _whole_pairs(s, d).select("id", *[text.stems(F.filter(F.split(text.normalize_answer(F.col(c)), " "), lambda t: t != "")).alias(c) for c in "ab"])
+    p = _pairs(s, d).select("id", *[text.stems(F.filter(F.split(text.normalize_answer(F.col(c)), " "), lambda t: t != "")).alias(c) for c in "ab"])
     common = text.multiset_common(F.col("a"), F.col("b"))
     return p.select("id", F.when(common == 0, 0.0).otherwise(2 * common / (F.size("a") + F.size("b"))).alias("f1"))
 

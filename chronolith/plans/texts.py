@@ -10,9 +10,10 @@ from ..operators import retrieval, timeline
 from ..sources.tables import memories, sql, table, turns
 from .registry import query
 
-STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
+STOP, KEY_STOP = ("[" + ", ".join(f"'{w}'" for w in x) + "]" for x in (text.STOPWORDS, text.KEY_STOPWORDS))
 WORDS = r"regexp_extract_all(lower(text), '\b\w+\b')"
-ASCII_WORDS = r"regexp_extract_all(lower(text), '[a-z0-9_]+')"
+LETTERS = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
+WORD_LIST = f"regexp_extract_all(lower(text), '{LETTERS}')"
 
 
 def _docs(s, d):
@@ -24,45 +25,43 @@ def _texts(s, d):
     return turns(s, d).select((F.col("session") * 100 + F.col("turn")).alias("id"), "text")
 
 
-def _english(s, d):
-    """Turns, whose texts are plain ASCII words to every engine's regular expressions."""
-    return turns(s, d).select((F.col("session") * 100 + F.col("turn")).alias("id"), F.regexp_replace("text", "[^\\x00-\\x7F]", "").alias("text"))
-
-
-E = r", e AS (SELECT session * 100 + turn AS id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS text FROM t)" + "\n"
-N = r"trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({0}, ',', '', 'g'), '\b(a|an|the|and)\b', ' ', 'gi'), '[!-/:-@\[-`{{-~]', '', 'g')), '\s+', ' ', 'g'))"
+E = ", e AS (SELECT session * 100 + turn AS id, text FROM t)\n"
+# DuckDB's classes are of ASCII alone, so that letters and word ends are spelled out.
+EDGE = r"[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]"
+ARTICLES = rf"(^|{EDGE})(a|an|the|and)({EDGE}|$)"
+N = rf"trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({{0}}, ',', '', 'g'), '{ARTICLES}', '\1 \3', 'gi'), '{ARTICLES}', '\1 \3', 'gi'), '[!-/:-@\[-`{{{{-~]', '', 'g')), '[\s\x0B\x{{{{85}}}}\p{{{{Z}}}}]+', ' ', 'g'))"
 
 
 @query(sql(E + f"SELECT id, {N.format('text')} AS answer FROM e", "t"))
 def normalize_answer(s, d):
-    return _english(s, d).select("id", text.normalize_answer(F.col("text")).alias("answer"))
+    return _texts(s, d).select("id", text.normalize_answer(F.col("text")).alias("answer"))
 
 
-@query(sql(E + f"SELECT id, array_to_string(list_filter({ASCII_WORDS}, lambda x: length(x) > 2 AND NOT list_contains({STOP}, x)), ' ') AS tokens FROM e", "t"))
+@query(sql(E + f"SELECT id, array_to_string(list_filter({WORD_LIST}, lambda x: length(x) > 2 AND NOT list_contains({STOP}, x)), ' ') AS tokens FROM e", "t"))
 def tokenize(s, d):
-    return _english(s, d).select("id", F.array_join(text.tokens(F.col("text")), " ").alias("tokens"))
+    return _texts(s, d).select("id", F.array_join(text.tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query(sql(E + f""", w AS (SELECT id, unnest({ASCII_WORDS}) AS w, generate_subscripts({ASCII_WORDS}, 1) AS i FROM e), f AS (SELECT id, w, min(i) AS i FROM w WHERE length(w) > 2 AND NOT list_contains({STOP}, w) GROUP BY id, w)
+@query(sql(E + f""", w AS (SELECT id, unnest({WORD_LIST}) AS w, generate_subscripts({WORD_LIST}, 1) AS i FROM e), f AS (SELECT id, w, min(i) AS i FROM w WHERE length(w) > 2 AND NOT list_contains({KEY_STOP}, w) GROUP BY id, w)
 , r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM f) SELECT id, string_agg(w, ' ' ORDER BY i) AS terms FROM r WHERE n <= 15 GROUP BY id""", "t"))
 def key_terms(s, d):
-    terms = _english(s, d).select("id", F.array_join(text.key_terms(F.col("text")), " ").alias("terms"))
+    terms = _texts(s, d).select("id", F.array_join(text.key_terms(F.col("text")), " ").alias("terms"))
     return terms.where("terms <> ''")
 
 
-@query(sql(E + f""", w AS (SELECT unnest({ASCII_WORDS}) AS w FROM e) SELECT w AS word, count(*) AS n FROM w WHERE length(w) > 2 AND NOT list_contains({STOP}, w) GROUP BY w ORDER BY n DESC, w LIMIT 20""", "t"))
+@query(sql(E + f""", w AS (SELECT unnest({WORD_LIST}) AS w FROM e) SELECT w AS word, count(*) AS n FROM w WHERE length(w) > 2 AND NOT list_contains({STOP}, w) GROUP BY w ORDER BY n DESC, w LIMIT 20""", "t"))
 def top_keywords(s, d):
-    words = _english(s, d).select(F.explode(text.tokens(F.col("text"))).alias("word"))
+    words = _texts(s, d).select(F.explode(text.tokens(F.col("text"))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(20)
 
 
 @query(sql(E + r""", s AS (SELECT id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?;]'), lambda x: trim(x)), lambda x: x <> '')) AS sentence, generate_subscripts(list_filter(list_transform(regexp_split_to_array(text, '[.!?;]'), lambda x: trim(x)), lambda x: x <> ''), 1) AS pos FROM e)
-, w AS (SELECT id, pos, unnest(list_filter(regexp_extract_all(lower(sentence), '[a-z0-9_]+'), lambda x: length(x) > 2 AND NOT list_contains(""" + STOP + r""", x))) AS w FROM s)
+, w AS (SELECT id, pos, unnest(list_filter(regexp_extract_all(lower(sentence), '""" + LETTERS + r"""'), lambda x: length(x) > 2 AND NOT list_contains(""" + STOP + r""", x))) AS w FROM s)
 , f AS (SELECT id, w, count(*) AS c FROM w GROUP BY id, w), v AS (SELECT id, pos, avg(c) AS score FROM w JOIN f USING (id, w) GROUP BY id, pos)
 , r AS (SELECT s.id, pos, sentence, row_number() OVER (PARTITION BY s.id ORDER BY round(coalesce(score, 0), 6) DESC, pos) AS n FROM s LEFT JOIN v USING (id, pos))
 SELECT id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM r WHERE n <= 3 GROUP BY id""", "t"))
 def extractive_summary(s, d):
-    sentences = _english(s, d).select("id", F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "sentence"))
+    sentences = _texts(s, d).select("id", F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "sentence"))
     words = sentences.select("id", "pos", F.explode(text.tokens(F.col("sentence"))).alias("w"))
     freq = words.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("id", "w"))).groupBy("id", "pos").agg(F.avg("c").alias("score"))
     ranked = sentences.join(freq, ["id", "pos"], "left").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round(F.coalesce("score", F.lit(0.0)), 6)), "pos")))
@@ -88,7 +87,7 @@ def content_hash(s, d):
 @query(sql(E + r""", k AS (SELECT id, lower(text) AS c, (length(text) - length(replace(lower(text), 'the', ''))) / 3.0 AS n, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS size FROM e)
 SELECT id, round(CASE WHEN n = 0 THEN 0.1 ELSE least(1.0, greatest(0.1, least(1.0, n / size * 20) * 0.6 + (1.0 - (instr(c, 'the') - 1) / length(c) * 0.3) * 0.3 + CASE WHEN contains(' ' || c || ' ', ' the ') THEN 0.2 ELSE 0 END)) END, 6) AS relevance FROM k""", "t"))
 def keyword_relevance(s, d):
-    return _english(s, d).select("id", F.round(text.keyword_relevance(F.col("text"), "the"), 6).alias("relevance"))
+    return _texts(s, d).select("id", F.round(text.keyword_relevance(F.col("text"), "the"), 6).alias("relevance"))
 
 
 @query(sql(""", c AS (SELECT session, turn // 5 AS chunk, min(date) AS date, string_agg(speaker || ': ' || text, chr(10) ORDER BY turn) AS lines, array_to_string(list_sort(list(DISTINCT lower(speaker))), ',') AS speakers FROM t GROUP BY 1, 2)
@@ -99,16 +98,8 @@ def chunk_turns(s, d):
     return g.select("session", "chunk", F.concat(F.lit("Date: "), F.col("date").cast("string"), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("content"), "speakers")
 
 
-PAIRS = ", p AS (SELECT id, substr(text, 1, 60) AS a, lead(substr(text, 1, 60)) OVER (ORDER BY id) AS b FROM e)\n"
-
-
 def _pairs(s, d):
-    """Each turn's start with the next session's at the same turn."""
-    return _neighbours(_english(s, d).withColumn("text", F.substring("text", 1, 60)))
-
-
-def _whole_pairs(s, d):
-    """Each whole turn with the next session's at the same turn."""
+    """Each turn with the next session's at the same turn."""
     return _neighbours(_texts(s, d))
 
 
@@ -117,7 +108,7 @@ def _neighbours(e):
     return e.join(e.select((F.col("id") - 100).alias("id"), F.col("a").alias("b")), "id")
 
 
-PAIRS = ", p AS (SELECT x.id, substr(x.text, 1, 60) AS a, substr(y.text, 1, 60) AS b FROM e x JOIN e y ON y.id = x.id + 100)\n"
+PAIRS = ", p AS (SELECT x.id, x.text AS a, y.text AS b FROM e x JOIN e y ON y.id = x.id + 100)\n"
 SETS = r", s AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(a), '\s+'), lambda x: x <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(lower(b), '\s+'), lambda x: x <> '')) AS y FROM p), n AS (SELECT id, len(x) AS lx, len(y) AS ly, len(list_intersect(x, y)) AS c FROM s)" + "\n"
 
 
@@ -141,9 +132,9 @@ def score_answer(s, d):
     return _pairs(s, d).select("id", F.round(text.score_answer(F.col("a"), F.col("b"), category), 6).alias("score"))
 
 
-@query(sql(E + r"SELECT id, regexp_matches(lower(text), '\bthe\b') OR regexp_matches(lower(text), '\band\b') AS strict FROM e", "t"))
+@query(sql(E + f"SELECT id, list_contains({WORD_LIST}, 'the') OR list_contains({WORD_LIST}, 'and') AS strict FROM e", "t"))
 def strict_check(s, d):
-    return _english(s, d).select("id", text.strict_check(F.col("text"), F.array(F.lit("The"), F.lit("and")), F.lit("exact")).alias("strict"))
+    return _texts(s, d).select("id", text.strict_check(F.col("text"), F.array(F.lit("The"), F.lit("and")), F.lit("exact")).alias("strict"))
 
 
 @query(sql(", x AS (SELECT id, 'on ' || strftime(source_date, '%Y-%m-%d') || ' and ' || strftime(source_date + 1, '%b %-d, %Y') || ' or ' || strftime(source_date + 2, '%-d %B %Y') AS text, source_date AS a FROM m) SELECT id, CAST(a AS VARCHAR) || ',' || CAST(CAST(a + 1 AS DATE) AS VARCHAR) || ',' || CAST(CAST(a + 2 AS DATE) AS VARCHAR) AS dates FROM x", "m"))
@@ -161,16 +152,16 @@ def exact_match(s, d):
 QUERY = ["the", "that", "the"]
 
 
-@query(sql(E + f""", w AS (SELECT id, {ASCII_WORDS} AS w FROM e), f AS (SELECT id, len(w) AS dl, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'that')) AS b FROM w)
+@query(sql(E + f""", w AS (SELECT id, {WORD_LIST} AS w FROM e), f AS (SELECT id, len(w) AS dl, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'that')) AS b FROM w)
 , g AS (SELECT count(*) AS n, avg(dl) AS avgdl, sum(CASE WHEN a > 0 THEN 1 END) AS da, sum(CASE WHEN b > 0 THEN 1 END) AS db FROM f)
 SELECT id, round(CASE WHEN a > 0 THEN 2 * ln(n / da) * a * 2.5 / (a + 1.5 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END + CASE WHEN b > 0 THEN ln(n / db) * b * 2.5 / (b + 1.5 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END, 6) AS score FROM f, g WHERE a > 0 OR b > 0""", "t"))
 def bm25(s, d):
-    return retrieval.bm25(_english(s, d), QUERY).select("id", F.round("score", 6).alias("score"))
+    return retrieval.bm25(_texts(s, d), QUERY).select("id", F.round("score", 6).alias("score"))
 
 
-@query(sql(E + f"SELECT id FROM e WHERE list_contains({ASCII_WORDS}, 'the') AND list_contains({ASCII_WORDS}, 'that')", "t"))
+@query(sql(E + f"SELECT id FROM e WHERE list_contains({WORD_LIST}, 'the') AND list_contains({WORD_LIST}, 'that')", "t"))
 def fts_and(s, d):
-    return retrieval.fts_and(_english(s, d), ["the", "That"]).select("id")
+    return retrieval.fts_and(_texts(s, d), ["the", "That"]).select("id")
 
 
 @query("SELECT doc_id AS id, 1.0 + CASE WHEN contains(lower(source), 'src1') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(text), 'src1') THEN 0.3 ELSE 0 END AS score FROM documents WHERE contains(lower(source), 'src1') OR contains(lower(text), 'src1') ORDER BY score DESC, id LIMIT 20")
@@ -180,7 +171,7 @@ def like_search(s, d):
 
 @query(sql(E + ", f AS (SELECT id, text FROM e WHERE contains(lower(text), 'the')) SELECT id, (SELECT CAST(ceil(count(*) / 10) AS BIGINT) FROM f) AS pages FROM f ORDER BY id LIMIT 10 OFFSET 20", "t"))
 def recall_page(s, d):
-    return retrieval.recall_page(_english(s, d), "The", 2, 10, "id").select("id", "pages")
+    return retrieval.recall_page(_texts(s, d), "The", 2, 10, "id").select("id", "pages")
 
 
 COS = "list_sum(list_transform(list_zip(embedding, q), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(q, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))))"
@@ -201,7 +192,7 @@ def knn_cosine(s, d):
     return vectors.knn(table(s, d, "embeddings"), _vector(s, d), 10, vectors.cosine, "desc").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, round({COS}, 6) AS score FROM embeddings JOIN (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0) ON vec_id <> query_id)) WHERE rank <= 5")
+@query(f"SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(score, 6) AS score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, {COS} AS score FROM embeddings JOIN (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0) ON vec_id <> query_id)) WHERE rank <= 5")
 def knn_batch(s, d):
     items = table(s, d, "embeddings")
     return vectors.knn_batch(items, items.where("vec_id % 100 = 0"), 5)
@@ -226,9 +217,9 @@ def union_sources(s, d):
     return retrieval.union_sources({"keyword": k, "vector": v})
 
 
-@query(sql(HITS + ", r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM k UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM v) SELECT id, round(sum(1 / (60 + rank)), 9) AS score FROM r WHERE rank <= 100 GROUP BY id", "m"))
+@query(sql(HITS + ", r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM k UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM v) SELECT id, round(sum(1 / (60 + rank)), 9) AS score FROM r GROUP BY id", "m"))
 def reciprocal_rank_fusion(s, d):
-    ranked = [x.orderBy(F.desc("score"), "id").limit(100).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("id", "rank") for x in _hits(s, d)]  # 100 rows each
+    ranked = [timeline.ranked(x, F.desc("score"), F.col("id")) for x in _hits(s, d)]
     return retrieval.reciprocal_ranks(ranked).withColumn("score", F.round("score", 9))
 
 
@@ -258,20 +249,20 @@ def curate_quota(s, d):
     return retrieval.apportioned(weights, 25)
 
 
-CAND = ", c AS (SELECT DISTINCT entity, content FROM m WHERE id % 2 = 0), i AS (SELECT id, entity, content || ' of ' || entity AS content FROM m WHERE id % 50 = 1)\n"
+CAND = ", c AS (SELECT DISTINCT entity, content FROM m), i AS (SELECT id, entity, content || ' of ' || entity AS content FROM m)\n"
 
 
 @query(sql(CAND + ", x AS (SELECT id, i.entity, i.content, c.content AS canon, greatest(1.0 / (length(i.content) - length(replace(i.content, ' ', '')) + 1), 0.85) AS score FROM i JOIN c ON c.entity = i.entity AND starts_with(i.content, c.content || ' ')) SELECT id, entity, canon FROM x WHERE score >= 0.75", "m"))
 def consolidate(s, d):
     m = memories(s, d)
-    canon = m.where("id % 2 = 0").select("entity", F.col("content").alias("canon")).distinct()
-    items = m.where("id % 50 = 1").select("id", "entity", F.concat("content", F.lit(" of "), "entity").alias("content"))
+    canon = m.select("entity", F.col("content").alias("canon")).distinct()
+    items = m.select("id", "entity", F.concat("content", F.lit(" of "), "entity").alias("content"))
     scored = items.join(canon, "entity").withColumn("score", text.token_jaccard(F.col("content"), F.col("canon"))).where("score >= 0.75")
     return timeline.top_k_per(scored, ["id"], 1, F.desc("score"), "canon").select("id", "entity", "canon")
 
 
 @query(sql(E + ", x AS (SELECT id, text FROM e), y AS (SELECT id + 100 AS id, substr(text, 1, 12) AS want FROM e WHERE length(text) >= 12) SELECT id, contains(text, want) AS found FROM y JOIN x USING (id)", "t"))
 def verify_extraction(s, d):
-    e = _english(s, d)
+    e = _texts(s, d)
     want = e.where(F.length("text") >= 12).select((F.col("id") + 100).alias("id"), F.substring("text", 1, 12).alias("want"))
     return want.join(e, "id").select("id", F.col("text").contains(F.col("want")).alias("found"))

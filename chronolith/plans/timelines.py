@@ -80,10 +80,10 @@ def _phases(s, d):
     return p.select(*KEYS, "content", "start", F.coalesce(F.date_add("start", F.col("days").cast("int") - 1), F.lit("2024-01-31").cast("date")).alias("stop"))
 
 
-@query(sql(PHASES + ", dd AS (SELECT DISTINCT source_date AS day FROM m) SELECT day, speaker, content FROM dd JOIN ph ON day BETWEEN start AND stop WHERE entity = 'click' AND start <= stop", "m"))
+@query(sql(PHASES + ", dd AS (SELECT DISTINCT source_date AS day FROM m) SELECT day, speaker, entity, content FROM dd JOIN ph ON day BETWEEN start AND stop WHERE start <= stop", "m"))
 def regime_on_day(s, d):
     days = memories(s, d).select(F.col("source_date").alias("day")).distinct()
-    return timeline.interval_join(days, _phases(s, d).where("entity = 'click' AND start <= stop"), "day", "start", "stop", 4).select("day", "speaker", "content")
+    return timeline.interval_join(days, _phases(s, d).where("start <= stop"), "day", "start", "stop", 4).select("day", *KEYS, "content")
 
 
 @query(sql(""", p AS (SELECT id, speaker, source_date FROM m WHERE entity = 'purchase'), c AS (SELECT id AS cid, speaker, source_date AS cdate, content FROM m WHERE entity = 'click')
@@ -138,12 +138,12 @@ def spacing_violations(s, d):
     return timeline.spacing_violations(memories(s, d).where("entity = 'signup'"), KEYS, 3).select(*KEYS, "id", "source_date", "gap")
 
 
-@query(sql(PHASES + """, g AS (SELECT speaker, entity, CAST(unnest(generate_series(start, stop, INTERVAL 1 DAY)) AS DATE) AS day FROM ph WHERE entity = 'error' AND start <= stop)
+@query(sql(PHASES + """, g AS (SELECT speaker, entity, CAST(unnest(generate_series(start, stop, INTERVAL 1 DAY)) AS DATE) AS day FROM ph WHERE start <= stop)
 , c AS (SELECT speaker, entity, day, count(*) AS n FROM g GROUP BY ALL)
-, sp AS (SELECT DISTINCT speaker, entity, CAST(day AS DATE) AS day FROM ph, generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) AS t(day) WHERE entity = 'error' AND start <= stop)
+, sp AS (SELECT DISTINCT speaker, entity, CAST(day AS DATE) AS day FROM ph, generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) AS t(day) WHERE start <= stop)
 SELECT sp.speaker, sp.entity, sp.day, coalesce(n, 0) AS n FROM sp LEFT JOIN c USING (speaker, entity, day) WHERE coalesce(n, 0) <> 1""", "m"))
 def coverage_check(s, d):
-    p = _phases(s, d).where("entity = 'error' AND start <= stop").withColumnRenamed("stop", "end")
+    p = _phases(s, d).where("start <= stop").withColumnRenamed("stop", "end")
     return timeline.coverage_violations(p, KEYS, "2024-01-01", "2024-01-31")
 
 

@@ -97,14 +97,20 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, schema: str, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(good rows, lines that are torn or repeat a key) of a JSON-lines log."""
-    lines = spark.read.text(path).withColumn("row", F.from_json("value", schema))
-    torn = F.col(f"row.{key}").isNull()
-    good = lines.where(~torn).select("row.*", "value")
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    counted = good.withColumn("_n", n)
-    bad = lines.where(torn).select("value", F.lit("torn").alias("why")).unionByName(counted.where("_n > 1").select("value", F.lit("repeated").alias("why")))
-    return counted.where("_n = 1").drop("_n", "value"), bad
+    """(good rows, lines that are torn, malformed or repeat a key) of a JSON-lines log.
+
+    Only a file's last line can be torn, by a writer that was stopped; a malformed line before it is an error of the log.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    lines = lines.withColumn("row", F.from_json("value", schema))
+    place = F.struct("_block", "_at")
+    last = lines.groupBy("_file").agg(F.max(place).alias("_last"))
+    bad = lines.where(F.col(f"row.{key}").isNull()).join(F.broadcast(last), "_file")  # last: a row for each file
+    why = F.when(place == F.col("_last"), "torn").otherwise("malformed")
+    good = lines.where(F.col(f"row.{key}").isNotNull()).select("row.*", "value")
+    counted = good.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    rejected = bad.select("value", why.alias("why")).unionByName(counted.where("_n > 1").select("value", F.lit("repeated").alias("why")))
+    return counted.where("_n = 1").drop("_n", "value"), rejected
 
 
 def write_rows(rows: DataFrame, path: str, kind: str = "json", mode: str = "error") -> None:
@@ -136,3 +142,10 @@ def memory_bank(raw: DataFrame) -> DataFrame:
 
 def read_activity_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True)
+
+
+def add_states(batch: DataFrame, store: DataFrame, key: str, payload: str) -> DataFrame:
+    """Whether each key of a batch is new, known, or in conflict with the payload that the store holds."""
+    held = store.select(key, F.sha2(payload, 256).alias("_h")).distinct()
+    state = F.when(F.col("_h").isNull(), "new").when(F.col("_h") == F.sha2(payload, 256), "known").otherwise("conflict")
+    return batch.join(held, key, "left").select(key, state.alias("state"))

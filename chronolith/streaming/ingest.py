@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -37,10 +38,28 @@ def conflicts(batch: DataFrame, store: DataFrame, key: str, payload: str) -> Dat
     return batch.join(held, F.col(key) == F.col("_k")).where(F.sha2(F.col(payload), 256) != F.col("_h")).select(key).distinct()
 
 
-def ingest_batches(stream: DataFrame, path: str, checkpoint: str, key: str):
-    """Appends each micro-batch's new keys to a parquet folder, once: a batch that runs again finds its own part replaced."""
+class ConflictError(ValueError):
+    """A key came again with another payload."""
+
+
+def ingest_batches(stream: DataFrame, path: str, checkpoint: str, key: str, payload: str | None = None):
+    """Appends each micro-batch's new keys to a parquet folder, once.
+
+    Keys of earlier batches are left out, and with ``payload`` a key that comes with another one stops the
+    stream (``ConflictError``).  A batch that runs again doesn't see its own rows, and replaces them.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if payload and (odd := batch.groupBy(key).agg(F.min(payload).alias("a"), F.max(payload).alias("z")).where("a <> z").limit(3).collect()):
+            raise ConflictError(f"several payloads under {key} {[r[0] for r in odd]}")
+        files = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+            schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+            earlier = spark.read.schema(schema).parquet(path).where(F.col("batch") < number)
+            if payload and (odd := conflicts(batch, earlier, key, payload).limit(3).collect()):
+                raise ConflictError(f"other payloads under {key} {[r[0] for r in odd]}")
+            batch = batch.join(earlier.select(key), key, "left_anti").select(*batch.columns)
         batch.dropDuplicates([key]).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

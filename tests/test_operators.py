@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chronolith.api import MemoryStore
 from chronolith.functions import dates, queries, text
-from chronolith.operators import hierarchy, metrics, retrieval, selection, timeline
+from chronolith.operators import hierarchy, metrics, questions, retrieval, selection, timeline
 from chronolith.sources import loaders
 
 D = dt.date
@@ -219,3 +219,46 @@ def test_dirty_weeks_only(spark, seq):
     late = seq.unionByName(memories(seq.sparkSession, [(50, "A", "drink", "ann", "2024-01-09")]))
     assert [str(r.period) for r in metrics.dirty_periods(metrics.source_hash(late, *args), old).collect()] == ["2024-01-08"]
     assert metrics.dirty_periods(metrics.source_hash(seq.repartition(3), *args), old).count() == 0
+
+
+def test_malformed_lines_before_the_last(spark, tmp_path):
+    log = tmp_path / "log.jsonl"
+    log.write_text('{"id":"a","v":1}\n{"id":"b",\n{"id":"c","v":2}\n{"id":')
+    good, bad = loaders.read_log(spark, str(log), "id string, v long")
+    assert sorted(r.id for r in good.collect()) == ["a", "c"] and sorted(r.why for r in bad.collect()) == ["malformed", "torn"]
+
+
+def test_diverse_pick_is_the_greedy_one(spark):
+    rows = [("p", i, "xyz"[i % 3], f"d{i % 2}") for i in range(9)] + [("q", 1, "x", "d0")]
+    got = questions.diverse_pick(spark.createDataFrame(rows, "pool string, id long, answer string, domain string"), "pool", 5, ["answer", "domain"]).collect()
+    assert [r.id for r in sorted((r for r in got if r.pool == "p"), key=lambda r: r.pick)] == [0, 1, 2, 3, 4]
+    same = spark.createDataFrame([("p", i, "x", "d0" if i < 4 else "d1") for i in range(6)], "pool string, id long, answer string, domain string")
+    assert [r.id for r in questions.diverse_pick(same, "pool", 4, ["answer", "domain"]).orderBy("pick").collect()] == [0, 4, 1, 5]
+
+
+def test_loaders_and_writers(spark, tmp_path):
+    """Every loader's rows on a small file or table of its own."""
+    zipped = spark.createDataFrame([("q", ["s1", "s2"], ["2023/05/02", "2023/05/01"], [["a"], ["b"]])], "question_id string, haystack_session_ids array<string>, haystack_dates array<string>, haystack_sessions array<array<string>>")
+    assert [(r.session_id, r.turns) for r in loaders.zipped_sessions(zipped).collect()] == [("s2", ["b"]), ("s1", ["a"])]
+    asked = spark.createDataFrame([(1, D(2024, 1, 2)), (1, D(2024, 1, 3)), (2, D(2025, 1, 1)), (3, None)], "id long, asked_on date")
+    found = loaders.violations(asked, F.lit(D(2024, 1, 1)), F.lit(D(2024, 12, 31))).collect()
+    assert sorted((r.id, r.rule) for r in found) == [(1, "repeated id"), (2, "date out of range"), (3, "date out of range")]
+    rows = spark.createDataFrame([("b", "y", "L4:2024-W02"), ("a", "x", "L3:2024-01-02")], "category string, title string, identifier string")
+    loaders.write_rows(rows, str(tmp_path / "csv"), "csv")
+    loaders.write_rows(rows, str(tmp_path / "json"))
+    assert {tuple(r) for r in loaders.read_activity_csv(spark, str(tmp_path / "csv")).collect()} == {tuple(r) for r in rows.collect()}
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    assert [(r.identifier, r.level) for r in loaders.summary_dump(rows).collect()] == [("L3:2024-01-02", "L3"), ("L4:2024-W02", "L4")]
+    items = spark.createDataFrame([("c", 2, "y"), ("c", 1, "x"), ("d", 3, "z")], "category string, item_id long, title string")
+    assert {r["category"]: [i.item_id for i in r["items"]] for r in loaders.grouped_items(items).collect()} == {"c": [1, 2], "d": [3]}
+    stores = spark.createDataFrame([("legacy/a", 9), ("b", 1), ("c", 2)], "path string, modified long")
+    assert [r.path for r in loaders.stores_by_age(stores).collect()] == ["c", "b", "legacy/a"]
+    bank = spark.createDataFrame([("u", {"2024-01-01": [("q1", "r1"), ("q2", "r2")]})], "user string, history map<string, array<struct<query:string,response:string>>>")
+    assert [(r.date, r.position, r["query"]) for r in loaders.memory_bank(bank).orderBy("position").collect()] == [("2024-01-01", 0, "q1"), ("2024-01-01", 1, "q2")]
+
+
+def test_ranks_without_a_single_task(spark):
+    rows = spark.createDataFrame([(i, (i * 7919) % 50) for i in range(300)], "id long, score long")
+    got = {r.id: r["rank"] for r in timeline.ranked(rows, F.desc("score"), F.col("id").asc()).collect()}
+    order = sorted(range(300), key=lambda i: (-((i * 7919) % 50), i))
+    assert got == {i: n for n, i in enumerate(order, 1)}

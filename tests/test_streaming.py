@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronolith.streaming import ingest
@@ -46,6 +47,23 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert [r.id for r in ingest.conflicts(batch, store, "id", "payload").collect()] == [1]
 
 
+def test_keys_of_earlier_batches(spark, tmp_path):
+    """A key that comes again in a later batch adds nothing, and one with another payload stops the stream."""
+    path, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+
+    def run(rows):
+        _write(spark, path, rows)
+        q = ingest.ingest_batches(spark.readStream.schema(SCHEMA).parquet(path), out, check, "id", "user").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    run([(1, "a", 1, 1.0), (2, "a", 2, 1.0)])
+    run([(1, "a", 9, 1.0), (3, "b", 3, 1.0)])
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    with pytest.raises(Exception, match="other payloads under id"):
+        run([(2, "other", 2, 1.0), (4, "c", 4, 1.0)])
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
 def test_reinforcement(spark, tmp_path):
     path = str(tmp_path / "in")
     spark.createDataFrame([(7, dt.date(2024, 1, 1)), (7, dt.date(2024, 1, 3)), (8, dt.date(2024, 1, 2))], "memory_id long, recalled date").write.parquet(path)
