@@ -26,18 +26,22 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each text outside of 100-byte strings that start earlier; a null text is empty."""
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each text outside of 50-word windows that start in an earlier document; a null text has none."""
     return substring_dedup.repeated_words(table(spark, sf_dir, "documents"))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest others of each vector whose id divides by 50; unusable vectors take no part."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each text, learned from two thirds of the ids; ``und`` without any letter."""
     held, learn = _fold(3, 1)
     docs = table(spark, sf_dir, "documents")
     out = language.identify_language(docs, language.fit_language(docs, train_rows=learn))
@@ -45,6 +49,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each text, learned from four fifths of the labelled ids; empty texts are scored, too."""
     held, learn = _fold(5, 0)
     docs = table(spark, sf_dir, "documents")
     out = quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels"), train_rows=learn))
@@ -52,15 +57,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document in windows of the benchmark, and whether they are a twentieth or more; null has none."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of each document; texts without words have fingerprint zero and are one group."""
     groups = simhash.fingerprint_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of each text, learned from three quarters of the labelled ids; empty texts are scored, too."""
     held, learn = _fold(4, 2)
     docs = table(spark, sf_dir, "documents")
     out = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), train_rows=learn))
@@ -68,6 +76,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each licence that a document holds, with its share and place; texts without words hold none."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 

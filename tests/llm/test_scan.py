@@ -1,3 +1,4 @@
+import random
 import hashlib
 import re
 
@@ -84,3 +85,28 @@ def test_license_bands_collide(spark):
         window = np.concatenate((own[:6], r.integers(0, 2**63, 10).astype(np.uint64)))
         missed += not any(licenses._values(own, b).min() == licenses._values(window, b).min() for b in range(licenses.BANDS))
     assert missed <= 1
+
+
+def _contained(text, template):
+    """The greatest share of a template's shingles in any run of words as long as two blocks, by sets of words."""
+    words = lambda t: [w.lower() for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t)]
+    runs = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
+    held, want = runs(words(text)), set(runs(words(template)))
+    block = 1
+    while block < len(want):
+        block *= 2
+    return max((len(set(held[i : i + 2 * block]) & want) / len(want) for i in range(0, max(1, len(held)), block)), default=0.0)
+
+
+def test_licenses_are_those_of_plain_sets(spark):
+    """Whole bodies among other words, cut, changed, repeated and mixed, against sets of shingles."""
+    r = random.Random(9)
+    say = lambda n: " ".join(f"word{r.randrange(500)}" for _ in range(n))
+    texts = [say(300), None, "", "short"]
+    for name in ("MIT-text", "BSD-2-Clause-text", "ISC-text", "Apache-2.0-notice", "GPL-3.0-notice", "MIT"):
+        body = licenses.NOTICES[name]
+        words = body.split()
+        texts += [f"{say(r.randrange(400))} {body} {say(90)}", body.upper(), f"{say(40)} {' '.join(words[: len(words) * 9 // 10])}", " ".join(words[: len(words) // 2]), " ".join(w for i, w in enumerate(words) if i % 40), f"{body} {say(700)} {body}"]
+    got = {(x.doc_id, x.license): x.containment for x in licenses.scan_licenses(documents(spark, [*texts, texts[4]], [*range(len(texts)), 4])).collect()}
+    want = {(i, name): share for i, t in enumerate(texts) for name, body in licenses.NOTICES.items() if (share := _contained(t or "", body)) >= licenses.CONTAINMENT}
+    assert len(want) > 30 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
