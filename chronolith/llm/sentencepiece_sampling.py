@@ -34,12 +34,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_arrays import U64, chunks, mix64, owner, range_hash, same_ranges
+from .text_arrays import U64, chunks, join64, mix64, owner, same_ranges, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED = 2, 1
+#: What the hashes of pieces begin with.
+FIRST = U64(0x9E3779B97F4A7C15)
 BLANK = 0x2581
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: The log factor for each code point, and the length from which sums are kept as logs.
 TILT, LONG = 2.5, 150
 SCHEMA = "sample int, ids array<int>, log_prob double, inclusion double, exact boolean"
@@ -91,9 +93,14 @@ class Vocabulary:
 
     @staticmethod
     def _hash(texts: list[str]) -> np.ndarray:
+        """Each text's code points, joined one by one."""
         flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(U64)
-        ends = np.cumsum([len(x) for x in texts])
-        return range_hash(flat + U64(1))(np.concatenate(([0], ends[:-1])).astype(np.int64), ends)
+        size = np.array([len(x) for x in texts])
+        begin, h, on = np.cumsum(size) - size, np.full(len(texts), FIRST, U64), np.arange(len(texts))
+        for i in range(int(size.max(initial=0))):
+            on = on[size[on] > i]
+            h[on] = join64(h[on], flat[begin[on] + i])
+        return h
 
     @staticmethod
     def _slot(h: np.ndarray, table: int) -> np.ndarray:
@@ -101,12 +108,14 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """For each hash the usable piece's number, or -1."""
-        out = np.full(len(h), -1, np.int32)
-        for table, slot in enumerate(self.slots):
-            found = slot[self._slot(h, table)]
-            hit = np.flatnonzero(found >= 0)
-            hit = hit[self.hashes[found[hit]] == h[hit]]
-            out[hit] = found[hit]
+        out = self.slots[0][self._slot(h, 0)]
+        open_ = np.flatnonzero(out >= 0)
+        open_ = open_[self.hashes[out[open_]] != h[open_]]  # another piece's slot, so that it may be in a later table
+        for table, slot in enumerate(self.slots[1:], 1):
+            out[open_] = found = slot[self._slot(h[open_], table)]
+            open_ = open_[found >= 0]
+            open_ = open_[self.hashes[out[open_]] != h[open_]]
+        out[open_] = -1
         return out
 
     def goes_on(self, h: np.ndarray) -> np.ndarray:
@@ -128,14 +137,14 @@ class Lattice:
     shares of the edges, and ``total`` the log of the sum over all ways from there to the unit's end.
     """
 
-    def __init__(self, voc: Vocabulary, most: int = 250_000):
+    def __init__(self, voc: Vocabulary, most: int = 700_000):
         m = voc.longest
         self.voc, self.most, self.used, self.top = voc, most, 0, 0
         kind = np.int16 if len(voc.ids) < 1 << 15 else np.int32
         self.piece, self.cum = np.full((0, m), -1, kind), np.ones((0, m), np.float32)
         self.total, self.cp = np.zeros(m + 1), np.zeros(0, np.uint32)
         self.hashes, self.starts, self.sizes = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._room(most + most // 2)
+        self._room(most + (1 << 18))
 
     def _room(self, n: int):
         more = n - len(self.cp)
@@ -190,14 +199,16 @@ class Lattice:
         voc, n = self.voc, len(cp)
         size = np.diff(off)
         end = np.repeat(off[1:], size)
-        of = range_hash(cp.astype(U64) + U64(1), keep=True)
-        at, hits = np.arange(n), []
+        values = cp.astype(U64)
+        at, h, hits = np.arange(n), np.full(n, FIRST, U64), []
         for length in range(1, min(voc.longest, int(size[0])) + 1):
-            h = of(at, at + length)
+            h = join64(h, values[at + (length - 1)])
             found = voc.find(h)
             hit = np.flatnonzero(found >= 0)
             hits.append((at[hit], found[hit]))
-            at = at[voc.goes_on(h) & (at + length < end[at])]
+            on = np.flatnonzero(voc.goes_on(h))
+            on = on[at[on] + length < end[at[on]]]
+            at, h = at[on], h[on]
             if not len(at):
                 break
         m = max(i for i, (x, _) in enumerate(hits, 1) if len(x) or i == 1)
@@ -260,12 +271,19 @@ class Lattice:
     def weight(self, pos: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Log weights of edges."""
         piece = self.piece[pos, length - 1]
-        return np.where(piece >= 0, self.voc.weights[piece], self.voc.byte_weight * byte_count(self.cp[pos]))
+        out = self.voc.weights[piece]
+        spelled = np.flatnonzero(piece < 0)
+        out[spelled] = self.voc.byte_weight * byte_count(self.cp[pos[spelled]])
+        return out
 
     def logs(self, pos: np.ndarray, length: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Logs of the edges' shares."""
-        after = np.where(pos + length < end, self.total[pos + length], 0)
-        return np.minimum(self.weight(pos, length) + after - self.total[pos], 0)
+        to = pos + length
+        out = self.total[to]
+        out[to >= end] = 0
+        out += self.weight(pos, length)
+        out -= self.total[pos]
+        return np.minimum(out, 0, out=out)
 
     def shares(self, pos: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The shares of all edges that leave the positions."""
@@ -356,8 +374,7 @@ def sample_chunk(lat: Lattice, raw: np.ndarray, off: np.ndarray, keys: np.ndarra
     end = np.append(begin[1:], n)[: len(begin)]
     doc_of = owner(head)[begin] if n else np.zeros(0, np.int64)
     # Units are looked up by a hash and then compared.
-    values = cp.astype(U64) + U64(1)
-    h = range_hash(values)(begin, end)
+    h = word_hashes(cp.view(np.uint8), 4 * begin, 4 * end)
     start_of = lat.place(h, cp, begin, end)
     end_of = start_of + end - begin
     key = mix64(keys.astype(np.int64).view(U64) + U64(seed))

@@ -50,8 +50,8 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) ->
 def same_ranges(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether a[at : at + size] and b[bt : bt + size] are equal, for each range."""
     ends = np.cumsum(size)
-    step = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
-    differs = a[np.repeat(at, size) + step] != b[np.repeat(bt, size) + step]
+    before, step = ends - size, np.arange(int(ends[-1]) if len(ends) else 0)
+    differs = a[np.repeat(at - before, size) + step] != b[np.repeat(bt - before, size) + step]
     if not differs.any():
         return np.ones(len(size), bool)
     wrong = np.concatenate(([0], np.cumsum(differs)))
@@ -172,16 +172,15 @@ def join64(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return h
 
 
-def range_hash(values: np.ndarray, which: int = 0, keep: bool = False):
+def range_hash(values: np.ndarray, which: int = 0):
     """A function of (starts, ends) that gives 64-bit hashes of ranges of ``values`` (uint64).
 
     Equal ranges get equal hashes wherever they stand.  Blocks of 1, 2, 4, .. values are named by joining the
     names of their halves, and a range by the two blocks of the greatest such length that cover it.  Each
     join is mixed, so that the hash isn't linear in the values: polynomials modulo a power of two give equal
-    hashes to whole families of words (those of Thue and Morse), whatever the base.  ``keep`` holds the
-    blocks' names for further calls.
+    hashes to whole families of words (those of Thue and Morse), whatever the base.
     """
-    blocks = [mix64(values + U64(SEEDS[which]))]
+    single = mix64(values + U64(SEEDS[which]))
 
     def of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         length = ends - starts
@@ -191,13 +190,11 @@ def range_hash(values: np.ndarray, which: int = 0, keep: bool = False):
         else:
             level = np.frexp(length.astype(float))[1] - 1  # -1 for empty ranges
             present = np.flatnonzero(np.bincount(level + 1)) - 1
-        h = blocks[0]
+        h = single
         for k in range(int(present.max(initial=-1)) + 1):
             if k:
                 half = 1 << (k - 1)
-                h = blocks[k] if k < len(blocks) else join64(h[:-half], h[half:])
-                if keep and k == len(blocks):
-                    blocks.append(h)
+                h = join64(h[:-half], h[half:])
             if k in present:
                 some = slice(None) if len(present) == 1 else np.flatnonzero(level == k)
                 a, z = starts[some], ends[some]
