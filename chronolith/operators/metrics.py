@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def recurring(rows: DataFrame, keys: list[str], value: str, least: int = 2, sample: int = 5) -> DataFrame:
     """Groups with ``least`` different values or more, and the first few of these."""
-    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(value)).alias("v"))
-    return g.where(F.size("v") >= least).select(*keys, "n", F.array_join(F.slice("v", 1, sample), ",").alias("values"))
+    each = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    first = each.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).where(F.col("_r") <= sample)
+    shown = first.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(value)), ",").alias("values"))
+    total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    often = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") >= least)
+    return total.join(often, keys).join(shown, keys).select(*keys, "n", "values")
 
 
 def known_values(rows: DataFrame, most: int = 12) -> DataFrame:
@@ -20,12 +26,42 @@ def known_values(rows: DataFrame, most: int = 12) -> DataFrame:
     return ranked.groupBy("entity").agg(F.array_join(F.transform(ordered, lambda x: x["content"]), ",").alias("values"))
 
 
+def _same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & a[k].eqNullSafe(b[f"_{k}"])
+    return out
+
+
+def values_at(rows: DataFrame, keys: list[str], value: str, at: dict[str, tuple[float, Callable[[Column], Column]]], near: float = 0.001) -> DataFrame:
+    """For each group the values at some indices of its sorted values, without sorting groups whole; nulls take no part.
+
+    ``at`` gives each name a share and the index (from 0) as a function of the group's size; the index must lie about that share.
+    A first pass bounds each value by approximate quantiles (error 1 / 10,000) a little below and above, a second counts
+    what lies below the bounds, and only the rows between them are ranked.
+    """
+    v = rows.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    edges = [x for p, _ in at.values() for x in (max(0.0, p - near), min(1.0, p + near))]
+    bounds = v.groupBy(*keys).agg(F.percentile_approx("_v", edges, 10_000).alias("_e")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    wide = v.join(bounds, _same_keys(v, bounds, keys)) if keys else v.crossJoin(F.broadcast(bounds))
+    below = [F.count_if(F.col("_v") < F.col("_e")[2 * i]).alias(f"_b{i}") for i in range(len(at))]
+    figures = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *below)
+    inside = F.array_compact(F.array(*[F.when(F.col("_v").between(F.col("_e")[2 * i], F.col("_e")[2 * i + 1]), F.lit(i)) for i in range(len(at))]))
+    ranked = wide.select(*keys, "_v", F.explode(inside).alias("_i")).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_i").orderBy("_v")) - 1)
+    figures = figures.withColumnsRenamed({k: f"_{k}" for k in keys})
+    both = ranked.join(figures, _same_keys(ranked, figures, keys)) if keys else ranked.crossJoin(F.broadcast(figures))
+    picks = [F.max(F.when((F.col("_i") == i) & (F.col("_r") + F.col(f"_b{i}") == index(F.col("_n"))), F.col("_v"))).alias(name) for i, (name, (_, index)) in enumerate(at.items())]
+    return both.groupBy(*keys).agg(*picks)
+
+
 def floor_percentiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """n, total, mean, max and, by name, the value at index floor(p n) of the sorted values (from 0)."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.select(*keys, F.col(value).alias("_v")).withColumn("_i", F.row_number().over(w.orderBy("_v")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    picks = [F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col("_v"))).alias(name) for name, p in at.items()]
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("_v"), 4).alias("total"), F.round(F.avg("_v"), 4).alias("mean"), *picks, F.max("_v").alias("max"))
+    v = F.col(value)
+    index = lambda p: lambda n: F.least(F.floor(n * p), n - 1)
+    picks = values_at(rows, keys, value, {name: (p, index(p)) for name, p in at.items()})
+    g = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.round(F.sum(v), 4).alias("total"), F.round(F.avg(v), 4).alias("mean"), F.max(v).alias("max"))
+    renamed = picks.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return g.join(renamed, _same_keys(g, renamed, keys)).select(*keys, "n", "total", "mean", *at, "max")
 
 
 def scores_by(rows: DataFrame, keys: list[str], scores: list[str]) -> DataFrame:
@@ -63,10 +99,15 @@ def answer_distribution(rows: DataFrame, keys: list[str], answer: str) -> DataFr
 
 
 def metric_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean, population deviation, least, greatest, median and number of the values."""
     v = F.col(value)
-    return rows.groupBy(*keys).agg(
-        F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"), F.round(F.min(v), 4).alias("min"), F.round(F.max(v), 4).alias("max"), F.round(F.median(v), 4).alias("median"), F.count(v).alias("n")
+    g = rows.groupBy(*keys).agg(
+        F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"), F.round(F.min(v), 4).alias("min"), F.round(F.max(v), 4).alias("max"), F.count(v).alias("n")
     )
+    halves = values_at(rows, keys, value, {"_low": (0.5, lambda n: F.floor((n - 1) / 2)), "_high": (0.5, lambda n: F.floor(n / 2))})
+    halves = halves.withColumnsRenamed({k: f"_{k}" for k in keys})
+    median = F.round((F.col("_low") + F.col("_high")) / 2, 4).alias("median")
+    return g.join(halves, _same_keys(g, halves, keys), "left").select(*keys, "mean", "std", "min", "max", median, "n")
 
 
 def recall_ndcg(results: DataFrame, ks: list[int]) -> DataFrame:

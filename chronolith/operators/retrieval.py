@@ -31,7 +31,8 @@ def bm25(docs: DataFrame, query: list[str], k1: float = 1.5, b: float = 0.75) ->
 
 def fts_and(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Documents that hold every term."""
-    return docs.where(F.forall(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.array_contains(words(F.col("text")), t)))
+    wanted = sorted({t.lower() for t in terms})
+    return docs.where(F.size(F.array_intersect(F.array(*map(F.lit, wanted)), words(F.col("text")))) == len(wanted))
 
 
 def like_search(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -49,11 +50,6 @@ def recall_page(docs: DataFrame, query: str, page: int, size: int, *order: str)
     return found.orderBy(*order).offset(page * size).limit(size).crossJoin(F.broadcast(pages))  # one row
 
 
-def max_normalised(hits: DataFrame, score: str) -> Column:
-    top = F.max(score).over(Window.partitionBy())
-    return F.when(top > 0, F.col(score) / top).otherwise(0.0)
-
-
 def fuse(keyword: DataFrame, vector: DataFrame, keyword_weight: float = 0.9, vector_weight: float = 0.1) -> DataFrame:
     """Keyword and vector hits (id, score) merged: scores over their greatest, weighted; which of the two found a row."""
     tops = keyword.agg(F.max("score").alias("kt")).crossJoin(vector.agg(F.max("score").alias("vt")))  # one row each

@@ -58,7 +58,7 @@ def largest_remainder(rows: DataFrame, key: str, n: int, order: Column) -> DataF
     g = g.withColumn("_q", n * F.col("_c") / total).withColumn("_s", F.floor("_q")).withColumn("_r", F.col("_q") - F.col("_s"))
     left = n - F.sum("_s").over(Window.partitionBy())
     g = g.withColumn("_s", F.col("_s") + F.when(F.row_number().over(Window.orderBy(F.desc("_r"), key)) <= left, 1).otherwise(0)).select(key, "_s")  # a row for each group
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_n") <= n)  # no group gives more
     return ranked.join(F.broadcast(g), key).where(F.col("_n") <= F.col("_s")).drop("_n", "_s")
 
 

@@ -97,11 +97,21 @@ def first_per_day(rows: DataFrame, keys: list[str], noise: list[str] = ()) -> Da
     return clean.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def islands(rows: DataFrame, keys: list[str], number: Column) -> DataFrame:
-    """(first, last, n) of maximal runs of consecutive distinct numbers."""
-    distinct = rows.select(*keys, number.cast("long").alias("_x")).distinct()
-    group = F.col("_x") - F.row_number().over(Window.partitionBy(*keys).orderBy("_x"))
-    return distinct.withColumn("_g", group).groupBy(*keys, "_g").agg(F.min("_x").alias("first"), F.max("_x").alias("last"), F.count(F.lit(1)).alias("n")).drop("_g")
+def islands(rows: DataFrame, keys: list[str], number: Column, width: int = 1 << 16) -> DataFrame:
+    """(first, last, n) of maximal runs of consecutive distinct numbers.
+
+    Runs are found within buckets of ``width`` numbers; those that touch a bucket's border, two for a bucket at most, are then joined.
+    """
+    x = F.col("_x")
+    distinct = rows.select(*keys, number.cast("long").alias("_x")).distinct().withColumn("_b", F.floor(x / width))
+    group = x - F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_x"))
+    runs = distinct.withColumn("_g", group).groupBy(*keys, "_b", "_g").agg(F.min("_x").alias("first"), F.max("_x").alias("last"), F.count(F.lit(1)).alias("n"))
+    at_border = (F.col("first") == F.col("_b") * width) | (F.col("last") == (F.col("_b") + 1) * width - 1)
+    w = Window.partitionBy(*keys).orderBy("first")
+    new = F.coalesce((F.lag("last").over(w) + 1 != F.col("first")).cast("int"), F.lit(1))
+    border = runs.where(at_border).withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    joined = border.groupBy(*keys, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return runs.where(~at_border).select(*keys, "first", "last", "n").unionByName(joined.drop("_run"))
 
 
 def validity_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -194,8 +204,12 @@ def recent_k(rows: DataFrame, k: int, date_col: str, id_col: str) -> DataFrame:
     return rows.orderBy(F.desc(date_col), F.desc(id_col)).limit(k).orderBy(date_col, id_col)
 
 
-def top_k_per(rows: DataFrame, keys: list[str], k: int | Column, *order) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+def top_k_per(rows: DataFrame, keys: list[str], k: int | Column, *order, most: int | None = None) -> DataFrame:
+    """The first ``k`` rows of each group; with a column ``k``, ``most`` bounds it, so that groups are cut before they are sorted whole."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if most is not None:
+        ranked = ranked.where(F.col("rank") <= most)
+    return ranked.where(F.col("rank") <= k)
 
 
 def token_budget(rows: DataFrame, keys: list[str], size: Column, budget: int, *order: Column) -> DataFrame:

@@ -116,7 +116,7 @@ def turns_since(s, d):
 @query(sql(", c AS (SELECT * FROM (VALUES ('L1', 4), ('L2', 3), ('L3', 1)) v(level, cap)), r AS (SELECT l.level, id, cap, row_number() OVER (PARTITION BY l.level ORDER BY length(id) DESC, id) AS n FROM l JOIN c ON c.level = l.level) SELECT level, id FROM r WHERE n <= cap", "l"))
 def strategy_caps(s, d):
     caps = s.createDataFrame([("L1", 4), ("L2", 3), ("L3", 1)], "level string, cap int")
-    return timeline.top_k_per(levels(s, d).join(F.broadcast(caps), "level"), ["level"], F.col("cap"), F.desc(F.length("id")), "id").select("level", "id")
+    return timeline.top_k_per(levels(s, d).join(F.broadcast(caps), "level"), ["level"], F.col("cap"), F.desc(F.length("id")), "id", most=4).select("level", "id")
 
 
 @query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, strftime(o_orderdate, '%Y-%m') || '/' || CAST(isoyear(o_orderdate) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(o_orderdate) AS VARCHAR), 2, '0') AS week, CAST(date_trunc('week', o_orderdate) AS DATE) AS first, CAST(CAST(date_trunc('week', o_orderdate) AS DATE) + 6 AS DATE) AS last FROM orders")

@@ -83,7 +83,7 @@ def _phases(s, d):
 @query(sql(PHASES + ", dd AS (SELECT DISTINCT source_date AS day FROM m) SELECT day, speaker, entity, content FROM dd JOIN ph ON day BETWEEN start AND stop WHERE start <= stop", "m"))
 def regime_on_day(s, d):
     days = memories(s, d).select(F.col("source_date").alias("day")).distinct()
-    return timeline.interval_join(days, _phases(s, d).where("start <= stop"), "day", "start", "stop", 4).select("day", *KEYS, "content")
+    return timeline.interval_join(days, _phases(s, d).where("start <= stop"), "day", "start", "stop", 1).select("day", *KEYS, "content")
 
 
 @query(sql(""", p AS (SELECT id, speaker, source_date FROM m WHERE entity = 'purchase'), c AS (SELECT id AS cid, speaker, source_date AS cdate, content FROM m WHERE entity = 'click')
@@ -160,7 +160,7 @@ def token_budget(s, d):
 @query(sql("SELECT level, id, period, rank FROM (SELECT level, id, period, row_number() OVER (PARTITION BY level ORDER BY period DESC, id) AS rank FROM l) WHERE rank <= CASE level WHEN 'L1' THEN 5 WHEN 'L2' THEN 3 ELSE 2 END", "l"))
 def topk_per_layer(s, d):
     k = F.when(F.col("level") == "L1", 5).when(F.col("level") == "L2", 3).otherwise(2)
-    return timeline.top_k_per(levels(s, d), ["level"], k, F.desc("period"), "id").select("level", "id", "period", F.col("rank").cast("long").alias("rank"))
+    return timeline.top_k_per(levels(s, d), ["level"], k, F.desc("period"), "id", most=5).select("level", "id", "period", F.col("rank").cast("long").alias("rank"))
 
 
 @query(sql("SELECT level, arg_max(id, (period, id)) AS id, max(period) AS period FROM l GROUP BY level", "l"))

@@ -262,3 +262,27 @@ def test_ranks_without_a_single_task(spark):
     got = {r.id: r["rank"] for r in timeline.ranked(rows, F.desc("score"), F.col("id").asc()).collect()}
     order = sorted(range(300), key=lambda i: (-((i * 7919) % 50), i))
     assert got == {i: n for n, i in enumerate(order, 1)}
+
+
+def test_islands_over_borders(spark):
+    numbers = [*range(0, 9), *range(11, 30), 40, 41, 63, 64, *range(-7, -2)]
+    rows = spark.createDataFrame([(k, x) for k in ("a", "b") for x in numbers + ([100] if k == "b" else [])], "k string, x long")
+    for width in (4, 1 << 16):
+        got = sorted((r.k, r["first"], r["last"], r.n) for r in timeline.islands(rows, ["k"], F.col("x"), width).collect())
+        want = [(k, a, z, z - a + 1) for k in ("a", "b") for a, z in [(-7, -3), (0, 8), (11, 29), (40, 41), (63, 64)]] + [("b", 100, 100, 1)]
+        assert got == sorted(want)
+
+
+def test_values_at_indices(spark):
+    """Exact indices of groups of several sizes, with ties, nulls and a null key."""
+    import random
+
+    r = random.Random(5)
+    groups = {"a": [r.randrange(40) * 0.5 for _ in range(4001)], "b": [1.0], "c": [3.0, 1.0], None: [r.random() for _ in range(999)]}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in [*vs, None]], "k string, v double")
+    got = {x.k: x for x in metrics.floor_percentiles(rows.where("v is not null"), ["k"], "v", {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}).collect()}
+    stats = {x.k: x for x in metrics.metric_stats(rows, ["k"], "v").collect()}
+    for k, vs in groups.items():
+        vs = sorted(vs)
+        assert [got[k][n] for n in ("p0", "p50", "p99", "p100")] == [vs[min(int(len(vs) * p), len(vs) - 1)] for p in (0, 0.5, 0.99, 1)]
+        assert stats[k].n == len(vs) and abs(stats[k].median - (vs[(len(vs) - 1) // 2] + vs[len(vs) // 2]) / 2) < 1e-4
