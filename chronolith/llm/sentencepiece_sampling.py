@@ -137,14 +137,14 @@ class Lattice:
     shares of the edges, and ``total`` the log of the sum over all ways from there to the unit's end.
     """
 
-    def __init__(self, voc: Vocabulary, most: int = 700_000):
+    def __init__(self, voc: Vocabulary, most: int = 250_000):
         m = voc.longest
         self.voc, self.most, self.used, self.top = voc, most, 0, 0
         kind = np.int16 if len(voc.ids) < 1 << 15 else np.int32
         self.piece, self.cum = np.full((0, m), -1, kind), np.ones((0, m), np.float32)
         self.total, self.cp = np.zeros(m + 1), np.zeros(0, np.uint32)
         self.hashes, self.starts, self.sizes = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._room(most + (1 << 18))
+        self._room(most + (1 << 17))
 
     def _room(self, n: int):
         more = n - len(self.cp)
