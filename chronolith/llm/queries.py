@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, line_dedup, neighbours, quality, sentencepiece_sampling, simhash, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, language, licenses, line_dedup, neighbours, quality, sentencepiece_sampling, simhash, substring_dedup, suffix_dedup, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each usable vector on the 16 leading components of the distinct vectors' covariance, scaled to variance one."""
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each text, and what stays without those that five or more documents share; a null text is one empty line."""
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
@@ -97,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_licenses": op10_licenses,
+        "op11_whitening": op11_whitening,
         "op12_line_dedup": op12_line_dedup,
     }
 
