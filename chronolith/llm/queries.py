@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, line_dedup, neighbours, quality, sentencepiece_sampling, simhash, substring_dedup, suffix_dedup, toxicity, whitening
+from . import decontaminate, language, licenses, line_dedup, neighbours, quality, sentencepiece_sampling, simhash, substring_dedup, suffix_dedup, token_alignment, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,11 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' tokens of each text overlap; texts that either doesn't give back whole have no tokens."""
+    return token_alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_licenses": op10_licenses,
         "op11_whitening": op11_whitening,
         "op12_line_dedup": op12_line_dedup,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
