@@ -8,8 +8,9 @@ over the bits, each bit weighted by how well its classifier did on the sample; t
 least loss wins, the score is its share in the softmax of the negative losses, and a
 document is flagged ambiguous if the runner-up's share is within ``margin`` of it.
 
-Fitting takes about ``per_language`` rows of each language (hash-selected, ``max_train_rows``
-at most in all; ``max_languages`` languages at most, the first in order); prediction reads every text
+Fitting takes the ``per_language`` rows of each language whose ids have the least hashes, one row of an id and language; of
+these the languages in turn give one each until there are ``max_train_rows``, or ``max_bytes`` of texts (both bounds are on rows: with more
+languages than rows, those of the least hashes are learned).  Prediction reads every text
 whole, a long one part by part, and holds the counts of ``ROWS`` documents at most.
 
 Defined results: a null text, or one without any letter, gets ``und`` with score 0 and is
@@ -21,10 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fitting import fit
+from .fitting import MAX_BYTES, fit, rows_to_learn, with_texts
 from .text_arrays import chunks, code_points, gram_index, is_long, owner, parts
 
 GRAMS = (1, 2, 3)
@@ -125,21 +126,15 @@ def predictor(model: dict, margin: float):
     return run
 
 
-def fit_language(documents: DataFrame, *, train_rows=lambda key: F.lit(True), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, max_train_rows: int = 6000, max_languages: int = 1000) -> dict:
+def fit_language(documents: DataFrame, *, train_rows=lambda key: F.lit(True), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, max_train_rows: int = 6000, max_bytes: int = MAX_BYTES) -> dict:
     """Learn from rows with an id, a text and a language; ``train_rows`` is a condition on the id's text form."""
-    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
-    rows = rows.where(F.col("_id").isNotNull() & F.col("label").isNotNull() & train_rows(F.col("_id").cast("string")))
-    share = rows.groupBy("label").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share")).orderBy("label").limit(max_languages)
-    ord_ = F.xxhash64("_id")
-    sample = (
-        rows.join(F.broadcast(share), "label")
-        .where(F.pmod(ord_, F.lit(1 << 30)) < F.col("share") * (1 << 30))
-        .where(F.col("text").isNotNull())
-        .select("text", "label", ord_.alias("ord"))
-        .orderBy("ord")
-        .limit(max_train_rows)
-    )
-    return fit(sample, train)
+    docs = documents.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("text").isNotNull() & train_rows(F.col("id").cast("string")))
+    # Each task passes on no more than the first rows of each language, so that a common one isn't gathered.
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("ord", "id", "mark"))
+    chosen = rows_to_learn(docs).withColumn("turn", turn).where(F.col("turn") <= min(per_language, 1000)).orderBy("turn", "ord", "label").limit(max_train_rows)
+    one = chosen.groupBy("id", "label", "ord").agg(F.min(F.struct("mark", "size", "turn")).alias("m")).select("id", "label", "ord", "m.*")
+    return fit(with_texts(one, docs, ["turn", "ord", "label", "id"], max_bytes), train)
 
 
 def identify_language(documents: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.2) -> DataFrame:

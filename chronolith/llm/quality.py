@@ -7,7 +7,7 @@ encoder (one tanh layer) gives its representation, gated attention
 ``softmax(w . (tanh(V z) * sigmoid(U z)))`` its weight, and a logistic layer scores the
 weighted mean.  All weights are learned from document labels alone, by back-propagation.
 
-Fitting takes at most ``max_train_rows`` labelled documents; scoring reads every text whole, a long one part by part.
+Fitting takes at most ``max_train_rows`` labelled ids, one row of each, and ``max_bytes`` of their texts; scoring reads every text whole, a long one part by part.
 Defined results: a null or empty text is one passage of zeros and is scored like any other; rows
 that repeat are scored each; other columns are ignored.  Without labels of both classes the
 score is the share of label 1 (0 without labels).
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fitting import fit, labelled_sample
+from .fitting import MAX_BYTES, fit, labelled_sample
 from .text_arrays import chunks, code_points, is_long, parts
 
 PASSAGE = 400
@@ -183,9 +183,9 @@ def scorer(model: dict):
     return run
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, *, train_rows=lambda key: F.lit(True), label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = 5000) -> dict:
+def fit_quality(documents: DataFrame, labels: DataFrame, *, train_rows=lambda key: F.lit(True), label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = 5000, max_bytes: int = MAX_BYTES) -> dict:
     """The fitted model; ``train_rows`` tells from an id's text form whether its label may be learned."""
-    return fit(labelled_sample(documents, labels, label, max_train_rows, train_rows, id_col, text_col), train)
+    return fit(labelled_sample(documents, labels, label, max_train_rows, train_rows, id_col, text_col, max_bytes), train)
 
 
 def score_quality(documents: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -6,7 +6,7 @@ toxic and the other documents that hold it; the log of the ratio of the two smoo
 shares scales the feature.  N-grams seen in at least ``MIN_DOCS`` documents compete by
 ``|ratio| * sqrt(documents)`` for ``FEATURES`` places, and a logistic regression with an L2
 penalty is fitted on the scaled features.  Fitting takes at most ``max_train_rows``
-labelled documents; scoring reads every text whole.
+labelled ids, one row of each, and ``max_bytes`` of their texts; scoring reads every text whole.
 
 Defined results: a null or empty text has no feature and gets the model's base rate; rows
 that repeat are scored each; other columns of the input are ignored, and an empty table gives
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .fitting import fit, labelled_sample
+from .fitting import MAX_BYTES, fit, labelled_sample
 from .text_arrays import chunks, code_points, gram_index, is_long, owner, parts
 
 GRAMS = (3, 4, 5)
@@ -91,7 +91,7 @@ def train(texts, labels, steps: int = 150, penalty: float = 1e-4) -> dict:
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    return {"bias": float(b), "index": kept, "weight": (w * ratio[kept]).astype(np.float32)}
+    return {"bias": float(b), "index": kept, "weight": (w * ratio[kept]).astype(np.float32), "ratio": ratio[kept]}
 
 
 def _scores(model: dict):
@@ -122,9 +122,9 @@ def scorer(model: dict):
     return run
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, *, train_rows=lambda key: F.lit(True), label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = 6000) -> dict:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, *, train_rows=lambda key: F.lit(True), label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = 6000, max_bytes: int = MAX_BYTES) -> dict:
     """The fitted model; ``train_rows`` tells from an id's text form whether its label may be learned."""
-    return fit(labelled_sample(documents, labels, label, max_train_rows, train_rows, id_col, text_col), train)
+    return fit(labelled_sample(documents, labels, label, max_train_rows, train_rows, id_col, text_col, max_bytes), train)
 
 
 def score_toxicity(documents: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
