@@ -12,8 +12,8 @@ once; the stated query rows stream past each block's index, so that they are shu
 block, and the blocks' best are merged.  Equal vectors are indexed once, with their ``k + 1`` least
 ids: nearness ties go to lesser ids, so the others can't be among any query's ``k`` nearest.
 
-Defined results: vectors that are null, zero, of another length than most or holding null or
-non-finite components take no part, as queries or as candidates, nor do rows without an id; rows
+Defined results: vectors that are null, zero, empty or holding null or non-finite components take no part, as queries
+or as candidates, nor do rows without an id; vectors of each length are searched among themselves, in blocks of their own; rows
 that repeat an id are each a candidate under it, except for that id's query.  A query id has one result, of ranks 1 to
 ``k``: if its rows hold different vectors, a candidate counts with the nearest of them.  Other columns
 are ignored; an empty table gives an empty result.
@@ -33,7 +33,12 @@ LEAST_BLOCK, MOST_BLOCK = 1 << 14, 1 << 17
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    return scaled(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)) if n else np.zeros((0, 0))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row over the power of two next to its largest component: cosines stay the same to the last bit, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -159,19 +164,22 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
     kind = vectors.schema[vector_col].dataType.elementType.simpleString()
     assert kind in ("float", "double"), kind
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    total = sizes[0]["count"] if sizes else 0
-    blocks = max(1, -(-total // (block_rows or min(max(LEAST_BLOCK, total // 64), MOST_BLOCK))))
-    rows = rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    first, plan = 0, []  # (length, first block, blocks)
+    for n, total in sorted(rows.groupBy(F.size("v").alias("n")).count().collect()):
+        plan.append((n, first, max(1, -(-total // (block_rows or min(max(LEAST_BLOCK, total // 64), MOST_BLOCK))))))
+        first += plan[-1][2]
+    blocks = max(1, first)
+    lengths = F.broadcast(vectors.sparkSession.createDataFrame(plan, "length int, first long, blocks long"))
+    of_length = lambda df: df.join(lengths, F.size("v") == F.col("length"))
     # A vector's k + 1 least ids, each with up to k of its rows: whichever id is left out, k rows stay.
     each = rows.groupBy("v", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
     few = each.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
     distinct = few.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("all"))
     none = F.lit(None)
-    left = distinct.select(F.pmod(F.xxhash64("all.id", "v"), F.lit(blocks).cast("long")).alias("block"), F.lit(0).alias("side"), none.cast("long").alias("id"), F.col("all.id").alias("ids"), F.col("all.n").alias("copies"), "v")
+    left = of_length(distinct).select((F.col("first") + F.pmod(F.xxhash64("all.id", "v"), F.col("blocks"))).alias("block"), F.lit(0).alias("side"), none.cast("long").alias("id"), F.col("all.id").alias("ids"), F.col("all.n").alias("copies"), "v")
     queries = rows.where(is_query(F.col("id"))).distinct()
-    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("side"), "id", none.cast("array<long>").alias("ids"), none.cast("array<int>").alias("copies"), "v")
-    both = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", "side", "id")
+    right = of_length(queries).select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "id", none.cast("array<long>").alias("ids"), none.cast("array<int>").alias("copies"), "v")
+    both = left.unionByName(right).repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("block", "side", "id")
     found = both.mapInArrow(_search(k, projections, threshold), "query_id long, vec_id long, copy int, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
