@@ -34,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from xxhash import xxh3_128_digest
 
 from .components import cut
@@ -75,11 +76,13 @@ class Method:
 def keyed(documents: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
     """(key, id, text[, rest]) with unique keys in the order of the ids; rows that repeat an id follow each other by text.
 
-    ``rest`` holds all columns but the text, as they were.
+    Whole numbers are ids as longs, other ids keep their type and its order.  ``rest`` holds all columns but the text, as they were.
     """
+    whole = isinstance(documents.schema[id_col].dataType, IntegralType)
     others = [F.struct(*[documents[c].alias(f"c{i}") for i, c in enumerate(documents.columns) if c != text_col]).alias("rest")] if rest else []
-    rows = documents.select(documents[id_col].cast("long").alias("id"), documents[text_col].cast("string").alias("text"), *others)
-    if rows.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).limit(1).count():
+    named = documents[id_col].cast("long") if whole else documents[id_col]
+    rows = documents.select(named.alias("id"), documents[text_col].cast("string").alias("text"), *others)
+    if not whole or rows.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).limit(1).count():
         rows = cut(rows.repartitionByRange("id", "text").sortWithinPartitions("id", "text"))
         return cut(rows.select(F.monotonically_increasing_id().alias("key"), *rows.columns))
     return rows.select(F.col("id").alias("key"), *rows.columns).where(F.col("key").isNotNull())  # none is null here

@@ -276,20 +276,25 @@ def _finish(rewrite: bool):
     return run
 
 
-SCHEMA = "id long, n_words long, n_removed long, kept string"
+SCHEMA = "n_words long, n_removed long, kept string"
+
+
+def _schema(rows: DataFrame) -> str:
+    """What becomes of ``rows``: the id, the figures and the other columns."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return f"id {kinds['id']}, {SCHEMA}" + (f", rest {kinds['rest']}" if "rest" in kinds else "")
 
 
 def repeated_words(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of each row."""
     rows = keyed(documents, id_col, text_col)
-    return repeated(rows, method(name_rounds(rows.select("text"))), _finish(False), SCHEMA).withColumnsRenamed({"id": id_col, "kept": "kept_sha256"})
+    return repeated(rows, method(name_rounds(rows.select("text"))), _finish(False), _schema(rows)).withColumnsRenamed({"id": id_col, "kept": "kept_sha256"})
 
 
 def without_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` with the kept words, joined by blanks, as its texts; null texts become empty."""
     rows = keyed(documents, id_col, text_col, rest=True)
-    kinds = rows.schema["rest"].dataType.simpleString()
-    return restored(repeated(rows, method(name_rounds(rows.select("text"))), _finish(True), f"{SCHEMA}, rest {kinds}"), documents, text_col)
+    return restored(repeated(rows, method(name_rounds(rows.select("text"))), _finish(True), _schema(rows)), documents, text_col)
 
 
 ORACLE_SQL = rf"""

@@ -215,20 +215,25 @@ def _finish(length: int, rewrite: bool):
     return run
 
 
-SCHEMA = "id long, n_bytes long, n_removed long, n_spans long, kept string"
+SCHEMA = "n_bytes long, n_removed long, n_spans long, kept string"
+
+
+def _schema(rows: DataFrame) -> str:
+    """What becomes of ``rows``: the id, the figures and the other columns."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return f"id {kinds['id']}, {SCHEMA}" + (f", rest {kinds['rest']}" if "rest" in kinds else "")
 
 
 def repeated_bytes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
     rows = keyed(documents, id_col, text_col)
-    return repeated(rows, method(length, gram), _finish(length, False), SCHEMA).withColumnsRenamed({"id": id_col, "kept": "kept_sha256"})
+    return repeated(rows, method(length, gram), _finish(length, False), _schema(rows)).withColumnsRenamed({"id": id_col, "kept": "kept_sha256"})
 
 
 def without_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``documents`` with its repeated bytes taken out of the texts, a character cut in two whole; null texts become empty."""
     rows = keyed(documents, id_col, text_col, rest=True)
-    kinds = rows.schema["rest"].dataType.simpleString()
-    return restored(repeated(rows, method(length, gram), _finish(length, True), f"{SCHEMA}, rest {kinds}"), documents, text_col)
+    return restored(repeated(rows, method(length, gram), _finish(length, True), _schema(rows)), documents, text_col)
 
 
 ORACLE_SQL = f"""
