@@ -62,8 +62,7 @@ def bleu(candidate: Column, reference: Column, n: int) -> Column:
         brief = F.when(F.size(a) > F.size(b), 1.0).otherwise(F.exp(1 - F.size(b) / F.size(a)))
         return F.when((F.size(a) == 0) | ~F.arrays_overlap(a, b), 0.0).otherwise(brief * F.exp(logs / n))
 
-    # Within a lambda both lists are worked out once.
-    return F.element_at(F.transform(F.array(F.struct(candidate.alias("a"), reference.alias("b"))), score), 1)
+    return text.once({"a": candidate, "b": reference}, score)
 
 
 def fulltext_score(bm25: Column, exact: Column, rank: Column, kind: Column) -> Column:

@@ -109,18 +109,43 @@ def set_f1(a: Column, b: Column) -> Column:
     return F.when(both == 0, 0.0).otherwise(2 * both / (F.size(x) + F.size(y)))
 
 
+def once(fields: dict[str, Column], of) -> Column:
+    """``of(row)`` of a row with these fields, each worked out once however often ``of`` names it."""
+    return F.element_at(F.transform(F.array(F.struct(*[c.alias(k) for k, c in fields.items()])), of), 1)
+
+
 def multiset_common(a: Column, b: Column) -> Column:
-    """The size of the intersection of two token lists as multisets."""
-    times = lambda list_, t: F.size(F.filter(list_, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(times(a, t), times(b, t)))
+    """The size of the intersection of two token lists as multisets: a walk along both, sorted into one list."""
+    tagged = lambda list_, side: F.transform(list_, lambda x: F.struct(x.alias("x"), F.lit(side).alias("side")))
+    both = F.sort_array(F.concat(tagged(a, 0), tagged(b, 1)))
+    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+
+    def step(s: Column, t: Column) -> Column:
+        same, left = s["x"].eqNullSafe(t["x"]), t["side"] == 0
+        count = lambda old, here: F.when(same, old).otherwise(0) + F.when(here, 1).otherwise(0)
+        return F.struct(t["x"].alias("x"), count(s["a"], left).alias("a"), count(s["b"], ~left).alias("b"), (s["n"] + F.when(same, 0).otherwise(F.least(s["a"], s["b"]))).alias("n"))
+
+    return F.aggregate(both, start, step, lambda s: s["n"] + F.least(s["a"], s["b"]))
+
+
+def _f1(common: Column, p: Column, r: Column) -> Column:
+    return F.when(common == 0, 0.0).otherwise(2 * (common / F.size(p)) * (common / F.size(r)) / (common / F.size(p) + common / F.size(r)))
+
+
+def answer_tokens(c: Column) -> Column:
+    """The words of a normalised answer."""
+    return F.filter(F.split(normalize_answer(c), " "), lambda t: t != "")
+
+
+def f1_of_tokens(p: Column, r: Column) -> Column:
+    """Multiset F1 of two token lists."""
+    lists = once({"p": p, "r": r}, lambda x: F.struct(x["p"].alias("p"), x["r"].alias("r"), multiset_common(x["p"], x["r"]).alias("common")))
+    return once({"x": lists}, lambda y: _f1(y["x"]["common"], y["x"]["p"], y["x"]["r"]))
 
 
 def token_f1(prediction: Column, reference: Column) -> Column:
     """Multiset token F1 of normalised answers, without stemming."""
-    split = lambda c: F.filter(F.split(normalize_answer(c), " "), lambda t: t != "")
-    p, r = split(prediction), split(reference)
-    common = multiset_common(p, r)
-    return F.when(common == 0, 0.0).otherwise(2 * (common / F.size(p)) * (common / F.size(r)) / (common / F.size(p) + common / F.size(r)))
+    return f1_of_tokens(answer_tokens(prediction), answer_tokens(reference))
 
 
 def score_answer(prediction: Column, reference: Column, category: Column) -> Column:
@@ -129,8 +154,9 @@ def score_answer(prediction: Column, reference: Column, category: Column) -> Col
     for phrase in ABSTENTIONS:
         hit = F.lower(prediction).contains(phrase)
         refused = hit if refused is None else refused | hit
-    parts = F.transform(F.split(reference, ","), lambda r: F.array_max(F.transform(F.split(prediction, ","), lambda p: token_f1(F.trim(p), F.trim(r)))))
-    mean = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)
+    parts = lambda c: F.transform(F.split(c, ","), lambda x: answer_tokens(F.trim(x)))
+    best = once({"p": parts(prediction), "r": parts(reference)}, lambda x: F.transform(x["r"], lambda r: F.array_max(F.transform(x["p"], lambda p: F.when(F.arrays_overlap(p, r), f1_of_tokens(p, r)).otherwise(0.0)))))
+    mean = F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(F.split(reference, ","))
     return F.when(category.isin(2, 3, 4), token_f1(prediction, reference)).when(category == 1, mean).when((category == 5) & refused, 1.0).otherwise(0.0)
 
 
@@ -232,22 +258,29 @@ def stems(a: pd.Series) -> pd.Series:
     return a.map(lambda xs: None if xs is None else [_stem(x) for x in xs])
 
 
+def common_subsequence(x, y) -> int:
+    """The length of the longest common subsequence, with a bit for each token of ``x`` and one addition for each of ``y``."""
+    places: dict = {}
+    for i, t in enumerate(x):
+        places[t] = places.get(t, 0) | 1 << i
+    row = full = (1 << len(x)) - 1
+    for t in y:
+        if at := places.get(t):
+            met = row & at
+            row = (row + met | row - met) & full
+    return len(x) - row.bit_count()
+
+
 @F.pandas_udf(T.DoubleType())
 def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
-    """F of the longest common subsequence of two token lists."""
+    """F of the longest common subsequence of two token lists; 0 if either is null or empty."""
 
     def f(x, y):
         if x is None or y is None or not len(x) or not len(y):
             return 0.0
-        row = [0] * (len(y) + 1)
-        for t in x:
-            last = 0
-            for j, u in enumerate(y, 1):
-                last, row[j] = row[j], last + 1 if t == u else max(row[j], row[j - 1])
-        common = row[-1]
-        return 0.0 if not common else 2 * common / (len(x) + len(y))
-
-    return pd.Series([f(x, y) for x, y in zip(a, b)])
+        return 2 * common_subsequence(x, y) / (len(x) + len(y))
+
+    return pd.Series([f(x, y) for x, y in zip(a, b)], dtype=float)
 
 
 def window_split(size: int = 1000, overlap: int = 100):

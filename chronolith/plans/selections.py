@@ -178,8 +178,14 @@ def sequence_similarity(s, d):
 def stemmed_f1(s, d):
     """Token F1 on Porter stems."""
     p = _pairs(s, d).select("id", *[text.stems(F.filter(F.split(text.normalize_answer(F.col(c)), " "), lambda t: t != "")).alias(c) for c in "ab"])
-    common = text.multiset_common(F.col("a"), F.col("b"))
-    return p.select("id", F.when(common == 0, 0.0).otherwise(2 * common / (F.size("a") + F.size("b"))).alias("f1"))
+    return p.select("id", text.f1_of_tokens(F.col("a"), F.col("b")).alias("f1"))
+
+
+@query()
+def rouge_l(s, d):
+    """F of the longest common subsequence of whole neighbouring turns."""
+    words = lambda c: F.filter(F.split(F.lower(F.col(c)), r"\s+"), lambda t: t != "")
+    return _pairs(s, d).select("id", F.round(text.rouge_l(words("a"), words("b")), 6).alias("rouge"))
 
 
 @query()

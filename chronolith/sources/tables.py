@@ -47,12 +47,11 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     built = {"L1": F.lit(True), "L2": F.col("o_custkey") % 7 != 0, "L3": F.day("d") % 7 != 0, "L4": F.day(week) % 7 != 0, "L5": F.lit(True)}
     parent = {"L1": "L2", "L2": "L3", "L3": "L4"}
-    out = None
-    for level, (name, period) in names.items():
-        up = names[parent[level]][0] if level in parent else (F.concat(F.lit("m:"), F.trunc(week, "month").cast("string")) if level == "L4" else F.lit(None).cast("string"))
-        rows = o.where(built[level]).select(name.alias("id"), F.lit(level).alias("level"), period.alias("period"), up.alias("parent")).distinct()
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    up = {level: names[parent[level]][0] if level in parent else F.lit(None).cast("string") for level in names}
+    up["L4"] = F.concat(F.lit("m:"), F.trunc(week, "month").cast("string"))
+    # One scan: each order names its node of every level, and the nodes are told apart once.
+    rows = F.array_compact(F.array(*[F.when(built[x], F.struct(names[x][0].alias("id"), F.lit(x).alias("level"), names[x][1].alias("period"), up[x].alias("parent"))) for x in names]))
+    return o.select(F.explode(rows).alias("n")).select("n.*").distinct()
 
 
 SQL = {
@@ -60,8 +59,8 @@ SQL = {
   CASE WHEN event_type IN ('click', 'view') THEN 'preference' WHEN event_type = 'error' THEN 'fact' ELSE 'event' END AS type,
   'user_' || CAST(user_id AS VARCHAR) AS speaker, CAST(ts AS DATE) AS source_date FROM events)""",
     "t": "t AS (SELECT conv_id AS session, turn, role AS speaker, text, CAST(DATE '2024-01-01' + CAST(conv_id AS INT) AS DATE) AS date FROM conversations)",
-    "l": """o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, CAST(date_trunc('week', o_orderdate) AS DATE) AS w, CAST(date_trunc('month', o_orderdate) AS DATE) AS mo FROM orders),
-l AS (SELECT DISTINCT 'o' || CAST(o_orderkey AS VARCHAR) AS id, 'L1' AS level, d AS period, 's:' || CAST(o_custkey AS VARCHAR) || ':' || CAST(d AS VARCHAR) AS parent FROM o
+    "l": """o AS MATERIALIZED (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, CAST(date_trunc('week', o_orderdate) AS DATE) AS w, CAST(date_trunc('month', o_orderdate) AS DATE) AS mo FROM orders),
+l AS MATERIALIZED (SELECT DISTINCT 'o' || CAST(o_orderkey AS VARCHAR) AS id, 'L1' AS level, d AS period, 's:' || CAST(o_custkey AS VARCHAR) || ':' || CAST(d AS VARCHAR) AS parent FROM o
  UNION ALL SELECT DISTINCT 's:' || CAST(o_custkey AS VARCHAR) || ':' || CAST(d AS VARCHAR), 'L2', d, 'd:' || CAST(d AS VARCHAR) FROM o WHERE o_custkey % 7 <> 0
  UNION ALL SELECT DISTINCT 'd:' || CAST(d AS VARCHAR), 'L3', d, 'w:' || CAST(w AS VARCHAR) FROM o WHERE day(d) % 7 <> 0
  UNION ALL SELECT DISTINCT 'w:' || CAST(w AS VARCHAR), 'L4', w, 'm:' || CAST(CAST(date_trunc('month', w) AS DATE) AS VARCHAR) FROM o WHERE day(w) % 7 <> 0
