@@ -23,6 +23,7 @@ import hashlib
 import json
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .text_arrays import chunks
 
 FOLDER, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs that may be known to every task; segments and bytes of segments that a task remembers.
-MOST, REMEMBERED, REMEMBERED_BYTES = 1 << 20, 1 << 17, 1 << 24
+MOST, REMEMBERED, REMEMBERED_BYTES = 1 << 20, 1 << 18, 1 << 24
 #: An id pair as one number.
 BITS = 24
 
@@ -48,13 +49,16 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """The bytes of each id, one after the other."""
+    """The bytes of each id, one after the other, and its digits."""
 
     def __init__(self, tokens: list[bytes]):
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.names = [str(i) for i in range(len(tokens))]
+        names = np.char.add(np.arange(len(tokens)).astype("S10"), b" ")  # room for what follows an id
+        self.digits = names.view(np.uint8).reshape(len(tokens), -1)
+        self.digits = self.digits[:, : int((self.digits > 0).sum(1).max(initial=1))]
+        self.n_digits = (self.digits > 0x20).sum(1)
 
     def joined(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The bytes of a row of ids whose tokens end at ``ends``."""
@@ -62,25 +66,31 @@ class Vocabulary:
         return self.bytes[np.repeat(self.start[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
+#: The pattern of pre-tokens that goes with byte-level vocabularies (a fixed value).
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
+
 class Pair:
-    """Both tokenizers."""
+    """Both tokenizers.
+
+    A's vocabulary is read from its own file and merged by rank, which is what its list of merges says as long
+    as each merge is what lower ranks leave of its token; the tests hold the ids against the other library's.
+    """
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        letters, vocabulary = _byte_letters(), self.a.get_vocab(with_added_tokens=True)
-        entries: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
         with open(a_path, encoding="utf-8") as f:
             spec = json.load(f)
-        added = {t["id"] for t in spec.get("added_tokens", [])}
-        if spec["normalizer"] or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": spec["pre_tokenizer"].get("trim_offsets"), "use_regex": True}:
-            raise ValueError("the first tokenizer must split at blanks before bytes, and only so")
-        for token, i in vocabulary.items():
-            entries[i] = token.encode() if i in added else bytes(letters[c] for c in token)
+        if spec["normalizer"] or spec["model"]["type"] != "BPE" or not spec["pre_tokenizer"].items() >= {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items():
+            raise ValueError("the first tokenizer must be a byte-level BPE that splits at blanks before bytes")
+        letters, added = _byte_letters(), {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        entries: list[bytes] = [b""] * (max([*ranks.values(), *added.values()]) + 1)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
+            entries[i] = token
         self.va = Vocabulary(entries)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
@@ -88,10 +98,24 @@ class Pair:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece of the second tokenizer holds a blank behind another character")
 
-    def encode(self, segments: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of both for segments that start with a blank."""
+    def encode(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A's ids, how many of each segment, B's ids, how many) for segments that start with a blank."""
         texts = [s.decode("utf-8", "replace") for s in segments]
-        return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
+        # Segments behind which a text may be cut are encoded in one go, then the others.
+        whole = np.array([0x20 < s[-1] < 0x7F for s in segments], bool)
+        together = "".join([t for t, w in zip(texts, whole.tolist()) if w])
+        first = self.a.encode_to_numpy(together, allowed_special=set(), disallowed_special=()).astype(np.int64) if together else np.zeros(0, np.int64)
+        size = np.array([len(t.encode()) for t in texts], np.int64)
+        upto = np.searchsorted(np.cumsum(self.va.size[first]), np.cumsum(size[whole]), side="right")
+        n_a = np.zeros(len(texts), np.int64)
+        n_a[whole] = np.diff(upto, prepend=0)
+        rest = [self.a.encode_ordinary(t) for t, w in zip(texts, whole.tolist()) if not w]
+        n_a[~whole] = [len(x) for x in rest]
+        ids_a = np.empty(int(n_a.sum()), np.int64)
+        of_whole = np.repeat(whole, n_a)
+        ids_a[of_whole], ids_a[~of_whole] = first, np.fromiter(chain.from_iterable(rest), np.int64)
+        found = self.b.encode([t[1:] for t in texts], num_threads=1)
+        return ids_a, n_a, np.fromiter(chain.from_iterable(found), np.int64), np.fromiter(map(len, found), np.int64, len(found))
 
 
 @lru_cache(maxsize=2)
@@ -111,10 +135,8 @@ class Aligned:
     """Alignments of different segments, in rows: numbers of tokens, groups and links, and the links' pairs one segment after the other."""
 
     def __init__(self, pair: Pair, segments: list[bytes], groups: bool):
-        a, b = pair.encode(segments)
-        size = np.array([len(s) for s in segments], np.int64)
-        na, nb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-        ia, ib = (np.array([i for x in ids for i in x], np.int64) for ids in (a, b))
+        ia, na, ib, nb = pair.encode(segments)
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
         la, lb = pair.va.size[ia], pair.vb.size[ib]
         owner = np.arange(len(segments))
         of_a, of_b = np.repeat(owner, na), np.repeat(owner, nb)
@@ -139,13 +161,29 @@ class Aligned:
         self.n_a, self.n_b, self.n_links, self.n_groups = (np.where(self.good, count(x), 0) for x in (of_a, of_b, of, of[shared]))
         self.groups = self._groups(pair, ia, ib, at_a[shared] + 1, at_b[shared] + 1, of[shared]) if groups else None
 
-    def _groups(self, pair: Pair, ia, ib, to_a, to_b, of) -> list[str]:
-        names_a, names_b = [pair.va.names[i] for i in ia.tolist()], [pair.vb.names[i] for i in ib.tolist()]
-        out, a, b = [[] for _ in self.good], 0, 0
-        for i, x, y in zip(of.tolist(), to_a.tolist(), to_b.tolist()):
-            out[i].append((names_a[a] if x == a + 1 else ",".join(names_a[a:x])) + "|" + (names_b[b] if y == b + 1 else ",".join(names_b[b:y])))
-            a, b = x, y
-        return [";".join(x) for x in out]
+    def _groups(self, pair: Pair, ia, ib, to_a, to_b, of) -> list[bytes]:
+        """The groups of each segment as digits: A's ids, a bar, B's ids, a semicolon before the next group."""
+        each_a, each_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        number = np.arange(len(of))
+        # A token stands behind all tokens of earlier groups, B's behind A's of the same group.
+        at_a = np.arange(len(ia)) + np.repeat(to_b - each_b, each_a)
+        at_b = np.arange(len(ib)) + np.repeat(to_a, each_b)
+        wide = max(pair.va.digits.shape[1], pair.vb.digits.shape[1])
+        cells, size = np.zeros((len(ia) + len(ib), wide), np.uint8), np.empty(len(ia) + len(ib), np.int64)
+        for at, ids, v in ((at_a, ia, pair.va), (at_b, ib, pair.vb)):
+            cells[at, : v.digits.shape[1]] = v.digits[ids]
+            size[at] = v.n_digits[ids]
+        behind = np.full(len(size), 0x2C, np.uint8)
+        behind[to_a + (to_b - each_b) - 1] = 0x7C
+        behind[to_a + to_b - 1] = 0x3B
+        cells[np.arange(len(size)), size] = behind
+        text = cells[cells > 0].tobytes()
+        ends = np.cumsum(size + 1)[to_a + to_b - 1] if len(of) else number
+        last = np.append(of[1:] != of[:-1], True) if len(of) else np.zeros(0, bool)
+        out, begin = [b""] * len(self.good), 0
+        for i, end in zip(of[last].tolist(), ends[last].tolist()):
+            out[i], begin = text[begin : end - 1], end
+        return out
 
 
 class Known:
@@ -285,7 +323,7 @@ def alignment_report(documents: DataFrame, *, id_col: str = "doc_id", text_col:
                 good = known.columns[0][numbers]
                 names, bounds = known.groups, first.tolist()
                 listed = numbers.tolist()
-                digest = [hashlib.sha256(";".join([names[i] for i in listed[x:y]]).encode()).hexdigest() if x < y and good[x] else "" for x, y in zip(bounds, bounds[1:])]
+                digest = [hashlib.sha256(b";".join([names[i] for i in listed[x:y]])).hexdigest() if x < y and good[x] else "" for x, y in zip(bounds, bounds[1:])]
                 if each[-1].any():
                     some = numbers[scores[2][numbers] > 0]
                     places = known.links_of(some)
@@ -319,7 +357,7 @@ def align_tokens(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
         for batch in batches:
             ids = batch.column(0)
             for row, end, numbers, first in segmented(batch.column(1), known):
-                texts = [";".join(known.groups[i] for i in numbers[x:y] if known.columns[0][i]) for x, y in zip(first, first[1:])]
+                texts = [b";".join([known.groups[i] for i in numbers[x:y].tolist() if known.columns[0][i]]).decode() for x, y in zip(first, first[1:])]
                 yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), pa.array(texts, pa.string())], ["id", "groups"])
                 if known.full():
                     known.forget()
