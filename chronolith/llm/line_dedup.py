@@ -40,7 +40,9 @@ def _lines(documents: DataFrame, id_col: str, text_col: str, min_length: int) ->
     """(id, t1, t2, pos, h1, h2) of every line whose key is long enough."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = documents.select(F.col(id_col).alias("id"), text.alias("text"))
-    rows = rows.select("id", *_marks(F.col("text")), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.octet_length("line") >= min_length)
+    # The marks before the explosion, else they are worked out again for each line.
+    rows = rows.select("id", *_marks(F.col("text")), F.split("text", "\n").alias("lines"))
+    rows = rows.select("id", "t1", "t2", F.posexplode("lines").alias("pos", "line")).where(F.octet_length("line") >= min_length)
     rows = rows.select("id", "t1", "t2", "pos", normalised(F.btrim("line", F.lit(BLANK))).alias("key")).where(F.char_length("key") >= min_length)
     return rows.select("id", "t1", "t2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
@@ -89,9 +91,10 @@ def line_report(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All rows with all their columns, the texts without the lines that go."""
-    rows = _kept(_with_gone(documents, id_col=id_col, text_col=text_col, **options), text_col)
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.col("_kept"))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in documents.columns])
+    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*documents.columns).alias("_row"))
+    rows = _kept(_with_gone(rows, id_col="_id", text_col="_text", **options), "_text")
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.col("_kept"))
+    return rows.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in documents.columns])
 
 
 ORACLE_SQL = f"""
