@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 LEVELS = ("L1", "L2", "L3", "L4", "L5")
 
 
@@ -105,3 +107,66 @@ def historical(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each edge (id, earlier_id) with the content and date of the earlier node."""
     earlier = nodes.select(F.col("id").alias("earlier_id"), F.col("content").alias("earlier"), F.col("source_date").alias("earlier_date"))
     return edges.join(earlier, "earlier_id").select("id", "earlier", "earlier_date")
+
+
+def _digest(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, hash): a hash of each key's distinct rows of ``columns``, added up in the scanning tasks in whatever order."""
+    bits = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns], F.lit("")), 256)
+    part = lambda i: F.sum(F.conv(F.substring(bits, i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    distinct = rows.select(*keys, *columns).distinct()
+    return distinct.groupBy(*keys).agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), part(1), part(16)), 256).alias("hash"))
+
+
+def _periods(layers: list[tuple[str, Column, list[str]]], rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select("*", *[period.alias(f"_{name}") for name, period, _ in layers])
+
+
+def rollup(rows: DataFrame, keys: list[str], layers: list[tuple[str, Column, list[str]]], source: list[str]) -> dict[str, DataFrame]:
+    """For each layer (name, period, what its summary keeps): (keys, period, parent, built_from, hash).
+
+    ``built_from`` of the lowest layer is a hash of its rows' ``source`` columns, above it one of the hashes of the periods below; ``hash`` is
+    that of the distinct rows of what the layer's summary keeps.
+    """
+    rows = _periods(layers, rows, keys)
+    out, below = {}, None
+    for i, (name, _, kept) in enumerate(layers):
+        here = [*keys, f"_{name}"]
+        built_from = _digest(rows, here, source) if below is None else _digest(below.select(*keys, F.col("parent").alias(f"_{name}"), "period", "hash"), here, ["period", "hash"])
+        up = f"_{layers[i + 1][0]}" if i + 1 < len(layers) else None
+        parent = rows.groupBy(*here).agg((F.min(up) if up else F.lit(None).cast("string")).alias("parent"))
+        both = _digest(rows, here, kept).join(built_from.withColumnRenamed("hash", "built_from"), here).join(parent, here)
+        out[name] = below = settled(both.select(*keys, F.col(f"_{name}").alias("period"), "parent", "built_from", "hash"))
+    return out
+
+
+def gated_cascade(rows: DataFrame, touched: DataFrame, stored: dict[str, DataFrame], keys: list[str], layers: list[tuple[str, Column, list[str]]], source: list[str]) -> DataFrame:
+    """(keys, layer, period): the periods to build anew after rows were added, lower layers first by number.
+
+    ``touched`` (keys, period) names the lowest layer's periods of the new rows and ``stored`` what ``rollup`` gave at the last build.  A
+    period whose sources hash as they did stays; one that differs is built, and only if its summary's hash changes is the
+    period above it looked at: a hash of the stored hashes below it, the new ones in place of the old.  Rows are
+    read for the periods that are built and no others, and a layer without a change ends the climb.  Each layer's few rows are written
+    to the shared folder before the next one is looked at.
+    """
+    rows = _periods(layers, rows, keys)
+    out, changed = None, None
+    for i, (name, _, kept) in enumerate(layers):
+        here, old = [*keys, "period"], stored[name]
+        named = rows.withColumn("period", F.col(f"_{name}"))
+        if changed is None:
+            now = _digest(named.join(touched.select(*here).distinct(), here, "left_semi"), here, source)
+        else:
+            above = changed.select(*keys, "parent").distinct()
+            kin = stored[layers[i - 1][0]].join(above, [*keys, "parent"], "left_semi").join(changed.select(*here), here, "left_anti")
+            every = kin.select(*here, "parent", "hash").unionByName(changed.select(*here, "parent", "hash"))
+            now = _digest(every.select(*keys, F.col("parent").alias("above"), "period", "hash"), [*keys, "above"], ["period", "hash"]).withColumnRenamed("above", "period")
+        before = old.select(*here, "built_from", F.col("hash").alias("old_hash"))
+        dirty = settled(now.withColumnRenamed("hash", "now_from").join(before, here, "left").where(~F.col("now_from").eqNullSafe(F.col("built_from"))).select(*here))
+        if dirty.isEmpty():
+            break
+        out = dirty.select(*keys, F.lit(i + 1).alias("layer"), "period") if out is None else out.unionByName(dirty.select(*keys, F.lit(i + 1).alias("layer"), "period"))
+        if i + 1 < len(layers):
+            read = named.join(dirty, here, "left_semi")
+            built = _digest(read, here, kept).join(read.groupBy(*here).agg(F.min(f"_{layers[i + 1][0]}").alias("parent")), here)
+            changed = settled(built.join(before.select(*here, "old_hash"), here, "left").where(~F.col("hash").eqNullSafe(F.col("old_hash"))).select(*here, "parent", "hash"))
+    return out if out is not None else touched.select(*keys, F.lit(1).alias("layer"), "period").limit(0)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection, timeline
+
 
 def phases(rows: DataFrame, keys: list[str], end: Column) -> DataFrame:
     """(keys, n, value, start, stop): each key's phases of one value by (source_date, id), numbered from 1."""
@@ -16,12 +18,29 @@ def phases(rows: DataFrame, keys: list[str], end: Column) -> DataFrame:
     return starts.select(*keys, F.row_number().over(w).cast("int").alias("n"), F.col("content").alias("value"), F.col("source_date").alias("start"), F.coalesce(F.date_sub(nxt, 1), end).alias("stop"))
 
 
+def phase_evidence(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, value, evidence): each phase that a later one doesn't take over on its first day, with the number of its days before the next.
+
+    Phases are numbered by a running sum over the records themselves.
+    """
+    w = Window.partitionBy(*keys).orderBy("source_date", "id")
+    new = (F.row_number().over(w) == 1) | ~F.col("content").eqNullSafe(F.lag("content").over(w))
+    numbered = rows.withColumn("_new", new).withColumn("n", F.sum(F.col("_new").cast("int")).over(w).cast("int"))
+    per = numbered.groupBy(*keys, "n").agg(F.min_by("content", F.struct("source_date", "id")).alias("value"), F.countDistinct("source_date").alias("days"), F.min("source_date").alias("start"), F.max("source_date").alias("last"))
+    taken = F.coalesce(F.lead("start").over(Window.partitionBy(*keys).orderBy("n")) == F.col("last"), F.lit(False)).cast("long")
+    return per.withColumn("evidence", F.col("days") - taken).where("evidence > 0").select(*keys, "n", "value", "evidence")
+
+
 def nearest_mentions(asked: DataFrame, mentions: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
-    """(id, day, near): the ``k`` mention days nearest to each question's day, none behind it (ties: the earlier)."""
-    m = mentions.select(*keys, F.col("day").alias("near")).distinct()
-    both = asked.join(m, keys).where(F.col("near") <= F.col("day"))
-    w = Window.partitionBy("id").orderBy(F.abs(F.datediff("day", "near")), "near")
-    return both.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).select("id", "day", "near")
+    """(id, day, near): the ``k`` mention days nearest to each question's day, none behind it.
+
+    Each mention day carries the ones before it, and a question takes those of the last day up to its own.
+    """
+    w = Window.partitionBy(*keys).orderBy("day")
+    m = mentions.select(*keys, "day").distinct()
+    days = F.array_compact(F.array("day", *[F.lag("day", i).over(w) for i in range(1, k)]))
+    found = timeline.as_of(asked, m.withColumns({"near": days, "tie": F.lit(0)}), keys, "day", "day", ["near"], "tie")
+    return found.select("id", "day", F.explode("as_of_near").alias("near"))
 
 
 def change_questions(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,9 +63,9 @@ def shift_or_exception(found: DataFrame, keys: list[str], days: int) -> DataFram
 
 
 def at_viewpoint(questions: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
-    """Each question (id, keys, viewpoint) with the value that held on its viewpoint day; none if nothing was known."""
-    s = states.select(*keys, F.col("start"), F.col("stop"), "value")
-    return questions.join(s, keys).where(F.col("viewpoint").between(F.col("start"), F.col("stop"))).select("id", "viewpoint", "value")
+    """Each question (id, keys, viewpoint) with the value of the last phase (n, value, start, stop) that began by its viewpoint day, if it still held; none if nothing was known."""
+    found = timeline.as_of(questions, states.select(*keys, "start", "stop", "value", "n"), keys, "viewpoint", "start", ["stop", "value"], "n")
+    return found.where(F.col("viewpoint") <= F.col("as_of_stop")).select("id", "viewpoint", F.col("as_of_value").alias("value"))
 
 
 def introduced(questions: DataFrame, probes: DataFrame) -> DataFrame:
@@ -80,7 +99,8 @@ def rule_violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def diverse_pick(items: DataFrame, group: str, k: int, traits: list[str]) -> DataFrame:
     """``k`` picks of each group: each time the item whose traits were picked least often, in the order of ``traits``, then the least id.
 
-    Sequential by nature, so each group (stated small: one pool of questions) goes to one Python call.
+    Items of one combination of traits are alike but for their ids, so that only its first ``k`` can be picked; these go to one
+    Python call for each group, combinations x k rows however many it has.
     """
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
@@ -96,14 +116,22 @@ def diverse_pick(items: DataFrame, group: str, k: int, traits: list[str]) -> Dat
         return pd.DataFrame(chosen, columns=[group, "id", "pick"])
 
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-    return items.select(group, "id", *traits).groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, id {kinds['id']}, pick long")
+    few = selection.first_of_each(items.select(group, "id", *traits), [group, *traits], k, "id")
+    return few.groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, id {kinds['id']}, pick long")
 
 
 def daily_question(days: DataFrame, pool: DataFrame, seed: str) -> DataFrame:
-    """For each day (user, day) one of the user's questions (user, id, available) that can be asked by then, drawn by a hash of user, day and id."""
-    draw = F.sha2(F.concat_ws("|", F.lit(seed), "user", F.col("day").cast("string"), F.col("id").cast("string")), 256)
-    both = days.join(pool, "user").where(F.col("available") < F.col("day"))
-    return both.groupBy("user", "day").agg(F.min_by("id", F.struct(draw.alias("draw"), F.col("id"))).alias("id"))
+    """For each day (user, day) one of the user's questions (user, id, available) that can be asked by then.
+
+    The pool is numbered by (available, id); a hash of user and day, modulo the number of questions available before the day,
+    draws one of these numbers, so that no day is paired with its whole pool.
+    """
+    both = pool.select("user", F.col("available").alias("at"), F.lit(1).alias("side"), "id").unionByName(days.select("user", F.col("day").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(pool.schema["id"].dataType).alias("id")))
+    number = F.sum("side").over(Window.partitionBy("user").orderBy("at", "side", "id").rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("number", number)
+    draw = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "user", F.col("at").cast("string")), 256), 1, 12), 16, 10).cast("long")
+    drawn = both.where("side = 0 and number > 0").select("user", F.col("at").alias("day"), (F.pmod(draw, F.col("number")) + 1).alias("number"))
+    return drawn.join(both.where("side = 1").select("user", "number", "id"), ["user", "number"]).select("user", "day", "id")
 
 
 def barrier_states(months: DataFrame) -> DataFrame:

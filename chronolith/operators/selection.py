@@ -68,43 +68,65 @@ def first_per_type(rows: DataFrame, excluded: DataFrame, key: str, kind: str, n:
     return rest.withColumn("_n", F.row_number().over(Window.partitionBy(kind).orderBy(key))).where(F.col("_n") <= n).drop("_n")
 
 
+def first_of_each(items: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
+    """The first ``n`` rows of each combination of ``keys``; each task passes on no more than that many of one combination."""
+    return items.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
 def greedy_sample(items: DataFrame, group: str, n: int, decay: float = 0.5, cap: float = 0.4) -> DataFrame:
     """Weighted greedy picks in each group: a pick's stratum loses weight, an answer may fill ``cap`` of the picks.
 
-    Where only capped answers are left, all that remain are open again.
-    Sequential by nature, so each group (stated small: one user's candidates) goes to one Python call.
+    Where only capped answers are left, all that remain are open again.  Of the rows of one stratum and answer none is
+    picked before a heavier one (ties: the least id), so only the first ``n`` of each can be picked; and
+    of one stratum only its first rows can be, as many as the picks and ``n`` for each answer that may be full.
+    What is left, at most strata x n x (1 + n / cap) rows of a group however many it has, goes to one Python call.
     """
+    full = max(1, int(cap * n))
+    order = (F.desc("weight"), "id")
+    few = first_of_each(items, [group, "stratum", "answer"], n, *order)
+    few = first_of_each(few, [group, "stratum"], n + n * (n // full), *order)
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id").reset_index(drop=True)
         answer, weight, chosen, answers = g["answer"].to_numpy(), g["weight"].to_numpy(float).copy(), [], {}
-        while len(chosen) < min(n, len(g)):
-            rest = [i for i in range(len(g)) if i not in chosen]
-            open_ = [i for i in rest if answers.get(answer[i], 0) < max(1, int(cap * n))] or rest
+        stratum, left = g["stratum"].to_numpy(), list(range(len(g)))
+        while left and len(chosen) < n:
+            open_ = [i for i in left if answers.get(answer[i], 0) < full] or left
             best = max(open_, key=lambda i: (weight[i], -i))
             chosen.append(best)
+            left.remove(best)
             answers[answer[best]] = answers.get(answer[best], 0) + 1
-            weight[(g["stratum"] == g["stratum"][best]).to_numpy()] *= decay
+            weight[stratum == stratum[best]] *= decay
         return g.loc[chosen].assign(pick=range(1, len(chosen) + 1))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
-    return items.groupBy(group).applyInPandas(pick, f"{fields}, pick long")
+    return few.groupBy(group).applyInPandas(pick, f"{fields}, pick long")
 
 
 def diversified(hits: DataFrame, group: str, k: int, relevance: float = 0.7) -> DataFrame:
-    """Maximal marginal relevance among each query's few hits (id, score, tokens): relevance against likeness to what is chosen."""
+    """Maximal marginal relevance among each query's hits (id, score, tokens): relevance against likeness to what is chosen.
+
+    Likeness lies between 0 and 1, so that a hit whose score is below the k-th best by more than the whole
+    penalty is never chosen; hits above that go to one Python call for each query.
+    """
+    best = first_of_each(hits.select(group, "id", "score"), [group], k, F.desc("score"), "id").groupBy(group).agg(F.min("score").alias("_least"))
+    near = hits.join(best, group).where(F.col("score") >= F.col("_least") - (1 - relevance) / relevance - 1e-9).drop("_least")
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        sets, chosen = [set(t) for t in g["tokens"]], []
+        sets, score, chosen = [set(t) for t in g["tokens"]], g["score"].to_numpy(float), []
         like = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
-        while len(chosen) < min(k, len(g)):
-            rest = [i for i in range(len(g)) if i not in chosen]
-            chosen.append(max(rest, key=lambda i: (relevance * g["score"][i] - (1 - relevance) * max([like(sets[i], sets[j]) for j in chosen], default=0.0), -i)))
+        left, likest = list(range(len(g))), [0.0] * len(g)
+        while left and len(chosen) < k:
+            best = max(left, key=lambda i: (relevance * score[i] - (1 - relevance) * likest[i], -i))
+            chosen.append(best)
+            left.remove(best)
+            for i in left:
+                likest[i] = max(likest[i], like(sets[i], sets[best]))
         return g.loc[chosen, [group, "id", "score"]].assign(rank=range(1, len(chosen) + 1))
 
     kinds = {f.name: f.dataType.simpleString() for f in hits.schema}
-    return hits.groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, id {kinds['id']}, score double, rank long")
+    return near.groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, id {kinds['id']}, score double, rank long")
 
 
 def level_then_session(hits: DataFrame, n: int) -> DataFrame:
@@ -157,33 +179,51 @@ def expanded_hits(hits: DataFrame, index: DataFrame, reach: int, budget: int) ->
     return near.withColumn("running", F.sum("size").over(w)).where(F.col("running") <= budget).select("hit", "id", "running")
 
 
-def change_dates(observed: DataFrame, first: int, last: int, values: list[str], cycle_days: int = 7) -> DataFrame:
-    """Start days (and rotations) of a weekly alternation that agree with every observation (day, value)."""
-    starts = observed.sparkSession.range(first, last + 1).select(F.col("id").alias("start"))
-    candidates = starts.withColumn("rotation", F.explode(F.sequence(F.lit(0), F.lit(len(values) - 1))))  # (last - first + 1) * values
-    at = F.pmod(F.floor((F.col("day") - F.col("start")) / cycle_days) + F.col("rotation"), F.lit(len(values)))
-    value = F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
-    judged = observed.where(F.col("day").isNotNull()).crossJoin(F.broadcast(candidates)).where("day >= start")  # candidates: bounded by the lag window
-    return judged.groupBy("start", "rotation").agg(F.bool_and(value == F.col("value")).alias("ok"), F.count(F.lit(1)).alias("n")).where("ok").select("start", "rotation", "n")
+def change_dates(observed: DataFrame, first: int, last: int, values: list[str], cycle_days: int = 7, keys: list[str] = (), before: bool = False) -> DataFrame:
+    """(keys, start, rotation, n): start days from ``first`` to ``last``, and rotations, of an alternation that agree with every observation.
+
+    ``observed`` (keys, day, value): from the start on, ``values`` take turns of ``cycle_days`` days, beginning with that of the rotation's
+    number; with ``before`` the key's first value held up to it.  ``n`` counts the observations from the start on, one at least.
+
+    What an observation rules out depends on its day within a whole turn of all values and on its value alone, so of each such pair
+    only the latest day counts (it rules out starts up to itself), and of each value the earliest.
+    These are gathered in the scanning tasks, and each start and rotation is judged by them, without pairing.
+    """
+    if not keys:
+        return change_dates(observed.withColumn("_all", F.lit(0)), first, last, values, cycle_days, ["_all"], before).drop("_all")
+    turn = cycle_days * len(values)
+    place = F.array_position(F.array(*map(F.lit, values)), F.col("value")).cast("int") - 1  # -1: none of the values
+    rows = observed.where(F.col("day").isNotNull() & F.col("value").isNotNull())
+    cells = rows.groupBy(*keys, F.pmod(F.col("day"), F.lit(turn)).alias("at"), "value", place.alias("j")).agg(F.max("day").alias("latest"), F.min("day").alias("earliest"))
+    per = cells.groupBy(*keys).agg(F.collect_list(F.struct("at", "j", "latest", "value", "earliest")).alias("cells"), F.min_by("value", F.struct("earliest", "value")).alias("old"))
+    # Observations of each day that can be a start, and of all later ones.
+    days = rows.groupBy(*keys, F.least(F.greatest(F.col("day"), F.lit(first - 1)), F.lit(last + 1)).alias("d")).agg(F.count(F.lit(1)).alias("c"))
+    per = per.join(days.groupBy(*keys).agg(F.collect_list(F.struct("d", "c")).alias("days")), keys)
+    other = F.array_min(F.transform(F.filter("cells", lambda c: c["value"] != F.col("old")), lambda c: c["earliest"]))
+    upto = per.withColumn("until", F.least(F.lit(last), F.coalesce(other, F.lit(last))) if before else F.lit(last)).where(F.col("until") >= first)
+    starts = upto.withColumn("start", F.explode(F.sequence(F.lit(first), F.col("until").cast("int")))).withColumn("rotation", F.explode(F.sequence(F.lit(0), F.lit(len(values) - 1))))
+    wanted = lambda at: F.pmod(F.floor(F.pmod(at - F.col("start"), F.lit(turn)) / cycle_days) + F.col("rotation"), F.lit(len(values)))
+    agrees = F.forall("cells", lambda c: (c["latest"] < F.col("start")) | (c["j"] == wanted(c["at"])))
+    n = F.aggregate(F.filter("days", lambda x: x["d"] >= F.col("start")), F.lit(0).cast("long"), lambda s, x: s + x["c"])
+    return starts.where(agrees).select(*keys, "start", "rotation", n.alias("n")).where("n > 0")
 
 
 def scheduled(statements: DataFrame, sessions: DataFrame, cap: int) -> DataFrame:
     """Each user's statements (user, id, effective_day) dealt to session days (user, day) on or after them, at most ``cap`` a day.
 
-    A day that is full passes its statement on to the next; sequential, so each user goes to one Python call.
+    A day that is full passes its statement on to the next.  A user's sessions hold ``cap`` numbered slots each.  In order of day and
+    id a statement takes the first free slot from its own first one on, so that the i-th stands in slot i plus the greatest of
+    (own first slot - number) up to it: a running maximum, in one window over statements and sessions.
     """
-
-    def deal(s: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        room = {x: cap for x in sorted(d["day"])}
-        out = []
-        for r in s.sort_values(["effective_day", "id"]).itertuples():
-            day = next((x for x in room if x >= r.effective_day and room[x]), None)
-            if day is not None:
-                room[day] -= 1
-            out.append((r.user, r.id, day))
-        return pd.DataFrame(out, columns=["user", "id", "stated_day"]).astype({"stated_day": "Int64"})
-
-    return statements.groupBy("user").cogroup(sessions.groupBy("user")).applyInPandas(deal, "user string, id long, stated_day long")
+    days = sessions.select("user", "day").distinct()
+    both = statements.select("user", "id", F.col("effective_day").alias("day"), F.lit(0).alias("side")).unionByName(days.select("user", F.lit(None).cast("long").alias("id"), "day", F.lit(1).alias("side")))
+    w = Window.partitionBy("user").orderBy("day", "side", "id")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = both.withColumns({"number": F.sum(1 - F.col("side")).over(so_far) - 1, "before": F.sum("side").over(so_far)})
+    slots = numbered.withColumn("free", F.max(F.when(F.col("side") == 0, F.col("before") * cap - F.col("number"))).over(so_far))
+    taken = slots.where("side = 0").select("user", "id", F.floor((F.col("number") + F.col("free")) / cap).alias("session"))
+    named = slots.where("side = 1").select("user", (F.col("before") - 1).alias("session"), F.col("day").alias("stated_day"))
+    return taken.join(named, ["user", "session"], "left").select("user", "id", "stated_day")
 
 
 def paths(edges: DataFrame, start, end, depth: int, limit: int = 10) -> DataFrame:

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 
 def widened(value: str, end: bool = False) -> str:
     """A partial date (YYYY, YYYY-MM) as its first or last day."""
@@ -256,7 +258,7 @@ def registry(references: dict[str, DataFrame]) -> DataFrame:
 def ranked(rows: DataFrame, score: Column, tie: Column) -> DataFrame:
     """(id, rank) over all rows without bringing them together: rows are ranged by ``score``, then ``tie``, and each range counts on from those before."""
     parts = rows.repartitionByRange(score, tie).sortWithinPartitions(score, tie).select("id", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
-    held = parts.checkpoint() if parts.sparkSession.sparkContext.getCheckpointDir() else parts.persist()
+    held = settled(parts)  # ranges are sampled, so that a lost executor must not range anew
     place = F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33) + 1
     sizes = held.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_b"))  # a row for each range

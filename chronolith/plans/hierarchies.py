@@ -236,6 +236,30 @@ def dirty_periods(s, d):
     return metrics.dirty_periods(metrics.source_hash(m, *args), metrics.source_hash(m.where("source_date <> DATE '2024-01-17'"), *args))
 
 
+GATED = """, f AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY id) AS k, CAST(substr(speaker, 6) AS BIGINT) % 3 AS u FROM m)
+, a AS (SELECT -id AS id, CASE WHEN u = 1 THEN 'v9' ELSE content END AS content, CASE WHEN u = 2 THEN 'hobby' ELSE entity END AS entity, CASE WHEN u = 2 THEN 'habit' ELSE type END AS type, speaker, source_date FROM f WHERE k = 1)
+, p AS (SELECT *, date_trunc('week', source_date) AS w, date_trunc('month', date_trunc('week', source_date)) AS mo, year(date_trunc('week', source_date)) AS y FROM a)
+, q AS (SELECT *, date_trunc('week', source_date) AS w, date_trunc('month', date_trunc('week', source_date)) AS mo, year(date_trunc('week', source_date)) AS y FROM m)
+, wk AS (SELECT p.* FROM p ANTI JOIN q ON p.speaker = q.speaker AND p.w = q.w AND p.entity = q.entity AND p.content = q.content)
+, mn AS (SELECT wk.* FROM wk ANTI JOIN q ON wk.speaker = q.speaker AND wk.mo = q.mo AND wk.entity = q.entity)
+, yr AS (SELECT mn.* FROM mn ANTI JOIN q ON mn.speaker = q.speaker AND mn.y = q.y AND mn.type = q.type)
+SELECT speaker, 1 AS layer, strftime(w, '%Y-%m-%d') AS period FROM p UNION SELECT speaker, 2, strftime(mo, '%Y-%m') FROM wk UNION SELECT speaker, 3, CAST(y AS VARCHAR) FROM mn UNION SELECT speaker, 4, 'lifetime' FROM yr"""
+
+
+@query(sql(GATED, "m"))
+def gated_cascade(s, d):
+    """One row more of each speaker: a repetition stops at its week, a new value at the month, a new kind of record reaches the lifetime."""
+    m = memories(s, d)
+    week = dates.week_start(F.col("source_date")).cast("date")
+    layers = [("week", week.cast("string"), ["entity", "content"]), ("month", F.date_format(week, "yyyy-MM"), ["entity"]), ("year", F.date_format(week, "yyyy"), ["type"]), ("lifetime", F.lit("lifetime"), ["type"])]
+    source = ["source_date", "id", "entity", "content"]
+    first = m.groupBy("speaker").agg(F.min_by(F.struct("id", "content", "entity", "type", "source_date"), "id").alias("r")).select("speaker", "r.*")
+    third = F.substring("speaker", 6, 20).cast("long") % 3
+    more = first.select((-F.col("id")).alias("id"), F.when(third == 1, "v9").otherwise(F.col("content")).alias("content"), F.when(third == 2, "hobby").otherwise(F.col("entity")).alias("entity"), F.when(third == 2, "habit").otherwise(F.col("type")).alias("type"), "speaker", "source_date")
+    touched = more.select("speaker", week.cast("string").alias("period"))
+    return hierarchy.gated_cascade(m.unionByName(more), touched, hierarchy.rollup(m, ["speaker"], layers, source), ["speaker"], layers, source)
+
+
 @query(sql(", e AS (SELECT id, CASE WHEN id % 3 = 0 THEN id - 3 END AS cause FROM m WHERE id % 2 = 0) SELECT id FROM e a WHERE NOT (cause IS NOT NULL AND EXISTS (SELECT 1 FROM e p WHERE p.id = a.cause)) AND NOT EXISTS (SELECT 1 FROM e c WHERE c.cause = a.id)", "m"))
 def standalone_events(s, d):
     e = memories(s, d).where("id % 2 = 0").select("id", F.when(F.col("id") % 3 == 0, F.col("id") - 3).alias("cause"))

@@ -35,9 +35,7 @@ def nearest_mentions(s, d):
 @query(sql(FOUND + "SELECT speaker, entity, n, value, count(DISTINCT source_date) AS evidence FROM ph JOIN (SELECT speaker, entity, content, source_date FROM m) e USING (speaker, entity) WHERE source_date BETWEEN start AND stop AND content = value GROUP BY ALL", "m"))
 def recall_questions(s, d):
     """What the value was in each phase, with the number of days that give evidence."""
-    e = memories(s, d).select(*KEYS, "content", "source_date")
-    both = _phases(s, d).join(e, KEYS).where(F.col("source_date").between(F.col("start"), F.col("stop")) & (F.col("content") == F.col("value")))
-    return both.groupBy(*KEYS, "n", "value").agg(F.countDistinct("source_date").alias("evidence"))
+    return questions.phase_evidence(memories(s, d), KEYS)
 
 
 @query(sql(FOUND + "SELECT speaker, entity, n, old, value AS new, start AS changed_on FROM (SELECT *, lag(value) OVER (PARTITION BY speaker, entity ORDER BY n) AS old FROM ph) WHERE n > 1", "m"))
@@ -90,7 +88,8 @@ def monthly_probes(s, d):
     return questions.probe_budget(found, 200)
 
 
-@query(sql(", q AS (SELECT speaker AS \"user\", source_date AS day, id FROM m), x AS (SELECT a.\"user\", a.day, b.id, sha256('7|' || a.\"user\" || '|' || CAST(a.day AS VARCHAR) || '|' || CAST(b.id AS VARCHAR)) AS h FROM (SELECT DISTINCT \"user\", day FROM q) a JOIN q b ON a.\"user\" = b.\"user\" AND b.day < a.day) SELECT \"user\", day, arg_min(id, h) AS id FROM x GROUP BY ALL", "m"))
+@query(sql(""", q AS (SELECT speaker AS "user", source_date AS day, id, row_number() OVER (PARTITION BY speaker ORDER BY source_date, id) AS n FROM m), d AS (SELECT "user", day, (SELECT count(*) FROM q b WHERE b."user" = a."user" AND b.day < a.day) AS size FROM (SELECT DISTINCT "user", day FROM q) a)
+SELECT d."user", d.day, q.id FROM d JOIN q ON q."user" = d."user" AND q.n = 1 + CAST(('0x' || substr(sha256('7|' || d."user" || '|' || CAST(d.day AS VARCHAR)), 1, 12)) AS HUGEINT) % d.size WHERE size > 0""", "m"))
 def daily_question(s, d):
     m = memories(s, d).select(F.col("speaker").alias("user"), F.col("source_date").alias("day"), "id")
     return questions.daily_question(m.select("user", "day").distinct(), m.select("user", "id", F.col("day").alias("available")), "7")

@@ -200,7 +200,13 @@ def diverse_rerank(s, d):
     return selection.diversified(e, "query", 3)
 
 
-@query()
+SLOTS = """, st AS (SELECT speaker AS u, id, CAST(source_date - DATE '2024-01-01' AS BIGINT) AS e FROM m WHERE entity = 'error'), se AS (SELECT u, day, row_number() OVER (PARTITION BY u ORDER BY day) - 1 AS k FROM (SELECT DISTINCT speaker AS u, CAST(source_date - DATE '2024-01-01' AS BIGINT) AS day FROM m WHERE entity = 'signup'))
+, n AS (SELECT u, id, row_number() OVER (PARTITION BY u ORDER BY e, id) - 1 AS i, 2 * (SELECT count(*) FROM se WHERE se.u = st.u AND se.day < st.e) AS s FROM st)
+, f AS (SELECT u, id, i + max(s - i) OVER (PARTITION BY u ORDER BY i) AS slot FROM n)
+SELECT f.u AS "user", f.id, se.day AS stated_day FROM f LEFT JOIN se ON se.u = f.u AND se.k = f.slot // 2"""
+
+
+@query(sql(SLOTS, "m"))
 def capped_schedule(s, d):
     m = memories(s, d)
     start = F.lit("2024-01-01").cast("date")
@@ -210,3 +216,14 @@ def capped_schedule(s, d):
     return selection.scheduled(statements, sessions, 2)
 
 
+STARTS = """, o AS (SELECT speaker, entity, CAST(source_date - DATE '2024-01-01' AS INT) AS day, content, list_position(['v0', 'v1', 'v2'], content) - 1 AS j FROM m)
+, old AS (SELECT speaker, entity, arg_min(content, (day, content)) AS old FROM o GROUP BY ALL), c AS (SELECT s.s, r.r FROM range(3, 25) s(s), range(3) r(r))
+SELECT speaker, entity, CAST(s AS INT) AS start, CAST(r AS INT) AS rotation, count(*) FILTER (WHERE day >= s) AS n FROM o JOIN old USING (speaker, entity), c GROUP BY speaker, entity, s, r
+HAVING bool_and(CASE WHEN day >= s THEN j = (((day - s) // 7) + r) % 3 ELSE content = old END) AND count(*) FILTER (WHERE day >= s) > 0"""
+
+
+@query(sql(STARTS, "m"))
+def change_dates(s, d):
+    """For each speaker and entity the days on which, and the rotations with which, a weekly alternation may have begun."""
+    o = memories(s, d).select(*KEYS, F.datediff("source_date", F.lit("2024-01-01").cast("date")).alias("day"), F.col("content").alias("value"))
+    return selection.change_dates(o, 3, 24, ["v0", "v1", "v2"], keys=KEYS, before=True)
