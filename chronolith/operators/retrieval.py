@@ -29,6 +29,38 @@ def bm25(docs: DataFrame, query: list[str], k1: float = 1.5, b: float = 0.75) ->
     return found.crossJoin(F.broadcast(figures)).select("id", score.alias("score"))  # figures: one row
 
 
+def cover_density(w: Column, terms: list[str], weight: float = 0.1) -> Column:
+    """Cover density of a list of words: each smallest span that holds every term adds ``weight`` over one more than its other words; 0 without any.
+
+    One sweep over the positional postings: the last place of each term is kept, and a span that ends here begins at the least of them.
+    """
+    n = len(terms)
+    term_of = lambda x: F.array_position(F.array(*map(F.lit, terms)), x).cast("int")
+    postings = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("pos"), term_of(x).alias("t"))), lambda p: p["t"] > 0)
+    none = F.array(*[F.lit(-1)] * n)
+    start = F.struct(none.alias("last"), none.alias("at"), F.lit(0).alias("k"), F.lit(-1).alias("begin"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, p: Column) -> Column:
+        put = lambda name, v: F.transform(s[name], lambda x, i: F.when(i == p["t"] - 1, v).otherwise(x))
+        last, at = put("last", p["pos"]), put("at", s["k"])
+        begin = F.array_min(last)
+        held = s["k"] - F.array_min(at) + 1  # postings in the span
+        fresh = begin > s["begin"]  # every term has a place, and the span that ended before doesn't lie in this one
+        others = p["pos"] - begin + 1 - held
+        return F.struct(last.alias("last"), at.alias("at"), (s["k"] + 1).alias("k"), F.when(fresh, begin).otherwise(s["begin"]).alias("begin"), (s["sum"] + F.when(fresh, F.lit(weight) / (1 + others)).otherwise(0.0)).alias("sum"))
+
+    return F.aggregate(postings, start, step, lambda s: s["sum"])
+
+
+def bm25_fixed(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, average: float = 100.0) -> DataFrame:
+    """(id, score) of documents that hold every term: cover density in place of a count, no idf and a fixed average length."""
+    terms = sorted({t.lower() for t in terms})
+    d = docs.select("id", words(F.col("text")).alias("w"))
+    d = d.where(F.size(F.array_intersect(F.array(*map(F.lit, terms)), "w")) == len(terms))
+    d = d.select("id", F.size("w").alias("dl"), cover_density(F.col("w"), terms).alias("tf"))
+    return d.select("id", (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 + b * (F.col("dl") / average - 1)))).alias("score"))
+
+
 def fts_and(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Documents that hold every term."""
     wanted = sorted({t.lower() for t in terms})

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import hierarchy, metrics, timeline
+from ..operators import hierarchy, metrics, retrieval, timeline
 from ..sources.tables import levels, memories, sql, table, turns
 from .registry import query
 from .texts import LETTERS, WORD_LIST, STOP, E, _texts, _pairs
@@ -95,12 +95,12 @@ def distinguishing_day(s, d):
     return memories(s, d).withColumn("before", F.lag("content").over(w)).where("before <> content").groupBy(*KEYS).agg(F.min("source_date").alias("first_change"))
 
 
-@query(sql(E + f", w AS (SELECT id, {WORD_LIST} AS w FROM e), f AS (SELECT id, len(w) AS dl, len(list_filter(w, lambda x: x = 'the')) AS tf FROM w) SELECT id, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / 100.0)), 6) AS score FROM f WHERE tf > 0", "t"))
+@query(sql(E + f""", w AS (SELECT id, {WORD_LIST} AS w FROM e), p AS (SELECT id, len(w) AS dl, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), h AS (SELECT * FROM p WHERE x IN ('the', 'and'))
+, c AS (SELECT id, dl, x, i, lag(x) OVER v AS y, lag(i) OVER v AS j FROM h WINDOW v AS (PARTITION BY id ORDER BY i)), f AS (SELECT id, dl, sum(0.1 / (i - j)) AS tf FROM c WHERE x <> y GROUP BY ALL)
+SELECT id, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / 100.0)), 6) AS score FROM f""", "t"))
 def bm25_fixed_length(s, d):
-    """The store function's form: no idf, k1 1.2, an average length of 100; cover density is taken as the term's count."""
-    w = _texts(s, d).select("id", text.words(F.col("text")).alias("w"))
-    f = w.select("id", F.size("w").alias("dl"), F.size(F.filter("w", lambda x: x == F.lit("the"))).alias("tf")).where("tf > 0")
-    return f.select("id", F.round(F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / 100.0)), 6).alias("score"))
+    """The store function's form: cover density of all terms, no idf, k1 1.2, an average length of 100."""
+    return retrieval.bm25_fixed(_texts(s, d), ["the", "and"]).select("id", F.round("score", 6).alias("score"))
 
 
 @query(sql("SELECT speaker, count(*) AS visible, max(source_date) AS latest FROM m WHERE source_date <= DATE '2024-01-15' GROUP BY speaker", "m"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import retrieval, timeline
+from ..operators import consolidation, retrieval, timeline
 from ..sources.tables import memories, sql, table, turns
 from .registry import query
 
@@ -257,8 +257,7 @@ def consolidate(s, d):
     m = memories(s, d)
     canon = m.select("entity", F.col("content").alias("canon")).distinct()
     items = m.select("id", "entity", F.concat("content", F.lit(" of "), "entity").alias("content"))
-    scored = items.join(canon, "entity").withColumn("score", text.token_jaccard(F.col("content"), F.col("canon"))).where("score >= 0.75")
-    return timeline.top_k_per(scored, ["id"], 1, F.desc("score"), "canon").select("id", "entity", "canon")
+    return consolidation.consolidated(items, canon, ["entity"]).where("canon IS NOT NULL").select("id", "entity", "canon")
 
 
 @query(sql(E + ", x AS (SELECT id, text FROM e), y AS (SELECT id + 100 AS id, substr(text, 1, 12) AS want FROM e WHERE length(text) >= 12) SELECT id, contains(text, want) AS found FROM y JOIN x USING (id)", "t"))
