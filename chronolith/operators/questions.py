@@ -142,3 +142,94 @@ def barrier_states(months: DataFrame) -> DataFrame:
     last = months.groupBy("month").agg(F.max_by("event", F.struct("at", "event")).alias("event"))
     state = F.when(F.col("event") == "build_started", "building").when(F.col("event") == "build_ended", "evaluating").when(F.col("event") == "evaluated", "done").otherwise("idle")
     return last.select("month", state.alias("state"))
+
+
+def resume_plan(months: DataFrame, log: DataFrame) -> DataFrame:
+    """(user, month, action) where each user's run goes on: the first of its ``months`` (user, month) that the log doesn't end.
+
+    ``log`` (user, month, event, at) holds build_started, build_ended and evaluated.  A month whose build was broken off is rolled back and
+    built anew ('restore'), one that is built is evaluated, one that wasn't begun is built; an event of a month behind the first open one
+    is 'mismatch', and a user with no month left is 'done'.
+    """
+    last = log.groupBy("user", "month").agg(F.max_by("event", F.struct("at", "event")).alias("event"))
+    state = months.select("user", "month").distinct().join(last, ["user", "month"], "left")
+    open_ = F.when(F.coalesce(F.col("event"), F.lit("")) != "evaluated", F.struct("month", "event"))
+    per = state.groupBy("user").agg(F.min(open_).alias("at"), F.max("month").alias("final"), F.max(F.when(F.col("event").isNotNull(), F.col("month"))).alias("reached"))
+    action = (
+        F.when(F.col("at").isNull(), "done")
+        .when(F.col("reached") > F.col("at.month"), "mismatch")
+        .when(F.col("at.event") == "build_started", "restore")
+        .when(F.col("at.event") == "build_ended", "evaluate")
+        .otherwise("build")
+    )
+    return per.select("user", F.coalesce("at.month", "final").alias("month"), action.alias("action"))
+
+
+def rolled_back(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Stored rows (user, month, ..) without those of a month whose build was broken off."""
+    return rows.join(plan.where("action = 'restore'").select("user", "month"), ["user", "month"], "left_anti")
+
+
+# Families of questions.  ``found`` are phases (keys, n, value, start, stop) as ``phases`` gives them.
+
+
+def history_questions(found: DataFrame, keys: list[str], end: Column) -> DataFrame:
+    """How each key's value changed: its phases in order, as "value (start to stop)" with "now" for the last; keys that never changed have none."""
+    said = F.concat("value", F.lit(" ("), F.col("start").cast("string"), F.lit(" to "), F.when(F.col("stop") >= end, "now").otherwise(F.col("stop").cast("string")), F.lit(")"))
+    held = found.where("start <= stop")  # a phase that another one replaced on its first day held on none
+    parts = F.array_sort(F.collect_list(F.struct("n", said.alias("said"))))
+    return held.groupBy(*keys).agg(parts.alias("p"), F.count(F.lit(1)).alias("phases")).where("phases > 1").select(*keys, "phases", F.array_join(F.transform("p", lambda x: x["said"]), "; ").alias("answer"))
+
+
+def prediction_questions(found: DataFrame, keys: list[str], end: Column, horizon: int, cycle_days: int = 7) -> DataFrame:
+    """What the value will be on each of ``horizon`` days from ``end`` on, if the last two values go on taking turns of ``cycle_days`` days from the last phase's start.
+
+    A key with one value has a small answer space and is asked for the first two days only.
+    """
+    last = F.max_by(F.struct("value", "start"), "n").alias("l")
+    other = F.max_by("value", F.when(F.col("value") != F.col("_final"), F.col("n"))).alias("other")
+    final = found.groupBy(*keys).agg(last)
+    per = found.join(final.select(*keys, F.col("l.value").alias("_final"), F.col("l.start").alias("_start")), keys).groupBy(*keys, "_final", "_start").agg(other)
+    days = F.sequence(F.lit(0), F.when(F.col("other").isNull(), F.lit(min(2, horizon) - 1)).otherwise(F.lit(horizon - 1)))
+    asked = per.select(*keys, "_final", "_start", "other", F.explode(days).alias("ahead")).withColumn("day", F.date_add(end, F.col("ahead")))
+    turn = F.pmod(F.floor(F.datediff("day", "_start") / cycle_days), F.lit(2))
+    return asked.select(*keys, "day", F.when((turn == 1) & F.col("other").isNotNull(), F.col("other")).otherwise(F.col("_final")).alias("answer"))
+
+
+def pattern_questions(found: DataFrame, keys: list[str], least_days: int) -> DataFrame:
+    """What held in each phase of ``least_days`` days or more, asked at the middle of it, or "in" the first calendar month that lies in it whole."""
+    held = found.withColumn("days", F.datediff("stop", "start") + 1).where(F.col("days") >= least_days)
+    month = F.when(F.day("start") == 1, F.col("start")).otherwise(F.add_months(F.trunc("start", "month"), 1))
+    when = F.when(F.last_day(month) <= F.col("stop"), F.concat(F.lit("in "), F.date_format(month, "yyyy-MM"))).otherwise(F.concat(F.lit("around "), F.date_add("start", F.floor(F.datediff("stop", "start") / 2).cast("int")).cast("string")))
+    return held.select(*keys, "n", when.alias("asked"), F.col("value").alias("answer"))
+
+
+def event_questions(states: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, day, answer): how an event (states: keys, n, day, stated, status) stood between two of its states, and (n null) how it ended.
+
+    A state is asked for at the middle of its days, not before it was stated, if that is before the next state.
+    """
+    w = Window.partitionBy(*keys).orderBy("n")
+    nxt = F.lead("day").over(w)
+    middle = F.date_add("day", F.floor(F.datediff(nxt, F.col("day")) / 2).cast("int"))
+    asked = states.withColumns({"_next": nxt, "_middle": middle}).where(F.col("_middle") > F.col("day")).withColumn("_at", F.greatest("_middle", "stated")).where(F.col("_at") < F.col("_next"))
+    ended = states.groupBy(*keys).agg(F.max_by(F.struct("day", "status"), "n").alias("l")).select(*keys, F.lit(None).cast("int").alias("n"), F.col("l.day").alias("day"), F.col("l.status").alias("answer"))
+    return asked.select(*keys, F.col("n").cast("int"), F.col("_at").alias("day"), F.col("status").alias("answer")).unionByName(ended)
+
+
+def other_person_questions(current: DataFrame, relations: DataFrame) -> DataFrame:
+    """(user, entity, value, answer): whether the value of a relation (user, other) is the user's own, over current values (user, entity, value).
+
+    Another's value that isn't one's own is answered by no, one's own (the control) by yes.
+    """
+    theirs = relations.join(current.select(F.col("user").alias("other"), "entity", F.col("value").alias("asked")), "other")
+    both = theirs.join(current, ["user", "entity"])
+    no = both.where("asked <> value").select("user", "entity", F.col("asked").alias("value"), F.lit("no").alias("answer"))
+    yes = both.select("user", "entity", "value", F.lit("yes").alias("answer"))
+    return no.unionByName(yes).distinct()
+
+
+def abstention_questions(current: DataFrame, askable: list[str]) -> DataFrame:
+    """(user, entity, answer): entities of the stated list that a user never mentioned are 'not known'; those mentioned are the controls, with their value."""
+    every = current.select("user").distinct().select("user", F.explode(F.array(*map(F.lit, askable))).alias("entity"))
+    return every.join(current, ["user", "entity"], "left").select("user", "entity", F.coalesce("value", F.lit("not known")).alias("answer"))

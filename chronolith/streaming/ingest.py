@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import buckets
+
 
 def event_time(stream: DataFrame, column: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """The stream with a watermark; times without zone are taken as the session's."""
@@ -46,21 +48,23 @@ def ingest_batches(stream: DataFrame, path: str, checkpoint: str, key: str, payl
     """Appends each micro-batch's new keys to a parquet folder, once.
 
     Keys of earlier batches are left out, and with ``payload`` a key that comes with another one stops the
-    stream (``ConflictError``).  A batch that runs again doesn't see its own rows, and replaces them.
+    stream (``ConflictError``).  A batch that runs again doesn't see its own rows, and replaces them.  The folder is laid out by buckets of
+    keys, of which a batch reads those of its own keys alone; no file of an earlier batch is written again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         if payload and (odd := batch.groupBy(key).agg(F.min(payload).alias("a"), F.max(payload).alias("z")).where("a <> z").limit(3).collect()):
             raise ConflictError(f"several payloads under {key} {[r[0] for r in odd]}")
-        files = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
-            schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
-            earlier = spark.read.schema(schema).parquet(path).where(F.col("batch") < number)
+        if buckets.exists(spark, path):
+            schema = T.StructType([*batch.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+            some = buckets.touched(batch, [key])
+            earlier = spark.read.schema(schema).parquet(path).where(F.col("bucket").isin(some) & (F.col("batch") < number))
             if payload and (odd := conflicts(batch, earlier, key, payload).limit(3).collect()):
                 raise ConflictError(f"other payloads under {key} {[r[0] for r in odd]}")
             batch = batch.join(earlier.select(key), key, "left_anti").select(*batch.columns)
-        batch.dropDuplicates([key]).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        rows = batch.dropDuplicates([key]).withColumns({"bucket": buckets.bucket([key]), "batch": F.lit(number)})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
