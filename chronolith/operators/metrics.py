@@ -162,11 +162,18 @@ def source_hash(rows: DataFrame, period: Column, parts: list[str], order: list[s
 
 
 def token_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Sum, mean, median, least, most and sample deviation at every combination of the keys; a null key means all."""
-    v = F.col(value)
-    return rows.cube(*keys).agg(
-        F.sum(v).alias("total"), F.round(F.avg(v), 4).alias("mean"), F.median(v).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.stddev_samp(v), 4).alias("deviation")
-    )
+    """Sum, mean, median, least, most and sample deviation at every combination of the keys; a null key means all.
+
+    Each row is dealt to the combinations it belongs to, and the two middle values of each are found by ``values_at``,
+    so that no task holds a combination's values.
+    """
+    v, here = F.col(value), ["_set", *keys]
+    sets = F.array(*[F.struct(F.lit(i).alias("_set"), *[(F.col(k) if not i >> j & 1 else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for j, k in enumerate(keys)]) for i in range(1 << len(keys))])
+    dealt = rows.select(v, F.explode(sets).alias("_s")).select(value, "_s.*")
+    figures = dealt.groupBy(*here).agg(F.sum(v).alias("total"), F.round(F.avg(v), 4).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.stddev_samp(v), 4).alias("deviation"))
+    middle = values_at(dealt, here, value, {"_low": (0.5, lambda n: F.floor((n - 1) / 2)), "_high": (0.5, lambda n: F.floor(n / 2))}).withColumnsRenamed({k: f"_{k}" for k in here})
+    both = figures.join(middle, _same_keys(figures, middle, here), "left")
+    return both.select(*keys, "total", "mean", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "least", "most", "deviation")
 
 
 def fidelity(sessions: DataFrame) -> DataFrame:

@@ -85,8 +85,8 @@ def probe_budget(candidates: DataFrame, budget: int) -> DataFrame:
     left = F.lit(budget) - F.sum("s").over(Window.partitionBy())
     rank = F.row_number().over(Window.orderBy(F.desc(F.col("q") - F.col("s")), "probe"))  # a row for each month
     quota = share.withColumn("quota", F.least(F.col("c"), F.col("s") + F.when(rank <= left, 1).otherwise(0))).select("probe", "quota")
-    turn = candidates.withColumn("_t", F.row_number().over(Window.partitionBy("probe", "family").orderBy("id")))
-    placed = turn.withColumn("_n", F.row_number().over(Window.partitionBy("probe").orderBy("_t", "family", "id")))
+    turn = candidates.withColumn("_t", F.row_number().over(Window.partitionBy("probe", "family").orderBy("id"))).where(F.col("_t") <= budget)  # no probe gives more
+    placed = turn.withColumn("_n", F.row_number().over(Window.partitionBy("probe").orderBy("_t", "family", "id"))).where(F.col("_n") <= budget)
     return placed.join(F.broadcast(quota), "probe").where(F.col("_n") <= F.col("quota")).select("probe", "id")
 
 

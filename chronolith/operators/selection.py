@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+from . import metrics
+
 
 def of_pair(rows: DataFrame, a: str, b: str, first: str = "user_id", second: str = "expert_id") -> DataFrame:
     """Rows of a pair, whichever way round it stands."""
@@ -130,11 +133,18 @@ def diversified(hits: DataFrame, group: str, k: int, relevance: float = 0.7) ->
 
 
 def level_then_session(hits: DataFrame, n: int) -> DataFrame:
-    """Rounds of diversity: each level's best, then each session's best, then the best of the rest."""
+    """Rounds of diversity: each level's best, then each session's best, then the best of the rest.
+
+    The best of a level or session are found by an aggregate.  Of the rest only the best ``2 n`` hits can be wanted: where they hold fewer than ``n``
+    of it, the first rounds fill the result.
+    """
     order = [F.desc("score"), "id"]
-    first_level = F.row_number().over(Window.partitionBy("level").orderBy(*order)) == 1
-    first_session = F.row_number().over(Window.partitionBy("session").orderBy(*order)) == 1
-    return hits.withColumn("round", F.when(first_level, 1).when(first_session, 2).otherwise(3)).orderBy("round", *order).limit(n)
+    every = F.struct(*hits.columns)
+    best = lambda key: hits.groupBy(key).agg(F.max_by(every, F.struct("score", -F.col("id"))).alias("r")).select("r.*")
+    rounds = [df.orderBy(*order).limit(m).withColumn("round", F.lit(i)) for i, (df, m) in enumerate(((best("level"), n), (best("session"), 2 * n), (hits, 2 * n)), 1)]
+    found = rounds[0].unionByName(rounds[1]).unionByName(rounds[2])
+    one = found.groupBy("id").agg(F.min_by(F.struct(*hits.columns, "round"), "round").alias("r")).select("r.*")
+    return one.orderBy("round", *order).limit(n)
 
 
 def merged_by_id(rows: DataFrame) -> DataFrame:
@@ -237,6 +247,33 @@ def paths(edges: DataFrame, start, end, depth: int, limit: int = 10) -> DataFram
     return found.select("edges", F.size("edges").alias("hops")).orderBy("hops", "edges").limit(limit)
 
 
+def paths_between(edges: DataFrame, pairs: DataFrame, depth: int, limit: int = 10) -> DataFrame:
+    """(a, b, edges, hops): for each pair (a, b) its undirected paths of distinct edges (id, src, dst), at most ``depth`` long, the ``limit`` shortest.
+
+    Frontiers grow from both ends for half of the depth each and meet in the middle, for all pairs at once, so that no frontier is
+    longer than half a path; a path ends where it first comes to its end.
+    """
+    both = edges.select("id", "src", "dst").unionByName(edges.where("src <> dst").select("id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    asked = pairs.select("a", "b").where("a <> b").distinct()
+
+    def grown(start: str, steps: int) -> list[DataFrame]:
+        """By length: (a, b, at, edges) of walks from one end that don't come to ``b`` before they are over."""
+        out = [asked.select("a", "b", F.col(start).alias("at"), F.array().cast("array<long>").alias("edges"))]
+        for _ in range(steps):
+            front = out[-1].where(F.col("at") != F.col("b")) if start == "a" else out[-1]
+            step = front.join(both, F.col("at") == F.col("src")).where(~F.array_contains("edges", F.col("id")))
+            step = step.where(F.col("dst") != F.col("b")) if start == "b" else step
+            out.append(settled(step.select("a", "b", F.col("dst").alias("at"), (F.array_append("edges", F.col("id")) if start == "a" else F.array_prepend("edges", F.col("id"))).alias("edges"))))
+        return out
+
+    there, back, found = grown("a", -(-depth // 2)), grown("b", depth // 2), None
+    for hops in range(1, depth + 1):
+        left, right = there[-(-hops // 2)], back[hops // 2].withColumnRenamed("edges", "rest")
+        whole = left.join(right, ["a", "b", "at"]).where(~F.arrays_overlap("edges", "rest")).select("a", "b", F.concat("edges", "rest").alias("edges"), F.lit(hops).alias("hops"))
+        found = whole if found is None else found.unionByName(whole)
+    return first_of_each(found, ["a", "b"], limit, "hops", "edges")
+
+
 def related(rows: DataFrame, n: int = 3) -> DataFrame:
     """Each row's nearest others of its session by id, ``n`` at most (columns id, session)."""
     w = Window.partitionBy("session").orderBy("id")
@@ -255,10 +292,13 @@ def valid_hits(hits: DataFrame) -> DataFrame:
 
 
 def proportional(rows: DataFrame, key: str, share: float, order: Column) -> DataFrame:
-    """That share of each category's rows, rounded up, the first by ``order``."""
-    w = Window.partitionBy(key)
-    ranked = rows.withColumns({"_n": F.row_number().over(w.orderBy(order, "id")), "_c": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("_n") <= F.ceil(F.col("_c") * share)).drop("_n", "_c")
+    """That share of each category's rows, rounded up, the first by ``order``, a number below 2 ** 53 that hardly any two rows have in common.
+
+    The last number taken is found for each category without sorting it whole; rows that have it in common are all taken.
+    """
+    numbered = rows.withColumn("_o", order)
+    cuts = metrics.values_at(numbered, [key], "_o", {"_cut": (share, lambda n: F.ceil(n * share) - 1)})
+    return numbered.join(cuts, key).where(F.col("_o") <= F.col("_cut")).drop("_o", "_cut")  # cuts: a row for each category
 
 
 # For each retrieval strategy its layers, with the hits of the first and of the last ranking.

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import hierarchy, metrics, timeline
+from ..operators import hierarchy, metrics, selection, timeline
 from ..sources.tables import levels, memories, sql, table, turns
 from .registry import query
 
@@ -97,6 +97,21 @@ def hierarchy_reach(s, d):
     return hierarchy.reach(l.where("parent IS NOT NULL").select(F.col("id").alias("src"), F.col("parent").alias("dst")), l.where("level = 'L1'").select("id"), 3)
 
 
+BETWEEN = """, d AS (SELECT id AS a, lead(id) OVER (ORDER BY period) AS b FROM l WHERE level = 'L3'), u AS (SELECT c.id, p.id AS up, p.parent FROM l c JOIN l p ON p.id = c.parent WHERE c.level = 'L3')
+, x AS (SELECT id, id AS up, 0 AS hops FROM l WHERE level = 'L3' UNION ALL SELECT id, up, 1 FROM u UNION ALL SELECT u.id, l.id, 2 FROM u JOIN l ON l.id = u.parent)
+SELECT a, b, min(y.hops + z.hops) AS hops FROM d JOIN x y ON y.id = a JOIN x z ON z.id = b AND z.up = y.up WHERE a <> b GROUP BY a, b HAVING min(y.hops + z.hops) <= 4"""
+
+
+@query(sql(BETWEEN, "l"))
+def paths_between(s, d):
+    """How each day is connected with the next one through weeks and months, on a path of four edges at most."""
+    l = levels(s, d).where("level IN ('L3', 'L4', 'L5')")  # noqa: E741
+    edges = l.where("parent IS NOT NULL").join(l.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.xxhash64("id").alias("id"), F.col("id").alias("src"), F.col("parent").alias("dst"))
+    days = l.where("level = 'L3'").select("id", "period")  # a row for each day
+    pairs = days.withColumn("b", F.lead("id").over(Window.orderBy("period"))).select(F.col("id").alias("a"), "b").where("b IS NOT NULL")
+    return selection.paths_between(edges, pairs, 4).select("a", "b", F.col("hops").cast("int").alias("hops"))
+
+
 @query(sql(", k AS MATERIALIZED (SELECT id, level, period, parent FROM l), e AS (SELECT id, level, CASE WHEN length(id) % 5 = 0 AND level = 'L2' THEN 'm:' || strftime(period, '%Y-%m') || '-01' ELSE parent END AS parent FROM k) SELECT e.id, e.level, e.parent, p.level AS parent_level FROM (SELECT * FROM e WHERE parent IS NOT NULL) e JOIN k p ON p.id = e.parent WHERE CAST(substr(p.level, 2, 1) AS INT) <> CAST(substr(e.level, 2, 1) AS INT) + 1", "l"))
 def level_validity(s, d):
     l = levels(s, d)  # noqa: E741

@@ -196,7 +196,7 @@ def best_of_each(s, d):
 
 @query(sql("SELECT entity, id FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY sha256(CAST(id AS VARCHAR)), id) AS n, count(*) OVER (PARTITION BY entity) AS c FROM m) WHERE n <= ceil(c * 0.05)", "m"))
 def proportional_sample(s, d):
-    return selection.proportional(memories(s, d).select("entity", "id"), "entity", 0.05, F.sha2(F.col("id").cast("string"), 256))
+    return selection.proportional(memories(s, d).select("entity", "id"), "entity", 0.05, F.conv(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 13), 16, 10).cast("long"))
 
 
 @query(sql("SELECT id, entity FROM m WHERE entity IN ('click', 'signup')", "m"))

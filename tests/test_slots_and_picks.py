@@ -143,3 +143,29 @@ def test_common_subsequences_are_those_of_the_table():
                 last, row[j] = row[j], last + 1 if t == u else max(row[j], row[j - 1])
         assert text.common_subsequence(x, y) == row[-1]
     assert text.rouge_l.func(pd.Series([None, []]), pd.Series([["a"], ["a"]])).tolist() == [0.0, 0.0]
+
+
+def test_paths_meet_in_the_middle(spark):
+    """Against a search from one side, on a graph with circles, loops and double edges."""
+    r = random.Random(7)
+    edges = [(i, f"n{r.randrange(9)}", f"n{r.randrange(9)}") for i in range(16)] + [(90, "n0", "n1"), (91, "n0", "n1"), (92, "lone", "lone")]
+    frame = spark.createDataFrame(edges, "id long, src string, dst string")
+    pairs = [(f"n{i}", f"n{j}") for i in range(3) for j in range(4, 7)] + [("n0", "n1"), ("n1", "lone"), ("n2", "n2")]
+
+    def walks(a, b, depth):
+        out, front = [], [(a, ())]
+        for _ in range(depth):
+            new = []
+            for at, used in front:
+                for i, x, y in edges:
+                    for to in {y} if x == at and y == at else [y] if x == at else [x] if y == at else []:
+                        if i not in used:
+                            (out if to == b else new).append((to, (*used, i)))
+            front = new
+        return sorted((len(u), u) for _, u in out)
+
+    got = {}
+    for x in selection.paths_between(frame, spark.createDataFrame(pairs, "a string, b string"), 4, 10_000).collect():
+        got.setdefault((x.a, x.b), []).append((x.hops, tuple(x.edges)))
+    want = {(a, b): walks(a, b, 4) for a, b in pairs if a != b}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v} and len(got) > 5
