@@ -185,6 +185,11 @@ def split_sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "[.!?;]"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def split_any_sentences(c: Column) -> Column:
+    """Sentences by Latin and CJK ends (the ends are left out); blank ones count for nothing."""
+    return F.filter(F.transform(F.split(c, "[.!?;\u3002\uff01\uff1f\uff1b\n]"), lambda s: F.trim(s)), lambda s: s != "")
+
+
 def cjk_estimate(c: Column) -> Column:
     """Words: runs of Latin letters and digits, plus each CJK character."""
     return F.size(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9]+|[一-鿿]"), F.lit(0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settled
@@ -67,8 +67,9 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen.groupBy("start", "node").agg(F.min("hops").alias("hops")).where("hops > 0")
 
 
-def neighbours(edges: DataFrame, node, direction: str = "both") -> DataFrame:
-    """Distinct neighbours of a node over (src, dst)."""
+def neighbours(edges: DataFrame, node, direction: str = "both", kind: str | None = None) -> DataFrame:
+    """Distinct neighbours of a node over (src, dst), of one kind of edge if it is named."""
+    edges = edges.where(F.col("kind") == kind) if kind is not None else edges
     out = edges.where(F.col("src") == node).select(F.col("dst").alias("id"))
     into = edges.where(F.col("dst") == node).select(F.col("src").alias("id"))
     return {"out": out, "in": into, "both": out.unionByName(into)}[direction].distinct()
@@ -170,3 +171,16 @@ def gated_cascade(rows: DataFrame, touched: DataFrame, stored: dict[str, DataFra
             built = _digest(read, here, kept).join(read.groupBy(*here).agg(F.min(f"_{layers[i + 1][0]}").alias("parent")), here)
             changed = settled(built.join(before.select(*here, "old_hash"), here, "left").where(~F.col("hash").eqNullSafe(F.col("old_hash"))).select(*here, "parent", "hash"))
     return out if out is not None else touched.select(*keys, F.lit(1).alias("layer"), "period").limit(0)
+
+
+def capped_parents(hits: DataFrame, nodes: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """(query, level, id, first_rank): the nodes that ranked hits (query, rank, and for each level its ancestor's id) lead to, each once, by its first hit.
+
+    Of each level the first ``counts`` that exist are kept.
+    """
+    chain = F.array(*[F.struct(F.lit(level).alias("level"), F.col(level).alias("id")) for level in counts])
+    first = hits.select("query", "rank", F.explode(chain).alias("x")).select("query", "rank", "x.*").groupBy("query", "level", "id").agg(F.min("rank").alias("first_rank"))
+    found = first.join(nodes.select("level", "id"), ["level", "id"], "left_semi")
+    cap = F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("level"))
+    place = F.row_number().over(Window.partitionBy("query", "level").orderBy("first_rank", "id"))
+    return found.withColumn("_n", place).where(F.col("_n") <= max(counts.values())).where(F.col("_n") <= cap).select("query", "level", "id", "first_rank")

@@ -16,7 +16,9 @@ from ..sources.shared import settled
 
 
 def widened(value: str, end: bool = False) -> str:
-    """A partial date (YYYY, YYYY-MM) as its first or last day."""
+    """A partial date (YYYY, YYYY-MM) as its first or last day; anything but these and YYYY-MM-DD is refused."""
+    if not re.fullmatch(r"\d{4}(-\d{2}(-\d{2})?)?", value):
+        raise ValueError(f"{value!r} isn't a date")
     if re.fullmatch(r"\d{4}", value):
         return f"{value}-12-31" if end else f"{value}-01-01"
     if re.fullmatch(r"\d{4}-\d{2}", value):
@@ -263,3 +265,20 @@ def ranked(rows: DataFrame, score: Column, tie: Column) -> DataFrame:
     sizes = held.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_b"))  # a row for each range
     return held.join(F.broadcast(before), "_p").select("id", (place + F.col("_b")).alias("rank"))
+
+
+def period_steps(days: DataFrame, keys: list[str], day: str) -> DataFrame:
+    """Each key's days (distinct) with the one before: whether a new week and month begin, and how many days, weeks and months lie between (null for the first, which begins both)."""
+    before = F.lag(day).over(Window.partitionBy(*keys).orderBy(day))
+    week = lambda c: F.date_trunc("week", c).cast("date")
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    d, b = F.col(day), F.col("previous")
+    rows = days.select(*keys, day).distinct().withColumn("previous", before)
+    return rows.select(*keys, day, "previous", F.coalesce(week(d) != week(b), F.lit(True)).alias("new_week"), F.coalesce(month(d) != month(b), F.lit(True)).alias("new_month"), F.datediff(d, b).alias("days"), (F.datediff(week(d), week(b)) / 7).cast("int").alias("weeks"), (month(d) - month(b)).alias("months"))
+
+
+def sessions_of_periods(days: DataFrame, day: str) -> DataFrame:
+    """(day, in_day, in_week, in_month): how many sessions (a row each) lie in each day, and in its week and month."""
+    per = days.groupBy(day).agg(F.count(F.lit(1)).alias("in_day"))  # a row for each day
+    total = lambda period: F.sum("in_day").over(Window.partitionBy(period))
+    return per.select(day, "in_day", total(F.date_trunc("week", day)).alias("in_week"), total(F.date_trunc("month", day)).alias("in_month"))
