@@ -71,16 +71,20 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each one's rows written to the shared folder and read again.
 
-    A stage's rows are deleted when the next one's are written; those that the last stage reads stay, as its
-    rows aren't computed before they are asked for.
+    A stage's rows are deleted when the next one's are written, and all of them if a stage fails; those that the last stage
+    reads stay, as its rows aren't computed before they are asked for.
     """
     docs = _table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i + 1 == len(STAGES):
-            return out
-        out.write.parquet(f"{folder}/{i}_{name}")
-        docs = spark.read.parquet(f"{folder}/{i}_{name}")
-        if i:
-            _delete(spark, f"{folder}/{i - 1}_{STAGES[i - 1][0]}")
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            out = stage(spark, docs, sf_dir)
+            if i + 1 == len(STAGES):
+                return out
+            out.write.parquet(f"{folder}/{i}_{name}")
+            docs = spark.read.parquet(f"{folder}/{i}_{name}")
+            if i:
+                _delete(spark, f"{folder}/{i - 1}_{STAGES[i - 1][0]}")
+    except BaseException:
+        _delete(spark, folder)
+        raise
