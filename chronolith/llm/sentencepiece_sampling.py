@@ -19,7 +19,8 @@ Pieces don't reach over the start of a run of blanks, so that the lattice falls
 and what follows); backward sums are computed once for each distinct unit of a chunk of documents.
 
 Defined results: a null or empty text has one segmentation, the empty one (log_prob 0, inclusion 1);
-a text with fewer than ``k`` segmentations gives as many rows as it has; rows that repeat are sampled
+a text with fewer than ``k`` segmentations gives as many rows as it has (sets of paths of a share under 1e-13 count
+as empty, so that a text could give fewer: none of the 10,000 of sf0.1 does for k = 2); rows that repeat are sampled
 each, alike if their keys are; other columns are ignored. A text that holds U+2581 itself decodes with
 blanks in its place, as the library does it, and NUL bytes and blanks come back as they were.
 """

@@ -1,3 +1,5 @@
+import os
+
 import duckdb
 import pandas as pd
 import pytest
@@ -33,3 +35,28 @@ def test_pipeline_keeps_what_its_stages_keep(spark, tmp_path):
     want = sorted((r.doc_id, r.sample, r.ids) for r in out.collect())
     assert sorted((r.doc_id, r.sample, r.ids) for r in corpus_pipeline.run(spark, SF).collect()) == want
     assert {d for d, _, _ in want} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_removes_its_rows_when_a_stage_fails(spark, tmp_path, monkeypatch):
+    from chronolith.llm.components import shared_folder
+
+    def fails(spark, docs, sf_dir):
+        assert docs.count()
+        raise RuntimeError("stopped")
+
+    before = set(os.listdir(shared_folder(spark).removeprefix("file:")))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", lambda s, docs, d: docs), ("b", lambda s, docs, d: docs), ("c", fails)])
+    with pytest.raises(RuntimeError, match="stopped"):
+        corpus_pipeline.run(spark, SF)
+    assert not {x for x in set(os.listdir(shared_folder(spark).removeprefix("file:"))) - before if x.startswith("pipeline-")}
+
+
+def test_folders_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from chronolith.llm.components import shared_folder
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(getConf=lambda: unset, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=unset))
