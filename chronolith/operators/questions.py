@@ -233,3 +233,13 @@ def abstention_questions(current: DataFrame, askable: list[str]) -> DataFrame:
     """(user, entity, answer): entities of the stated list that a user never mentioned are 'not known'; those mentioned are the controls, with their value."""
     every = current.select("user").distinct().select("user", F.explode(F.array(*map(F.lit, askable))).alias("entity"))
     return every.join(current, ["user", "entity"], "left").select("user", "entity", F.coalesce("value", F.lit("not known")).alias("answer"))
+
+
+def retrospectives(asked: DataFrame, probes: int, first: int = 2, last: int = 6) -> DataFrame:
+    """(id, n, again): the later probe at which each question (id, n: its probe's number from 1) is asked once more, ``first`` to ``last`` probes on, drawn by a hash of its id.
+
+    Questions too near the last of the ``probes`` aren't asked again.
+    """
+    width = F.least(F.col("n") + last, F.lit(probes)) - (F.col("n") + first) + 1
+    draw = F.conv(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 12), 16, 10).cast("long")
+    return asked.where(width > 0).select("id", "n", (F.col("n") + first + F.pmod(draw, width)).cast("int").alias("again"))
