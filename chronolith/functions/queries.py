@@ -32,8 +32,15 @@ def time_entities(question: Column) -> Column:
     """Sorted distinct (start, text) of time phrases: years, dates in figures and words, days and spans named; start counts from 1."""
     month = "(?:january|february|march|april|may|june|july|august|september|october|november|december)"
     patterns = (r"\d{4}", r"\d{1,2}/\d{1,2}/\d{4}", r"\d{4}-\d{1,2}-\d{1,2}", rf"{month}\s+\d{{1,2}},?\s+\d{{4}}", rf"\d{{1,2}}\s+{month}\s+\d{{4}}", r"(?:today|yesterday|tomorrow|(?:last|next) (?:week|month|year))", r"\d+ (?:days?|weeks?|months?) ago")
-    found = F.flatten(F.array(*[F.regexp_extract_all(F.lower(question), F.lit(rf"\b{p}\b"), F.lit(0)) for p in patterns]))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.struct(F.position(x, F.lower(question)).alias("start"), x.alias("text")))))
+    q = F.lower(question)
+
+    def spans(p: str) -> Column:
+        """Each match with its place: behind the texts between the matches before it, and behind these."""
+        found, between = F.regexp_extract_all(q, F.lit(rf"\b{p}\b"), F.lit(0)), F.split(q, rf"\b{p}\b")
+        length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+        return F.transform(found, lambda x, i: F.struct((length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(found, F.lit(1), i)) + 1).alias("start"), x.alias("text")))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[spans(p) for p in patterns]))))
 
 
 def named_in(text: Column, name: Column) -> Column:
@@ -50,6 +57,7 @@ def expanded(terms: Column, synonyms: dict[str, list[str]]) -> Column:
     return F.array_distinct(F.concat(terms, F.flatten(F.transform(terms, lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>"))))))
 
 
+# The weight of each level's rows.
 LEVEL_WEIGHTS = {"L1": 1.0, "L2": 0.8, "L3": 0.3, "L4": 0.2, "L5": 0.15}
 
 

@@ -273,6 +273,7 @@ def events_by_parsed_date(s, d):
     return o.select("o_orderkey", "o_custkey", parsed.alias("day")).select("o_orderkey", "day", F.row_number().over(Window.partitionBy("o_custkey").orderBy("day", "o_orderkey")).alias("place"))
 
 
+# Prices of a million tokens (input, output).
 PRICES = {"small": (0.15, 0.6), "large": (2.5, 10.0)}
 
 

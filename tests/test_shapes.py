@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.functions import answers, dates, text
+from chronolith.functions import answers, dates, queries, text
 
 #: text, normalised, lowered first, spaced, set of words
 ANSWERS = [
@@ -72,3 +72,12 @@ def test_strict_checks(spark):
 @pytest.mark.parametrize("raw,repeated", [('{"a":1,"b":2}', False), ('{"a":1,"a":2}', True), ("[1]", None), ('{"a":{"b":1,"b":2}}', False), ("", None), ("{bad", None), (None, None), ("{}", False), ('{"a":1, "A":2}', False)])
 def test_repeated_keys(spark, raw, repeated):
     assert spark.createDataFrame([(raw,)], "t string").select(answers.has_repeated_keys(F.col("t"))).first()[0] is repeated
+
+
+def test_time_phrases_have_their_own_places(spark):
+    asked = "In 2024 or 2024? Last week, 2024-05-06 and again last week"
+    got = spark.createDataFrame([(asked,), ("",), (None,)], "q string").select(queries.time_entities(F.col("q")).alias("e")).collect()
+    found = [(x.start, x.text) for x in got[0].e]
+    assert all(asked.lower()[s - 1 : s - 1 + len(t)] == t for s, t in found) and len(set(found)) == len(found)
+    assert [s for s, t in found if t == "last week"] == [18, 50] and [s for s, t in found if t == "2024"] == [4, 12, 29]
+    assert got[1].e == [] and got[2].e is None
