@@ -318,6 +318,11 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return ((mix64(h) >> U64(11)).astype(float) + 0.5) / (1 << 53)
 
 
+def _single(u: np.ndarray) -> np.ndarray:
+    """``u`` in single precision and still below 1, to which one of 2 ** 25 would be rounded; an edge's share ends at 1."""
+    return np.minimum(u.astype(np.float32), np.nextafter(np.float32(1), np.float32(0)))
+
+
 def _cut_off(log_mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel values of location ``log_mass``, cut off at ``bound``."""
     with np.errstate(over="ignore", divide="ignore"):
@@ -330,7 +335,7 @@ def _walk(lat: Lattice, pos: np.ndarray, end: np.ndarray, key: np.ndarray, tag:
     key = _salted(key, salt) + tag.astype(U64) * U64(0xD6E8FEB86659FD93)
     got, now, to, key, step = [], pos[live], end[live], key[live], 0
     while len(live):
-        u = _uniform(key + U64(step)).astype(np.float32)
+        u = _single(_uniform(key + U64(step)))
         below = (lat.cum[now] <= u[:, None]).view(U64)
         pick = np.bitwise_count(below[:, 0]) + np.bitwise_count(below[:, 1]) if below.shape[1] == 2 else np.bitwise_count(below).sum(1)
         pick = np.minimum(pick.astype(np.int64) + 1, to - now)

@@ -103,6 +103,28 @@ def test_long_units_and_scratch_room(monkeypatch):
     assert found[0] == found[1] == found[2]
 
 
+@pytest.mark.parametrize("text", ["x" * 40, "zqxjkv"])
+def test_draws_that_round_to_one_stay_on_edges(text):
+    """Of 2 ** 25 draws one is 1 in single precision; this row's first draw is, and no piece is as long as the unit."""
+
+    def unmix(h):
+        for factor in (0xC4CEB9FE1A85EC53, 0xFF51AFD7ED558CCD):
+            h = (h ^ h >> 33) * pow(factor, -1, 1 << 64) % (1 << 64)
+        return h ^ h >> 33
+
+    seed, key = 1, unmix(unmix((1 << 64) - 1)) - 2 * 0x9E3779B97F4A7C15
+    key = np.array([(unmix(key % (1 << 64)) - seed) % (1 << 64)], np.uint64).view(np.int64)
+    raw, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    assert np.float32(sp._uniform(unmix((1 << 64) - 1) * np.ones(1, np.uint64))[0]) == 1
+    got = sp.sample_chunk(sp.lattice(sp.MODEL), raw, off, key, 2, seed)
+    share = dict((tuple(s), w) for s, w in _segmentations(sp.vocabulary(sp.MODEL), text)) if len(text) < 10 else {}
+    assert len(got) == 2
+    for _, _, ids, _, log_prob, _, exact in got:
+        assert exact.all() and np.isfinite(log_prob).all()
+        if share:
+            assert abs(share[tuple(ids.tolist())] - np.logaddexp.reduce(list(share.values())) - log_prob[0]) < 1e-8
+
+
 def test_sampling_table(spark):
     texts = corpus(n=20) + ["▁ marked", "tab\tnew\nline  two", "日本語 mixed"]
     docs = documents(spark, texts)
