@@ -19,9 +19,14 @@ Segments are equal if their anchors and both hashes are, 192 bits; windows are c
 A group of copies costs a row for each task and segment, not pairs, and candidates are
 different contents only.  Step 4 holds one anchor's different contents at a time, and they are bounded: an
 anchor with more than ``HOT_ROWS`` candidates (a passage that very many documents share, in surroundings that
-differ) is *hot*.  Its candidates go on as single windows, each under a hash of its whole content.  Equal ones are merged
-in each chunk before the shuffle, and in step 4 they stream past the earliest of them, compared with it
-byte by byte, so that neither a hot anchor nor a hot window is ever gathered.
+differ) is *hot*, and the more of a corpus' anchors are, the larger it is.  The candidates of a hot anchor go on in one of two forms.
+Equal rows of either are merged in each chunk before the shuffle, and no contents are ever gathered.
+
+* An operator with ``buckets`` cuts them in *buckets*, up to a few neighbouring windows, by the place of the anchor in the window,
+  each under a hash of the core that all windows of the bucket hold.  In step 4 the buckets of a core stream past it; the core is compared
+  by bytes, and a window is told by the few bytes of it outside of the core, of which the distinct ones are kept.
+* Else they go on as single windows, each under a hash of its whole content, and in step 4 stream past the earliest of
+  them, compared with it byte by byte.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ from xxhash import xxh3_128_digest
 from .components import cut
 from .text_arrays import CHUNK_BYTES, U64, byte_view, chunks
 
+#: Windows of a bucket, at most: what they hold outside of the core, and their place, are one number of 64 bits.
+BUCKET = 8
 #: Kinds of segments: known to repeat whole; with equal windows inside.
 WHOLE, INNER = 1, 2
 #: A run of windows with one anchor is cut after so many.
@@ -64,6 +71,10 @@ class Method:
     ``payload(bytes, offsets, documents, starts, numbers of windows)``: segments' contents, as an Arrow binary array.
     ``verify(contents, numbers of windows, documents, starts)``: one flag for each window of each segment in turn.
     ``within``: whether windows of one document repeat each other, too.
+    ``buckets(contents, numbers of windows, anchors)``: segments' buckets: the core's name, the segment, the first window in it, the number
+    of windows, the first one's place in the bucket, and contents.  Only for ``within``.
+    ``cores(bytes, offsets, places)``: a row of units for each bucket, its core.
+    ``codes(bytes, offsets, numbers of windows, places)``: for each window of each bucket in turn a number; windows are equal if cores and numbers are.
     """
 
     anchors: Callable
@@ -71,6 +82,9 @@ class Method:
     payload: Callable
     verify: Callable
     within: bool
+    buckets: Callable | None = None
+    cores: Callable | None = None
+    codes: Callable | None = None
 
 
 def keyed(documents: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
@@ -248,10 +262,11 @@ def _sizes(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
 
 
-def _contents(anchor, key, start, n, content=None) -> pa.RecordBatch:
-    """Rows of the table of contents; without ``content`` they are known to repeat whole."""
+def _contents(anchor, key, start, n, content=None, place=None) -> pa.RecordBatch:
+    """Rows of the table of contents; without ``content`` they are known to repeat whole, and with ``place`` they are buckets."""
     content = pa.nulls(len(key), pa.binary()) if content is None else content
-    return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array(start), pa.array(n.astype(np.int32)), content], ["anchor", "key", "start", "n", "content"])
+    place = np.full(len(key), -1) if place is None else place
+    return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array(start), pa.array(n.astype(np.int32)), content, pa.array(place.astype(np.int8))], ["anchor", "key", "start", "n", "content", "place"])
 
 
 def _runs_of(row, start, n) -> tuple[np.ndarray, np.ndarray]:
@@ -261,6 +276,13 @@ def _runs_of(row, start, n) -> tuple[np.ndarray, np.ndarray]:
     return head, np.add.reduceat(n.astype(np.int64), head)
 
 
+def _digests(content: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each content."""
+    data, ends = byte_view(content)
+    text = data.tobytes()
+    return tuple(np.frombuffer(b"".join([xxh3_128_digest(text[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]), U64).reshape(-1, 2).T)
+
+
 def _windows(method: Method, raw, off, row, keys, start, n, at_once) -> Iterator[pa.RecordBatch]:
     """Contents of each single window of hot segments, under its hash; equal ones but the earliest repeat whole."""
     begin = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
@@ -269,26 +291,41 @@ def _windows(method: Method, raw, off, row, keys, start, n, at_once) -> Iterator
         of = np.searchsorted(begin, at, side="right") - 1
         place, doc, one = start[of] + at - begin[of], row[of], np.ones(len(at), np.int32)
         content = method.payload(raw, off, doc, place, one)
-        data, ends = byte_view(content)
-        text = data.tobytes()
-        first, second = np.frombuffer(b"".join([xxh3_128_digest(text[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]), U64).reshape(-1, 2).T
-        key = keys[doc]
-        order = np.lexsort((place, key, second, first))
-        x, y, k = first[order], second[order], key[order]
-        same = np.concatenate(([False], (x[1:] == x[:-1]) & (y[1:] == y[:-1])))
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))
-        whole = same if method.within else same & (k > k[head])
-        w = np.flatnonzero(whole)
-        if len(w):
-            equal = pc.equal(content.take(pa.array(order[w])), content.take(pa.array(order[head[w]])))
-            whole[w] = equal.to_numpy(zero_copy_only=False)
-        some = order[~whole]
-        yield _contents(first[some].view(np.int64), key[some], place[some], one[some], content.take(pa.array(some)))
-        some = np.sort(order[whole])  # in order of row and start
-        if len(some):
-            head, total = _runs_of(doc[some], place[some], one[some])
-            some = some[head]
-            yield _contents(key[some], key[some], place[some], total)
+        names = _digests(content)
+        yield from _merged(method, names[0], names, doc, keys[doc], place, one, content, np.full(len(at), -1))
+
+
+def _buckets(method: Method, raw, off, row, keys, start, n, anchor, at_once) -> Iterator[pa.RecordBatch]:
+    """Contents of the buckets of hot segments, under their cores' names; equal ones but the earliest repeat whole."""
+    ends = np.cumsum(n, dtype=np.int64)
+    a = 0
+    while a < len(n):
+        some = slice(a, max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + at_once, side="right"))))
+        core, of, first, size, place, content = method.buckets(method.payload(raw, off, row[some], start[some], n[some]), n[some].astype(np.int64), anchor[some])
+        of += a
+        yield from _merged(method, core, _digests(content), row[of], keys[row[of]], start[of] + first, size, content, place)
+        a = some.stop
+
+
+def _merged(method: Method, anchor, names, doc, key, start, n, content, place) -> Iterator[pa.RecordBatch]:
+    """Rows of one chunk with two hashes (``names``) of their contents; those that equal an earlier one repeat whole."""
+    order = np.lexsort((start, key, place, *names[::-1]))
+    x, y, p, k = names[0][order], names[1][order], place[order], key[order]
+    same = np.concatenate(([False], (x[1:] == x[:-1]) & (y[1:] == y[:-1]) & (p[1:] == p[:-1])))
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))
+    whole = same if method.within else same & (k > k[head])
+    w = np.flatnonzero(whole)
+    if len(w):
+        equal = pc.equal(content.take(pa.array(order[w])), content.take(pa.array(order[head[w]])))
+        whole[w] = equal.to_numpy(zero_copy_only=False)
+    some = order[~whole]
+    yield _contents(anchor[some].view(np.int64), key[some], start[some], n[some], content.take(pa.array(some)), place[some])
+    some = order[whole]
+    if len(some):
+        some = some[np.lexsort((start[some], doc[some]))]
+        head, total = _runs_of(doc[some], start[some], n[some])
+        some = some[head]
+        yield _contents(key[some], key[some], start[some], total)
 
 
 def _payloads(method: Method):
@@ -313,12 +350,54 @@ def _payloads(method: Method):
                     part = some[i : i + CONTENTS_AT_ONCE]
                     content = method.payload(raw, off, row[part] - first, start[part], n[part])
                     yield _contents(anchor[part], keys[row[part]], start[part], n[part], content)
-                if len(split):
+                if len(split) and method.buckets:
+                    yield from _buckets(method, raw, off, row[split] - first, keys[first:end], start[split], n[split], anchor[split], WINDOWS_AT_ONCE)
+                elif len(split):
                     yield from _windows(method, raw, off, row[split] - first, keys[first:end], start[split], n[split], WINDOWS_AT_ONCE)
 
     return run
 
 
+class _Cores:
+    """Buckets in the order of their cores' names, past the codes met of each; only the last core's are kept from batch to batch."""
+
+    def __init__(self, method: Method):
+        self.method, self.name, self.core, self.codes = method, None, None, None
+
+    def push(self, b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        """(key, start, n, bits) of those that hold repeated windows, and which rows have another core than the first of their name."""
+        name, key, start, n, place = (b.column(i).to_numpy() for i in (0, 1, 2, 3, 5))
+        raw, off = byte_view(b.column(4))
+        goes_on = self.name == name[0]
+        new = np.concatenate(([not goes_on], name[1:] != name[:-1]))
+        group = np.cumsum(new) - (not goes_on)
+        cores = self.method.cores(raw, off, place)
+        first = cores[new]
+        if goes_on:
+            first = np.concatenate((self.core[None], first))
+        odd = (cores != first[group]).any(1)
+        codes = self.method.codes(raw, off, n, place)
+        of = np.repeat(np.arange(len(n)), n)
+        group = np.where(odd, -1, group)[of]
+        order = np.lexsort((codes, group))  # stable, and rows come in the order of key and start
+        c, g = codes[order], group[order]
+        again = np.zeros(len(codes), bool)
+        again[order[1:]] = (c[1:] == c[:-1]) & (g[1:] == g[:-1])
+        if goes_on:
+            some = np.flatnonzero(group == 0)
+            again[some] |= np.isin(codes[some], self.codes)
+        again[group < 0] = False
+        last = len(first) - 1
+        met = np.unique(codes[group == last])
+        self.codes = np.union1d(self.codes, met) if goes_on and not last else met
+        self.name, self.core = name[-1], first[last]
+        at = np.concatenate(([0], np.cumsum(n)))
+        hits = np.add.reduceat(again, at[:-1], dtype=np.int64)
+        some = np.flatnonzero(hits)
+        bits = [None if hits[i] == n[i] else np.packbits(again[at[i] : at[i + 1]]).tobytes() for i in some]
+        return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(start[some]), pa.array(n[some]), pa.array(bits, pa.binary())], ["key", "start", "n", "bits"]), odd
+
+
 def _verify(method: Method):
     names = ["key", "start", "n", "bits"]
 
@@ -350,7 +429,7 @@ def _verify(method: Method):
         return gone, held if head[-1] < 0 else b.take(pa.array(head[-1:]))
 
     def run(batches):
-        parts, size, held = [], 0, None
+        parts, size, held, cores = [], 0, None, _Cores(method)
         for b in batches:
             through = b.column(4).is_null()
             whole = b.filter(through)
@@ -359,6 +438,14 @@ def _verify(method: Method):
             b = b.filter(through.to_numpy(zero_copy_only=False) == 0) if whole.num_rows else b
             if not b.num_rows:
                 continue
+            cut_up = b.column(5).to_numpy() >= 0
+            if cut_up.any():
+                found, odd = cores.push(b.filter(pa.array(cut_up)))
+                yield found
+                cut_up[cut_up] = ~odd  # cores of one name that differ are compared like segments
+                b = b.filter(pa.array(~cut_up))
+                if not b.num_rows:
+                    continue
             gone, held = past_first(b, held)
             if gone.any():
                 rest = b.filter(pa.array(gone))
@@ -418,7 +505,7 @@ def repeated(rows: DataFrame, method: Method, finish, schema: str) -> DataFrame:
     # Both joins read the same columns, so that the texts are shuffled once and the exchange is used again.
     others = [c for c in rows.columns if c not in ("key", "text")]
     wanted = rows.join(marked.hint("shuffle_hash"), "key").select("key", "text", "marks", *others)
-    contents = wanted.mapInArrow(_payloads(method), "anchor long, key long, start long, n int, content binary")
+    contents = wanted.mapInArrow(_payloads(method), "anchor long, key long, start long, n int, content binary, place byte")
     found = contents.repartition("anchor").sortWithinPartitions("anchor", "key", "start").mapInArrow(_verify(method), "key long, start long, n int, bits binary")
     per = found.groupBy("key").agg(F.collect_list(F.struct("start", "n", "bits")).alias("marks"))
     out = rows.join(per.hint("shuffle_hash"), "key", "left").select("id", "text", "marks", *[c for c in others if c != "id"])

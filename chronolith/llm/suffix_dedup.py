@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .anchored import Method, _lists, keyed, repeated, restored, spans
-from .text_arrays import CHUNK_BYTES, U64, byte_view, chunks, gram_names
+from .anchored import BUCKET, Method, _lists, keyed, repeated, restored, spans
+from .text_arrays import CHUNK_BYTES, U64, byte_view, chunks, eights, gram_names
 
 LENGTH, GRAM = 100, 24
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
@@ -90,6 +90,54 @@ def _payload(length: int):
     return payload
 
 
+def _buckets(length: int, gram: int):
+    core = length - BUCKET + 1
+
+    def buckets(content, n, anchor):
+        data, off = byte_view(content)
+        of = np.repeat(np.arange(len(n)), n)
+        within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        window = off[:-1][of] + within
+        # The anchor's first place in each window; equal windows hold it at the same.
+        places = np.flatnonzero(gram_names(data, gram) == np.repeat(anchor.view(U64), np.diff(off))[: len(data) - gram + 1])
+        hold = places[np.searchsorted(places, window)]
+        bucket, back = np.divmod(hold - window, BUCKET)
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (hold[1:] != hold[:-1]) | (bucket[1:] != bucket[:-1])
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(of)))
+        text = data.tobytes()
+        begin = window[head] + back[head]
+        names = np.array([xxh3_64_intdigest(text[i : i + core]) for i in begin.tolist()], U64)
+        at = np.concatenate(([0], np.cumsum(size + length - 1)))
+        inside = data[np.repeat(window[head] - at[:-1], size + length - 1) + np.arange(at[-1])]
+        out = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(inside)])
+        return names, of[head], within[head], size, BUCKET - 1 - back[head], out
+
+    return buckets
+
+
+def _cores(length: int):
+    def cores(raw, off, place):
+        return raw[(off[:-1] + BUCKET - 1 - place)[:, None] + np.arange(length - BUCKET + 1)]
+
+    return cores
+
+
+def _codes(length: int):
+    def codes(raw, off, n, place):
+        of = np.repeat(np.arange(len(n)), n)
+        within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        window, at = off[:-1][of] + within, (place[of] + within).astype(U64)
+        # Of BUCKET - 1 bytes outside of the core those before it, then those behind it, then the place.
+        eight, before = eights(raw), U64(8) * (U64(BUCKET - 1) - at)
+        left = eight[window] & ((U64(1) << before) - U64(1))
+        right = eight[window + length - at.astype(np.int64)] & ((U64(1) << (U64(8) * at)) - U64(1))
+        return (left | right << before) << U64(8) | at
+
+    return codes
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes' starts, sorted by their first ``depth`` bytes at least (prefix doubling from eight bytes)."""
     n = len(text)
@@ -186,7 +234,8 @@ def _verify(length: int):
 
 
 def method(length: int = LENGTH, gram: int = GRAM) -> Method:
-    return Method(_anchors(length, gram), _slices(length), _payload(length), _verify(length), True)
+    parts = (_buckets(length, gram), _cores(length), _codes(length)) if length > 2 * BUCKET else ()
+    return Method(_anchors(length, gram), _slices(length), _payload(length), _verify(length), True, *parts)
 
 
 def _finish(length: int, rewrite: bool):

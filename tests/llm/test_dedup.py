@@ -1,3 +1,4 @@
+import dataclasses
 import random
 import re
 
@@ -51,6 +52,53 @@ def test_hot_anchors_are_brute_force(spark, rows, batch, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def _in_steps(items, method, finish, rows):
+    """The steps of ``anchored.repeated`` in this process, in batches of so many rows: (result, contents, segments)."""
+
+    def step(run, table, by=()):
+        out = pa.Table.from_batches(list(run(table.combine_chunks().to_batches(rows))))
+        return out.sort_by([(c, "ascending") for c in by]) if by else out
+
+    def gathered(marks, schema, whole):
+        by = {}
+        for m in marks.to_pylist():
+            by.setdefault(m.pop("key"), []).append(m)
+        some = [(k, t) for k, t in items if whole or k in by]
+        return pa.table({"key": pa.array([k for k, _ in some], pa.int64()), "text": pa.array([t for _, t in some], pa.string()), "marks": pa.array([by.get(k) for k, _ in some], pa.list_(pa.struct(schema)))})
+
+    documents = pa.table({"key": pa.array([k for k, _ in items], pa.int64()), "text": pa.array([t for _, t in items], pa.string())})
+    met = step(anchored._meet(method), step(anchored._segments(method), documents, ("anchor", "content", "content2", "key", "start")))
+    wanted = gathered(met, [("start", pa.int64()), ("n", pa.int32()), ("whole", pa.bool_()), ("anchor", pa.int64()), ("hot", pa.bool_())], False)
+    contents = step(anchored._payloads(method), wanted, ("anchor", "key", "start"))
+    found = step(anchored._verify(method), contents)
+    out = step(finish, gathered(found, [("start", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())], True))
+    return sorted(tuple(r.values()) for r in out.to_pylist()), contents, met
+
+
+@pytest.mark.parametrize("rows, bits", [(7, 64), (7, 1), (10_000, 64), (10_000, 0)])
+def test_hot_anchors_are_compared_without_all_their_windows(rows, bits, monkeypatch):
+    """Windows of hot anchors go on in buckets and don't reach the transform; cores whose names (of so many bits) agree are told apart."""
+    monkeypatch.setattr(anchored, "HOT_ROWS", 0)
+    monkeypatch.setattr(anchored, "BATCH_BYTES", 3000)
+    name = xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(suffix_dedup, "xxh3_64_intdigest", lambda b: name(b) & ((1 << bits) - 1))
+    r = random.Random(9)
+    say = lambda k: "".join(r.choice("abcdefgh é") for _ in range(k))
+    shared = say(150)
+    texts = [say(r.randrange(40)) + shared + say(r.randrange(140)) for _ in range(60)] + [shared[20:130] * 2, "ha ho " * 80, "x" * 400, "x" * 300, "ab" * 160 + shared]
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    items = sorted(zip(ids, texts))
+    method, compared = suffix_dedup.method(), []
+    counts = lambda *a: compared.append(len(a[1])) or method.verify(*a)
+    got, contents, met = _in_steps(items, dataclasses.replace(method, verify=counts), suffix_dedup._finish(100, False), rows)
+    assert got == removed_bytes(items)
+    hot = met.filter(met["hot"])
+    size = sum(len(x) for x in contents["content"].to_pylist() if x)
+    assert hot.num_rows > 100 and size < 40 * sum(hot["n"].to_pylist())  # a window has 100
+    assert compared == [] or bits < 64
+
+
 def thue_morse(n, letters):
     word = "".join(letters[i.bit_count() & 1] for i in range(n))
     return word, word.translate(str.maketrans(letters, letters[::-1]))
